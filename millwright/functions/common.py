@@ -65,14 +65,19 @@ def minmax_norm(df: DataFrame, cols: Iterable[str], suffix: str = "_norm") -> Da
     return out
 
 
+ROUND_NUDGE = 1e-9
+
+
 def round_half_away(c: Column, digits: int = 4) -> Column:
-    """round(x * 10^d) / 10^d, half away from zero on the scaled binary value.
+    """Tie-robust rounding: round((x + sign(x) * 1e-9) * 10^d) / 10^d.
 
-    Same arithmetic as DuckDB's double ``round``; Spark's ``round(x, d)``
-    instead rounds the shortest decimal string, which differs on ties.
+    Averages of decimal data often sit exactly on a rounding tie, where the
+    last-ulp noise of a different summation order would decide the digit.  The
+    nudge moves true ties away from zero in every engine (the oracle SQL uses
+    the same formula); it only matters within 1e-9 of a tie.
     """
     scale = float(10**digits)
-    return F.round(c * F.lit(scale)) / F.lit(scale)
+    return F.round((c + F.signum(c) * F.lit(ROUND_NUDGE)) * F.lit(scale)) / F.lit(scale)
 
 
 def round_doubles(df: DataFrame, digits: int = 4, keep: Iterable[str] = ()) -> DataFrame:

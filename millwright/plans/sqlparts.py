@@ -65,7 +65,8 @@ def pillars(p: str, d: str, i: str, t: str, g: str) -> dict[str, str]:
 
 
 def r4(expr: str, digits: int = 4) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits})"
+    """Tie-robust rounding, same formula as functions.common.round_half_away."""
+    return f"round(CAST({expr} AS DOUBLE) + sign(CAST({expr} AS DOUBLE)) * 1e-9, {digits})"
 
 
 def with_(*ctes: str) -> str:
