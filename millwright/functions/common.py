@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,20 +46,16 @@ def days_between(start: Column, end: Column) -> Column:
 def minmax_norm(df: DataFrame, cols: Iterable[str], suffix: str = "_norm") -> DataFrame:
     """(v - min) / (max - min) per column, 0 when the span is <= 1e-12, NULL read as 0.
 
-    min and max come from one scalar subquery over ``df`` (one row, no join,
-    no unpartitioned window), so this stays a map-side projection.
+    Only for aggregated tables (one row per asset / cause): min and max come
+    from a window over the whole table, so the input is computed once.  Never
+    call this on row-grain data.
     """
     cols = list(cols)
-    stats = df.select(
-        F.struct(
-            *[F.min(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"mn_{i}") for i, c in enumerate(cols)],
-            *[F.max(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(f"mx_{i}") for i, c in enumerate(cols)],
-        )
-    ).scalar()
+    whole = Window.partitionBy()
     out = df
-    for i, c in enumerate(cols):
+    for c in cols:
         v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        mn, mx = stats.getField(f"mn_{i}"), stats.getField(f"mx_{i}")
+        mn, mx = F.min(v).over(whole), F.max(v).over(whole)
         span = mx - mn
         out = out.withColumn(c + suffix, F.when(span <= 1e-12, F.lit(0.0)).otherwise((v - mn) / span))
     return out

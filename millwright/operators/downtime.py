@@ -27,7 +27,7 @@ def pareto_table(g: DataFrame, value: str, top_n: Optional[int], key: str = "cau
 
     Ordering is (value desc, key asc nulls last) so ties are deterministic.
     """
-    total = g.select(F.sum(value)).scalar()
+    total = F.sum(value).over(Window.partitionBy())  # g is the small aggregated table
     denom = F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(total)
     order = [F.col(value).desc(), F.col(key).asc_nulls_last()]
     w = Window.orderBy(*order)
@@ -148,5 +148,5 @@ def share_by_line(df: DataFrame) -> DataFrame:
     line = require_col(df.columns, "line_id", "line")
     minutes = require_col(df.columns, *MINUTES_ALIASES)
     g = df.groupBy(F.col(line).alias("line_id")).agg(F.sum(num0(minutes)).alias("downtime_minutes"))
-    total = g.select(F.sum("downtime_minutes")).scalar()
+    total = F.sum("downtime_minutes").over(Window.partitionBy())  # one row per line
     return g.withColumn("share", F.try_divide(F.col("downtime_minutes"), total))

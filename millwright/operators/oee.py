@@ -159,36 +159,37 @@ def rollup(df: DataFrame) -> DataFrame:
 
 
 def extremes(df: DataFrame) -> DataFrame:
-    """Weakest pillar of the plant; worst/best line, worst machine, worst/best shift."""
-    w = prepare(df)
-    p = plant(w, prepared=True)
-    by_line = aggregate(w, ["line_id"], prepared=True)
-    by_machine = aggregate(w, ["machine_id"], prepared=True)
-    by_shift = aggregate(w, ["shift"], prepared=True)
-
-    def ext(t: DataFrame, key: str, fn, alias: str):
-        # (oee, key) orders ties deterministically
-        return t.select(fn(F.col(key), F.struct(F.col("oee"), F.col(key)))).scalar().alias(alias)
-
-    def ext_oee(t: DataFrame, fn, alias: str):
-        return t.select(fn(F.col("oee"))).scalar().alias(alias)
+    """Weakest pillar of the plant; worst/best line, worst machine, worst/best shift.
 
+    One scan: the grouping-sets rollup, then one aggregate over its ~100 rows.
+    """
+    r = rollup(df)
+    sc = F.col("scope")
+
+    def pick(fn, scope: str, what: str):
+        on = sc == scope
+        return fn(F.when(on, F.col(what)), F.when(on, F.col("oee")))
+
+    def plant_val(c: str):
+        return F.first(F.when(sc == "plant", F.col(c)), ignorenulls=True)
+
+    a, p, q = plant_val("availability"), plant_val("performance"), plant_val("quality")
+    g = r.agg(
+        a.alias("_a"), p.alias("_p"), q.alias("_q"),
+        pick(F.min_by, "line", "key").alias("worst_line"), F.min(F.when(sc == "line", F.col("oee"))).alias("worst_line_oee"),
+        pick(F.max_by, "line", "key").alias("best_line"), F.max(F.when(sc == "line", F.col("oee"))).alias("best_line_oee"),
+        pick(F.min_by, "machine", "key").alias("worst_machine"),
+        F.min(F.when(sc == "machine", F.col("oee"))).alias("worst_machine_oee"),
+        pick(F.min_by, "shift", "key").alias("worst_shift"), F.min(F.when(sc == "shift", F.col("oee"))).alias("worst_shift_oee"),
+        pick(F.max_by, "shift", "key").alias("best_shift"), F.max(F.when(sc == "shift", F.col("oee"))).alias("best_shift_oee"),
+    )
     weakest = (
-        F.when((F.col("availability") <= F.col("performance")) & (F.col("availability") <= F.col("quality")), "Availability")
-        .when(F.col("performance") <= F.col("quality"), "Performance")
+        F.when((F.col("_a") <= F.col("_p")) & (F.col("_a") <= F.col("_q")), "Availability")
+        .when(F.col("_p") <= F.col("_q"), "Performance")
         .otherwise("Quality")
     )
-    return p.select(
-        weakest.alias("weakest_pillar"),
-        F.least("availability", "performance", "quality").alias("weakest_value"),
-        ext(by_line, "line_id", F.min_by, "worst_line"),
-        ext_oee(by_line, F.min, "worst_line_oee"),
-        ext(by_line, "line_id", F.max_by, "best_line"),
-        ext_oee(by_line, F.max, "best_line_oee"),
-        ext(by_machine, "machine_id", F.min_by, "worst_machine"),
-        ext_oee(by_machine, F.min, "worst_machine_oee"),
-        ext(by_shift, "shift", F.min_by, "worst_shift"),
-        ext_oee(by_shift, F.min, "worst_shift_oee"),
-        ext(by_shift, "shift", F.max_by, "best_shift"),
-        ext_oee(by_shift, F.max, "best_shift_oee"),
+    return g.select(
+        weakest.alias("weakest_pillar"), F.least("_a", "_p", "_q").alias("weakest_value"),
+        "worst_line", "worst_line_oee", "best_line", "best_line_oee", "worst_machine", "worst_machine_oee",
+        "worst_shift", "worst_shift_oee", "best_shift", "best_shift_oee",
     )

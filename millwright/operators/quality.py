@@ -86,7 +86,7 @@ def scrap_by_line(df: DataFrame) -> DataFrame:
         F.avg("scrap_rate").alias("scrap_rate"),
         F.avg("fpy").alias("fpy"),
     )
-    plant_rej = w.select(F.sum("reject_count")).scalar()
+    plant_rej = F.sum("rejects").over(Window.partitionBy())  # sum over the per-line table
     weighted = F.when(F.col("total") > 0, F.col("rejects") / F.col("total")).otherwise(F.col("scrap_rate"))
     return g.withColumn("scrap_rate_weighted", weighted).withColumns(
         {
@@ -260,19 +260,21 @@ def cpk_by_line(df: DataFrame) -> DataFrame:
 
 
 def killer_line(df: DataFrame, days: int = 7) -> DataFrame:
-    """Q12: worst and best line by weighted scrap in the trailing window (one row)."""
+    """Q12: worst and best line by weighted scrap in the trailing window (one row).
+
+    One pass: the per-line table is aggregated once more into the single row.
+    """
     date_col = find_col(df.columns, "shift_date", "date", "timestamp")
     week = trailing_window(df, date_col, days)
-    by_line = scrap_by_line(week)
-    plant = scrap_fpy(week)
-    worst = lambda c: by_line.select(F.max_by(c, F.col("scrap_rate_weighted"))).scalar()
-    best = lambda c: by_line.select(F.min_by(c, F.col("scrap_rate_weighted"))).scalar()
-    return plant.select(
-        worst(F.col("line_id")).alias("worst_line"),
-        worst(F.col("scrap_rate_weighted")).alias("worst_scrap_rate"),
-        worst(F.col("fpy_weighted")).alias("worst_fpy"),
-        worst(F.col("reject_share")).alias("worst_reject_share"),
-        best(F.col("line_id")).alias("best_line"),
-        best(F.col("scrap_rate_weighted")).alias("best_scrap_rate"),
-        F.col("scrap_rate").alias("plant_scrap_rate"),
+    b = scrap_by_line(week)
+    sw = F.col("scrap_rate_weighted")
+    tot = F.when(F.sum("total") <= 0, F.sum("good") + F.sum("rejects")).otherwise(F.sum("total"))
+    return b.agg(
+        F.max_by("line_id", sw).alias("worst_line"),
+        F.max(sw).alias("worst_scrap_rate"),
+        F.max_by("fpy_weighted", sw).alias("worst_fpy"),
+        F.max_by("reject_share", sw).alias("worst_reject_share"),
+        F.min_by("line_id", sw).alias("best_line"),
+        F.min(sw).alias("best_scrap_rate"),
+        F.when(tot != 0, F.sum("rejects") / tot).otherwise(0.0).alias("plant_scrap_rate"),
     )
