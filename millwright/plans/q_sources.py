@@ -1 +1,81 @@
-"""Queries (filled in below)."""
+"""Source / sink queries (S1-S5): file round trips and SAP extract mapping.
+
+Each query writes a table Spark derives from the test tables into a fresh
+folder under the shared checkpoint dir, then scans it back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from millwright.operators import mapping as mp
+from millwright.plans.catalog import register
+from millwright.plans.sqlparts import DOWNTIME, PLANT, r4, with_
+from millwright.session import scratch_path
+from millwright.sources import files as fs
+from millwright.sources import testdata as td
+
+DT_COLS = ["event_id", "line_id", "machine_id", "shift", "shift_date", "downtime_code", "downtime_category",
+           "downtime_minutes", "start_time", "end_time", "is_planned"]
+_SCAN_SQL = with_(DOWNTIME) + f"""SELECT CAST(event_id AS VARCHAR) AS event_id, line_id, machine_id, shift, shift_date, downtime_code,
+  downtime_category, {r4('downtime_minutes')} AS downtime_minutes, start_time, end_time, is_planned FROM downtime"""
+
+
+@register("scan_csv", _SCAN_SQL)
+def scan_csv(spark, sf):
+    """Downtime written as CSV, scanned back with canonical coercion."""
+    path = scratch_path(spark, "csv")
+    fs.write_csv(td.downtime(spark, sf).select(*DT_COLS), path)
+    return fs.scan_csv(spark, path)
+
+
+@register("scan_tsv")
+def scan_tsv(spark, sf):
+    """Downtime written tab-separated, scanned back without date parsing (rows-only check)."""
+    path = scratch_path(spark, "tsv")
+    fs.write_csv(td.downtime(spark, sf).select(*DT_COLS), path, sep="\t")
+    return fs.scan_tsv(spark, path)
+
+
+@register("scan_json", _SCAN_SQL)
+def scan_json(spark, sf):
+    """S3: downtime written as JSON lines, scanned back with canonical coercion."""
+    path = scratch_path(spark, "json")
+    fs.write_json(td.downtime(spark, sf).select(*DT_COLS), path)
+    return fs.scan_json(spark, path)
+
+
+@register("snapshot_roundtrip", with_(DOWNTIME) + f"""SELECT event_id, line_id, machine_id, shift, shift_date, downtime_code,
+  downtime_category, {r4('downtime_minutes')} AS downtime_minutes, start_time, end_time, is_planned FROM downtime""")
+def snapshot_roundtrip(spark, sf):
+    """Frames saved as parquet partitioned by run_id; one run read back (partition-pruned)."""
+    root = scratch_path(spark, "snapshots")
+    fs.save_snapshot({"downtime": td.downtime(spark, sf).select(*DT_COLS)}, root, "run-1")
+    return fs.load_snapshot(spark, root, "downtime", "run-1")
+
+
+def sap_pp_extract(spark, sf):
+    """A SAP PP-style production extract (all strings) derived from lineitem."""
+    p = td.plant_rows(spark, sf)
+    s = lambda c: F.col(c).cast("string")
+    return p.select(
+        F.lit("P100").alias("WERKS"), s("line_id").alias("ARBPL"), s("machine_id").alias("EQUNR"),
+        s("shift_date").alias("BUDAT"), s("shift").alias("SCHICHT"), s("planned_time_min").alias("VGW02"),
+        (F.col("planned_time_min") - F.col("downtime_minutes")).cast("string").alias("ISTDZ"),
+        s("total_count").alias("GAMNG"), s("good_count").alias("LMNGA"), s("reject_count").alias("XMNGA"),
+        F.concat(F.lit("MAT"), s("l_partkey")).alias("MATNR"), s("l_orderkey").alias("AUFNR"),
+        s("l_linenumber").alias("POSNR"), s("vibration_rms").alias("VIBRATION_RMS"), s("temp_c").alias("TEMP_C"),
+        s("motor_current_a").alias("MOTOR_CURRENT_A"),
+    )
+
+
+@register("scan_sap_extract", with_(PLANT) + f"""SELECT 'P100' AS WERKS, line_id, machine_id, shift_date, shift,
+  {r4('planned_time_min')} AS planned_time_min, {r4('planned_time_min - downtime_minutes')} AS run_time_min,
+  {r4('total_count')} AS total_count, {r4('good_count')} AS good_count, {r4('reject_count')} AS reject_count,
+  concat('MAT', CAST(l_partkey AS VARCHAR)) AS MATNR, CAST(l_orderkey AS VARCHAR) AS AUFNR, CAST(l_linenumber AS VARCHAR) AS POSNR,
+  {r4('vibration_rms')} AS vibration_rms, {r4('temp_c')} AS temp_c, {r4('motor_current_a')} AS motor_current_a,
+  {r4('coalesce(greatest(planned_time_min - (planned_time_min - downtime_minutes), 0.0), 0.0)')} AS downtime_minutes
+FROM plant""")
+def scan_sap_extract(spark, sf):
+    """S4 + M5-M7: SAP PP headers mapped by preset, coerced, downtime derived from planned - run."""
+    return mp.scan_sap_extract(sap_pp_extract(spark, sf), "production")
