@@ -129,11 +129,11 @@ def dq_presence(spark, sf):
     return dq.presence(dq_frame(spark, sf))
 
 
-_CATS = ["line_id", "shift", "defect_code"]
+_CATS = ["line_id", "machine_id", "shift", "defect_code"]  # string columns in frame order; kept when <= 12 distinct
 _ANUMS = NUMS[:6]
-_ITEMS = ", ".join([f"CASE WHEN {c} IS NOT NULL THEN '{c}=' || CAST({c} AS VARCHAR) END" for c in _CATS]
+_ITEMS = ", ".join([f"CASE WHEN {c} IS NOT NULL AND nd_{c} <= 12 THEN '{c}=' || CAST({c} AS VARCHAR) END" for c in _CATS]
                    + [f"CASE WHEN {c} >= t_{c} THEN '{c}=HIGH' END" for c in _ANUMS])
-_THR = ", ".join(f"quantile_cont({c}, 0.9) AS t_{c}" for c in _ANUMS)
+_THR = ", ".join([f"quantile_cont({c}, 0.9) AS t_{c}" for c in _ANUMS] + [f"count(DISTINCT {c}) AS nd_{c}" for c in _CATS])
 ASSOC_SQL = with_(
     PLANT, DQF,
     f"th AS (SELECT {_THR} FROM dqf)",
