@@ -24,6 +24,10 @@ UNPLANNED_TOKENS = ("breakdown", "brk", "failure", "unplanned", "mechanical", "e
 PLANNED_FLAG_VALUES = ("1", "true", "yes", "y", "planned", "p")
 PLANNED_TYPE_PATTERN = "plan|changeover|setup|pm|prevent"
 
+# Fixed values from the reference: sensor column name tokens.
+SENSOR_TOKENS = ("vibration", "temp", "temperature", "current", "pressure", "rms", "sensor", "amp", "motor")
+SENSOR_EXCLUDE = ("count", "minute", "rate", "oee", "scrap", "reject", "planned", "good", "total")
+
 # Risk weights, action thresholds and texts.
 RISK_WEIGHTS = {"freq": 35.0, "mttr": 25.0, "longest": 20.0, "unplanned": 20.0}
 ACTION_HIGH, ACTION_WATCH = 55.0, 35.0
@@ -77,6 +81,28 @@ def classify(df: DataFrame) -> DataFrame:
     )
 
 
+def sensor_columns(df: DataFrame) -> list[str]:
+    """Numeric columns whose name has a sensor token and no excluded token."""
+    nums = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.DecimalType)
+    out = []
+    for f in df.schema.fields:
+        n = f.name.lower()
+        if isinstance(f.dataType, nums) and not any(x in n for x in SENSOR_EXCLUDE) and any(t in n for t in SENSOR_TOKENS):
+            out.append(f.name)
+    return out
+
+
+def sensor_anomaly_by_asset(scored: DataFrame, features: list[str]) -> DataFrame:
+    """X11: per machine sensor rows, isolation-forest anomalies, mean score and anomaly rate (%)."""
+    g = scored.groupBy("machine_id").agg(
+        F.count(F.col(features[0])).alias("sensor_rows"),
+        F.count(F.when(F.col("anomaly"), 1)).alias("iso_anomalies"),
+        F.avg("anomaly_score").alias("iso_score_mean"),
+    )
+    return g.withColumn("iso_anomaly_rate_pct",
+                        F.col("iso_anomalies") / F.greatest(F.col("sensor_rows"), F.lit(1)) * 100.0)
+
+
 def planned_vs_unplanned(df: DataFrame) -> DataFrame:
     """Planned / unplanned minutes, shares and event counts (one row)."""
     minutes = require_col(df.columns, *MINUTES_ALIASES)
