@@ -43,6 +43,7 @@ def load_all() -> None:
         q_dq,
         q_downtime,
         q_finance,
+        q_insights,
         q_joins,
         q_maintenance,
         q_ml,
