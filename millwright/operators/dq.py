@@ -230,3 +230,80 @@ def assoc_rules(df: DataFrame, max_cats: int = 4, max_distinct: int = 12, max_nu
         (F.col("pair_count") / n).alias("support"), conf.alias("confidence"), n.alias("baskets"),
     ).where((F.col("support") >= min_support) & (F.col("confidence") >= min_conf) & (n >= 20))
     return out.withColumn("suspicious", F.col("rule").contains("HIGH") & (F.col("confidence") >= suspicious_conf))
+
+
+def _row(spark_df: DataFrame, check: str, status: Column, detail: Column) -> DataFrame:
+    return spark_df.select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
+
+
+def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Optional[list[str]] = None) -> DataFrame:
+    """The 16 checks as (check, status, detail) rows.
+
+    ``df`` carries the order / key columns used by the jump check and the
+    isolation forest; they are excluded from the column-wise checks.
+    DBSCAN noise is reported as INFO (not computed; see README).
+    """
+    from millwright.operators.ml import cluster, iforest
+
+    frame = df.drop(*[c for c in set(order + key) if c in df.columns and c not in ("shift_date", "shift", "machine_id")])
+    nums = numeric_columns(frame)
+    spark = df.sparkSession
+    one = spark.range(1)
+    m = missing(frame)
+    rows = [
+        _row(m, "NULLS / Missing%", F.col("status"), F.format_string("%.2f%% missing", F.col("missing_pct") * 100)),
+        _row(constant(frame).agg(F.sort_array(F.collect_list(F.when(F.col("is_constant"), F.col("column_name")))).alias("c")),
+             "CONSTANT", F.when(F.size("c") > 0, "FAIL").otherwise("PASS"),
+             F.when(F.size("c") > 0, F.array_join(F.slice("c", 1, 6), ", ")).otherwise("none")),
+        _row(zeros(frame), "ZEROS", F.col("status"), F.format_string("%.1f%% zeros", F.col("zero_pct") * 100)),
+        _row(duplicates(frame), "DUPLICATES", F.col("status"), F.format_string("%d dup rows", F.col("dup_rows"))),
+    ]
+    z = zscore(frame, nums).agg(F.sum("hits").alias("h"))
+    rows.append(_row(z, "Z-SCORE (>3σ)", F.when(F.col("h") > 0, "WARN").otherwise("PASS"), F.format_string("%d hits", F.col("h"))))
+    q = iqr(frame, nums).agg(F.sum("hits").alias("h"))
+    rows.append(_row(q, "IQR OUTLIER", F.when(F.col("h") > 0, "WARN").otherwise("PASS"), F.format_string("%d hits", F.col("h"))))
+    cols = iforest_cols or nums
+    complete = df.select(*key, *cols).dropna()
+    if len(cols) >= 2 and complete.limit(15).count() >= 15:
+        s = iforest.fit_score(complete, cols, key).agg(F.count(F.when(F.col("anomaly"), 1)).alias("a"), F.count(F.lit(1)).alias("n"))
+        rows.append(_row(s, "ISOLATION FOREST", F.when(F.col("a") > 0, "WARN").otherwise("PASS"),
+                         F.format_string("%d anomalies, %.2f%%", F.col("a"), F.col("a") / F.col("n") * 100)))
+    else:
+        rows.append(_row(one, "ISOLATION FOREST", F.lit("INFO"), F.lit("need >=2 numeric cols & 15 rows")))
+    rows.append(_row(one, "DBSCAN NOISE", F.lit("INFO"), F.lit("not computed (no bounded exact method yet)")))
+    km = cluster.kmeans_far(frame, nums)
+    rows.append(_row(km, "KMEANS DISTANCE", F.when(F.col("far_from_cluster") > 0, "WARN").when(F.col("ok"), "PASS").otherwise("INFO"),
+                     F.format_string("%d far from cluster", F.coalesce(F.col("far_from_cluster"), F.lit(0)))))
+    j = jumps(df, order=order, cols=[c for c in nums if any(t in c.lower() for t in JUMP_TOKENS)]).agg(F.sum("jumps").alias("j"))
+    rows.append(_row(j, "ROLLING IMPOSSIBLE JUMP", F.when(F.col("j") > 0, "FAIL").otherwise("PASS"), F.format_string("%d jumps", F.col("j"))))
+    dr = domain_rules(frame).agg(F.sort_array(F.collect_list(F.when(F.col("violations") > 0, F.col("rule")))).alias("r"))
+    rows.append(_row(dr, "OEE DOMAIN RULES", F.when(F.size("r") > 0, "FAIL").otherwise("PASS"),
+                     F.when(F.size("r") > 0, F.array_join("r", "; ")).otherwise("no domain violations")))
+    date_col = find_col(df.columns, "shift_date", "date")
+    pca = cluster.pca_drift(frame, nums, date_col) if date_col else None
+    if pca is not None:
+        rows.append(_row(pca, "PCA / CONCEPT DRIFT", F.when(F.col("concept_drift"), "WARN").when(F.col("ok"), "PASS").otherwise("INFO"),
+                         F.format_string("drift %.3f", F.coalesce(F.col("drift_score"), F.lit(0.0)))))
+    else:
+        rows.append(_row(one, "PCA / CONCEPT DRIFT", F.lit("INFO"), F.lit("no order column")))
+    ar = assoc_rules(frame).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("suspicious"), 1)).alias("s"))
+    rows.append(_row(ar, "ASSOCIATION RULE MINING", F.when(F.col("s") > 0, "WARN").otherwise("PASS"),
+                     F.format_string("%d rules, %d suspicious", F.col("n"), F.col("s"))))
+    pr = presence(frame)
+    rows.append(_row(pr, "MACHINE ID PRESENT", F.when(F.col("machine_col").isNotNull(), "PASS").otherwise("WARN"),
+                     F.coalesce(F.col("machine_col"), F.lit("missing"))))
+    rows.append(_row(pr, "TIMESTAMP / SHIFT DATE", F.when(F.col("date_col").isNotNull(), "PASS").otherwise("WARN"),
+                     F.coalesce(F.col("date_col"), F.lit("missing"))))
+    rows.append(_row(pr, "SCHEMA / ROWCOUNT", F.when(F.col("rows") > 0, "PASS").otherwise("FAIL"),
+                     F.format_string("%d rows x %d cols", F.col("rows"), F.col("cols"))))
+    return reduce(DataFrame.unionByName, rows)
+
+
+def report_summary(rep: DataFrame) -> DataFrame:
+    """V15 summary: pass (INFO counts as pass), warn, fail, info, total."""
+    return rep.agg(
+        F.count(F.when(F.col("status") == "FAIL", 1)).alias("fail"),
+        F.count(F.when(F.col("status") == "WARN", 1)).alias("warn"),
+        F.count(F.when(F.col("status") == "INFO", 1)).alias("info"),
+        F.count(F.lit(1)).alias("total"),
+    ).withColumn("pass", F.col("total") - F.col("fail") - F.col("warn"))

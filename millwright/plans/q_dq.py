@@ -155,3 +155,18 @@ WHERE pair_count / n >= 0.05 AND greatest(pair_count / greatest(ia.item_count, 1
 def dq_assoc_rules(spark, sf):
     """Association rules over col=value / col=HIGH baskets of every row."""
     return dq.assoc_rules(dq_frame(spark, sf))
+
+
+@register("dq_report")
+def dq_report(spark, sf):
+    """The 16-check data-quality report (rows-only check)."""
+    p = td.plant_rows(spark, sf)
+    return dq.report(p, order=["shift_date", "shift", "l_orderkey", "l_linenumber"], key=["l_orderkey", "l_linenumber"])
+
+
+@register("dq_summary")
+def dq_summary(spark, sf):
+    """Pass / warn / fail / info counts of the report."""
+    p = td.plant_rows(spark, sf)
+    rep = dq.report(p, order=["shift_date", "shift", "l_orderkey", "l_linenumber"], key=["l_orderkey", "l_linenumber"])
+    return dq.report_summary(rep)

@@ -88,7 +88,11 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def downtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return downtime_from_events(table(spark, sf_dir, "events"))
+
+
+def downtime_from_events(ev: DataFrame) -> DataFrame:
+    """Downtime events from an ``events`` frame (batch or streaming)."""
     et = F.col("event_type")
     code = F.lit(None).cast("string")
     cat = F.lit(None).cast("string")
