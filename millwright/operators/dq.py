@@ -245,7 +245,8 @@ def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Option
     """
     from millwright.operators.ml import cluster, iforest
 
-    frame = df.drop(*[c for c in set(order + key) if c in df.columns and c not in ("shift_date", "shift", "machine_id")])
+    keep = {"shift_date", "shift", "machine_id", "total_count"}
+    frame = df.drop(*[c for c in set(order + key) if c in df.columns and c not in keep])
     nums = numeric_columns(frame)
     spark = df.sparkSession
     one = spark.range(1)

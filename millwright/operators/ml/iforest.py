@@ -109,7 +109,9 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
         return base.withColumns({"anomaly_score": F.lit(None).cast("double"), "anomaly": F.lit(None).cast("boolean")})
     m = min(psi, n)
     limit = int(math.ceil(math.log2(max(m, 2))))
-    kcols = [F.col(k).cast("string") for k in key]
+    # the row identity for sampling is the key plus the feature values, so rows
+    # that share a key still hash apart, and identical rows are interchangeable
+    kcols = [F.col(k).cast("string") for k in key] + [F.col(f) for f in features]
     h1 = F.xxhash64(F.lit(seed), *kcols)
     h2 = F.xxhash64(F.lit(seed + 1), *kcols)
     u = (F.pmod(h2, F.lit(1 << 30)) / float(1 << 30))
@@ -119,10 +121,11 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
     else:
         trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
         cand = base.select(trees.alias("_tree"), *features, *[F.col(k).cast("string").alias(k) for k in key]).withColumn(
-            "_u", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_tree"), *[F.col(k) for k in key]), F.lit(1 << 30)) / float(1 << 30)
+            "_u", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_tree"), *[F.col(k) for k in key], *[F.col(f) for f in features]),
+                         F.lit(1 << 30)) / float(1 << 30)
         ).select("_tree", "_u", *features)
         keep = min(1.0, 3.0 * m / n)
-    w = Window.partitionBy("_tree").orderBy("_u")
+    w = Window.partitionBy("_tree").orderBy("_u", *features)
     sample = cand.where(F.col("_u") < keep).withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= m).drop("_rk", "_u")
 
     schema = T.StructType([

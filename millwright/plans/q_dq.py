@@ -8,7 +8,7 @@ from millwright.plans.catalog import register
 from millwright.plans.sqlparts import PLANT, pillars, r4, with_
 from millwright.sources import testdata as td
 
-ORDER_KEYS = ["l_orderkey", "l_linenumber", "l_partkey"]
+ROW_ORDER = ["shift_date", "shift", "l_orderkey", "l_linenumber", "l_partkey", "total_count"]  # total order of rows
 DQ_COLS = ["line_id", "machine_id", "shift", "shift_date", "planned_time_min", "ideal_rate", "total_count", "reject_count",
            "good_count", "downtime_minutes", "vibration_rms", "temp_c", "motor_current_a", "defect_code", "measurement_mm",
            "lsl", "usl"]
@@ -88,7 +88,7 @@ def dq_iqr(spark, sf):
 
 
 JUMP_COLS = [c for c in NUMS if any(t in c for t in dq.JUMP_TOKENS)]
-_ORD = "shift_date, shift, l_orderkey, l_linenumber"
+_ORD = "shift_date, shift, l_orderkey, l_linenumber, l_partkey, total_count"  # a total order of lineitem rows
 
 
 def _jump_sql(c):
@@ -101,8 +101,7 @@ def _jump_sql(c):
 def dq_jumps(spark, sf):
     """Impossible jumps between consecutive shift rows of a machine."""
     p = td.plant_rows(spark, sf)
-    return dq.jumps(p, order=["shift_date", "shift", "l_orderkey", "l_linenumber"], part="machine_id", day="shift_date",
-                    cols=JUMP_COLS)
+    return dq.jumps(p, order=ROW_ORDER, part="machine_id", day="shift_date", cols=JUMP_COLS)
 
 
 _pm = pillars("planned_time_min", "downtime_minutes", "ideal_rate", "total_count", "good_count")
@@ -161,12 +160,12 @@ def dq_assoc_rules(spark, sf):
 def dq_report(spark, sf):
     """The 16-check data-quality report (rows-only check)."""
     p = td.plant_rows(spark, sf)
-    return dq.report(p, order=["shift_date", "shift", "l_orderkey", "l_linenumber"], key=["l_orderkey", "l_linenumber"])
+    return dq.report(p, order=ROW_ORDER, key=["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @register("dq_summary")
 def dq_summary(spark, sf):
     """Pass / warn / fail / info counts of the report."""
     p = td.plant_rows(spark, sf)
-    rep = dq.report(p, order=["shift_date", "shift", "l_orderkey", "l_linenumber"], key=["l_orderkey", "l_linenumber"])
+    rep = dq.report(p, order=ROW_ORDER, key=["l_orderkey", "l_linenumber", "l_partkey"])
     return dq.report_summary(rep)

@@ -13,7 +13,7 @@ from millwright.plans.q_dq import NUMS
 from millwright.plans.sqlparts import PLANT, r4, with_
 from millwright.sources import testdata as td
 
-ROW_KEY = ["l_orderkey", "l_linenumber"]
+ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "total_count"]  # unique per lineitem row
 
 
 def _sensor_scores(spark, sf):
@@ -47,8 +47,8 @@ def remaining_risk_sensors(spark, sf):
 @register("dq_iforest")
 def dq_iforest(spark, sf):
     """V7: isolation forest over all numeric columns (complete rows): anomaly count and rate."""
-    p = td.plant_rows(spark, sf).select(*ROW_KEY, *NUMS).dropna()
-    scored = iforest.fit_score(p, NUMS, ROW_KEY)
+    p = td.plant_rows(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", *NUMS).dropna()
+    scored = iforest.fit_score(p, NUMS, ["l_orderkey", "l_linenumber", "l_partkey"])
     return scored.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("anomaly"), 1)).alias("anomalies")).withColumn(
         "rate_pct", F.col("anomalies") / F.greatest(F.col("rows"), F.lit(1)) * 100.0)
 
@@ -69,7 +69,7 @@ def dq_pca_drift(spark, sf):
   {r4('reject_count / nullif(total_count, 0)')} AS target FROM plant""")
 def rate_target(spark, sf):
     """Scrap-rate target per row (rejects / total, NULL on a zero total)."""
-    return fc.rate_target(td.plant_rows(spark, sf)).select(*ROW_KEY, "target")
+    return fc.rate_target(td.plant_rows(spark, sf)).select("l_orderkey", "l_linenumber", "target")
 
 
 _DAILY = """daily AS (SELECT machine_id, shift_date, sum(reject_count) / nullif(sum(total_count), 0) AS target,
