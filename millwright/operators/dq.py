@@ -211,24 +211,43 @@ def assoc_rules(df: DataFrame, max_cats: int = 4, max_distinct: int = 12, max_nu
         t = q90.get(c, [None])[0]
         if t is not None:
             items.append(F.when(_q(c).cast("double") >= F.lit(t), F.lit(f"{c}=HIGH")))
-    basket = F.array_sort(F.filter(F.array(*items), lambda x: x.isNotNull()))
-    b = df.select(basket.alias("items")).where(F.size("items") >= 2)
-    n = b.select(F.count(F.lit(1))).scalar()
-    pairs = b.select(F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(0), F.size("items") - 2),
-        lambda i: F.transform(F.sequence(i + 1, F.size("items") - 1),
-                              lambda j: F.struct(F.element_at("items", i + 1).alias("a"), F.element_at("items", j + 1).alias("b"))),
-    ))).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count(F.lit(1)).alias("pair_count"))
-    singles = b.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("item_count"))
-    top = pairs.orderBy(F.col("pair_count").desc(), "a", "b").limit(top_pairs)
+    if not items:
+        return df.sparkSession.createDataFrame([], "rule string, a string, b string, pair_count bigint, support double, "
+                                                    "confidence double, baskets bigint, suspicious boolean")
+    # Pre-aggregate: rows collapse map-side to distinct baskets (bounded by the product of slot
+    # cardinalities), then item / pair / basket counts come from GROUPING SETS over that small table.
+    k = len(items)
+    names = [f"_s{i}" for i in range(k)]
+    slots = df.select(*[x.alias(n) for x, n in zip(items, names)])
+    size = reduce(lambda a, b: a + b, [F.when(F.col(n).isNotNull(), 1).otherwise(0) for n in names])
+    baskets = slots.where(size >= 2).groupBy(*names).agg(F.count(F.lit(1)).alias("_w"))
+    sets = [[]] + [[n] for n in names] + [[names[i], names[j]] for i in range(k) for j in range(i + 1, k)]
+    g = baskets.groupingSets(sets, *names).agg(F.sum("_w").alias("cnt"), *[F.grouping(n).alias(f"_g{i}") for i, n in enumerate(names)])
+    grouped = reduce(lambda a, b: a + b, [1 - F.col(f"_g{i}") for i in range(k)])
+    present = F.array_sort(F.filter(F.array(*[F.when(F.col(f"_g{i}") == 0, F.col(n)) for i, n in enumerate(names)]),
+                                    lambda x: x.isNotNull()))
+    agg = g.select(grouped.alias("kind"), present.alias("_p"), "cnt").where(F.size("_p") == F.col("kind")).select(
+        "kind", F.try_element_at("_p", F.lit(1)).alias("a"), F.try_element_at("_p", F.lit(2)).alias("b"), "cnt")
+    # at most 1 + k + k(k-1)/2 rows for k distinct items (k <= max_cats * max_distinct + max_nums): collect once
+    bound = 1 + (max_cats * max_distinct + max_nums) ** 2
+    small = agg.limit(bound + 1).collect()
+    if len(small) > bound:
+        raise ValueError("item table larger than its construction bound")
+    spark = df.sparkSession
+    n = next((r["cnt"] for r in small if r["kind"] == 0), 0)
+    tbl = spark.createDataFrame([(r["kind"], r["a"], r["b"], r["cnt"]) for r in small],
+                                "kind int, a string, b string, cnt bigint").withColumn("n", F.lit(n).cast("bigint"))
+    singles = tbl.where(F.col("kind") == 1).select(F.col("a").alias("item"), F.col("cnt").alias("item_count"))
+    top = (tbl.where(F.col("kind") == 2).select("a", "b", F.col("cnt").alias("pair_count"), "n")
+           .orderBy(F.col("pair_count").desc(), "a", "b").limit(top_pairs))
     ia, ib = singles.alias("ia"), singles.alias("ib")
     j = top.join(ia, top["a"] == F.col("ia.item"), "left").join(ib, top["b"] == F.col("ib.item"), "left")
     conf = F.greatest(F.col("pair_count") / F.greatest(F.col("ia.item_count"), F.lit(1)),
                       F.col("pair_count") / F.greatest(F.col("ib.item_count"), F.lit(1)))
     out = j.select(
         F.concat_ws(" => ", "a", "b").alias("rule"), "a", "b", "pair_count",
-        (F.col("pair_count") / n).alias("support"), conf.alias("confidence"), n.alias("baskets"),
-    ).where((F.col("support") >= min_support) & (F.col("confidence") >= min_conf) & (n >= 20))
+        (F.col("pair_count") / F.col("n")).alias("support"), conf.alias("confidence"), F.col("n").alias("baskets"),
+    ).where((F.col("support") >= min_support) & (F.col("confidence") >= min_conf) & (F.col("baskets") >= 20))
     return out.withColumn("suspicious", F.col("rule").contains("HIGH") & (F.col("confidence") >= suspicious_conf))
 
 
