@@ -106,3 +106,13 @@ def trailing_window(df: DataFrame, date_col: str | None, days: int = 7) -> DataF
         mx = df.select(F.max(ts)).scalar()
         cond = ts >= mx - F.make_dt_interval(F.lit(days))
     return df.where(mx.isNull() | F.coalesce(cond, F.lit(False)))
+
+
+def ensure_parallel(df: DataFrame) -> DataFrame:
+    """Spread an input that has fewer splits than the cluster's parallelism (e.g. one parquet
+    row group) round-robin over the cores before a CPU-heavy Python stage.  Large inputs
+    already have more splits than cores, so on a real cluster this is a no-op."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df

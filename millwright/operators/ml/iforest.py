@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.functions.common import ensure_parallel
 from millwright.functions.quantiles import exact_quantiles
 
 N_TREES = 100
@@ -160,7 +161,9 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
             mean_len = np.mean([_path_lengths(x, t) for t in trees], axis=0)
             yield pdf.assign(anomaly_score=np.power(2.0, -mean_len / cn) if cn > 0 else 0.5)
 
-    scored = base.mapInPandas(score, out_schema)
+    # Python scoring is the costly stage: make sure it runs on every core even when the
+    # input arrived in fewer splits than the cluster's parallelism (no-op at scale)
+    scored = ensure_parallel(base).mapInPandas(score, out_schema)
     ckpt = scored.checkpoint(eager=True)  # cut lineage: scores are reused by the cut and the output
     cut = exact_quantiles(ckpt, "anomaly_score", [1.0 - contamination]).get(None, [None])[0]
     return ckpt.withColumn("anomaly", F.col("anomaly_score") > F.lit(cut))
