@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 BUCKETS = 2048
 COLLECT_LIMIT = 20_000
 MAX_GROUPS = 100_000
+APPROX_ACCURACY = 10_000
 
 
 def _ranks(n: int, p: float) -> tuple[int, int, float]:
@@ -47,20 +48,29 @@ def exact_quantiles(
     base = df.select(g.cast("string").alias("_g"), v.cast("double").alias("_x")).where(
         F.col("_x").isNotNull() & ~F.isnan("_x")
     )
-    stats = base.groupBy("_g").agg(F.count("_x").alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"))
+    # One job: counts, extremes, and an approximate bracket [p - eps, p + eps] around every
+    # requested probability (GK sketch, rank error <= n / accuracy).  Brackets are verified
+    # against exact counts in the next round and widened to [min, max] when they miss.
+    eps = 2.0 / APPROX_ACCURACY
+    pcts = [x for p in probs for x in (max(0.0, p - eps), min(1.0, p + eps))]
+    stats = base.groupBy("_g").agg(
+        F.count("_x").alias("n"), F.min("_x").alias("mn"), F.max("_x").alias("mx"),
+        F.percentile_approx("_x", pcts, APPROX_ACCURACY).alias("pa"),
+    )
     stat_rows = stats.limit(MAX_GROUPS + 1).collect()
     if len(stat_rows) > MAX_GROUPS:
         raise ValueError("too many groups for exact quantiles")
 
-    # targets: id -> [group, rank k, lo bound, hi bound, count below lo, value or None]
+    # targets: id -> [group, rank k, lo bound, hi bound, count below lo, value or None, group min, group max]
     targets: dict[int, list] = {}
     need: dict[tuple, int] = {}
     plan: dict = {}
     for r in stat_rows:
         n = r["n"]
         per = []
-        for p in probs:
+        for i, p in enumerate(probs):
             lo, hi, frac = _ranks(n, p)
+            a, b = r["pa"][2 * i], r["pa"][2 * i + 1]
             ids = []
             for k in (lo, hi):
                 key = (r["_g"], k)
@@ -68,7 +78,7 @@ def exact_quantiles(
                     tid = len(targets)
                     need[key] = tid
                     resolved = r["mn"] if k == 0 else (r["mx"] if k == n - 1 else None)
-                    targets[tid] = [r["_g"], k, r["mn"], r["mx"], 0, resolved]
+                    targets[tid] = [r["_g"], k, a, b, None, resolved, r["mn"], r["mx"]]
                 ids.append(need[key])
             per.append((ids[0], ids[1], frac))
         plan[r["_g"]] = per
@@ -82,17 +92,14 @@ def exact_quantiles(
         active = {t: s for t, s in targets.items() if s[5] is None}
         if not active:
             break
-        if any(s[2] == s[3] for s in active.values()):
-            for s in active.values():
-                if s[2] == s[3]:
-                    s[5] = s[2]
-            continue
         tdf = spark.createDataFrame([(t, s[0], s[2], s[3]) for t, s in active.items()], tschema)
-        joined = base.join(F.broadcast(tdf), base["_g"].eqNullSafe(tdf["_g"])).where(
-            (F.col("_x") >= F.col("_a")) & (F.col("_x") <= F.col("_b"))
+        joined = base.join(F.broadcast(tdf), base["_g"].eqNullSafe(tdf["_g"]))
+        x, a, b = F.col("_x"), F.col("_a"), F.col("_b")
+        width = (b - a) / buckets
+        bucket = (
+            F.when(x < a, F.lit(-1)).when(x > b, F.lit(buckets)).when(b == a, F.lit(0))
+            .otherwise(F.least(F.floor((x - a) / width), F.lit(buckets - 1))).cast("int")
         )
-        width = (F.col("_b") - F.col("_a")) / buckets
-        bucket = F.least(F.floor((F.col("_x") - F.col("_a")) / width), F.lit(buckets - 1)).cast("int")
         hist = (
             joined.groupBy("_t", bucket.alias("_k"))
             .agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
@@ -104,8 +111,12 @@ def exact_quantiles(
         small = []
         for t, s in active.items():
             rows = sorted(by_t.get(t, []), key=lambda h: h["_k"])
-            below = s[4]
-            for h in rows:
+            below = sum(h["c"] for h in rows if h["_k"] == -1)
+            inside = [h for h in rows if 0 <= h["_k"] < buckets]
+            if not (below <= s[1] < below + sum(h["c"] for h in inside)):
+                s[2], s[3] = s[6], s[7]  # bracket missed: fall back to the full range
+                continue
+            for h in inside:
                 if below + h["c"] > s[1]:
                     s[2], s[3], s[4] = h["lo"], h["hi"], below
                     if h["lo"] == h["hi"]:
