@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 BUCKETS = 2048
 COLLECT_LIMIT = 20_000
 MAX_GROUPS = 100_000
@@ -92,7 +93,12 @@ def exact_quantiles(
         active = {t: s for t, s in targets.items() if s[5] is None}
         if not active:
             break
-        tdf = spark.createDataFrame([(t, s[0], s[2], s[3]) for t, s in active.items()], tschema)
+        # targets sharing a group and an interval share one histogram
+        ivals: dict[tuple, int] = {}
+        of_target = {}
+        for t, st in active.items():
+            of_target[t] = ivals.setdefault((st[0], st[2], st[3]), len(ivals))
+        tdf = spark.createDataFrame([(i, g, a_, b_) for (g, a_, b_), i in ivals.items()], tschema)
         joined = base.join(F.broadcast(tdf), base["_g"].eqNullSafe(tdf["_g"]))
         x, a, b = F.col("_x"), F.col("_a"), F.col("_b")
         width = (b - a) / buckets
@@ -105,9 +111,10 @@ def exact_quantiles(
             .agg(F.count(F.lit(1)).alias("c"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
             .collect()
         )
-        by_t: dict[int, list] = {}
+        by_i: dict[int, list] = {}
         for h in hist:
-            by_t.setdefault(h["_t"], []).append(h)
+            by_i.setdefault(h["_t"], []).append(h)
+        by_t = {t: by_i.get(i, []) for t, i in of_target.items()}
         small = []
         for t, s in active.items():
             rows = sorted(by_t.get(t, []), key=lambda h: h["_k"])

@@ -164,6 +164,9 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
     # Python scoring is the costly stage: make sure it runs on every core even when the
     # input arrived in fewer splits than the cluster's parallelism (no-op at scale)
     scored = ensure_parallel(base).mapInPandas(score, out_schema)
+    from millwright.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     ckpt = scored.checkpoint(eager=True)  # cut lineage: scores are reused by the cut and the output
     cut = exact_quantiles(ckpt, "anomaly_score", [1.0 - contamination]).get(None, [None])[0]
     return ckpt.withColumn("anomaly", F.col("anomaly_score") > F.lit(cut))
