@@ -118,24 +118,28 @@ def iqr(df: DataFrame, cols: Optional[list[str]] = None) -> DataFrame:
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
-def lag_stitched(df: DataFrame, part: str, day: str, order: list[str], cols: list[str]) -> DataFrame:
-    """Adds ``_prev_<c>``: the value of ``c`` in the previous row of ``part`` ordered by (day, *order).
+def lag_stitched(df: DataFrame, part: str, blocks: str | list[str], order: list[str], cols: list[str]) -> DataFrame:
+    """Adds ``_prev_<c>``: the value of ``c`` in the previous row of ``part`` ordered by (*blocks, *order).
 
-    Windows run per (part, day); the first row of each day takes the previous
-    day's last row from a (part, day)-grain table, windowed per part (a
-    part has at most one row per day there).
+    Windows run per (part, *blocks) -- e.g. machine, day and shift -- so a busy machine
+    is spread over many tasks.  The first row of each block takes the previous block's
+    last row from a (part, *blocks)-grain table, windowed per part (one row per block).
     """
-    w = Window.partitionBy(part, day).orderBy(*order)
+    blocks = [blocks] if isinstance(blocks, str) else list(blocks)
+    w = Window.partitionBy(part, *blocks).orderBy(*order)
     inner = df.withColumns({f"_prev_{c}": F.lag(_q(c)).over(w) for c in cols}).withColumn("_rn", F.row_number().over(w))
     ordkey = F.struct(*[_q(o) for o in order])
-    last = df.groupBy(part, day).agg(F.max_by(F.struct(*[_q(c).alias(c) for c in cols]), ordkey).alias("_last"))
-    wd = Window.partitionBy(part).orderBy(day)
+    last = df.groupBy(part, *blocks).agg(F.max_by(F.struct(*[_q(c).alias(c) for c in cols]), ordkey).alias("_last"))
+    wd = Window.partitionBy(part).orderBy(*blocks)
     carry = last.withColumn("_carry", F.lag("_last").over(wd)).select(
-        F.col(part).alias("_cp"), F.col(day).alias("_cd"), "_carry")
-    j = inner.join(carry, inner[part].eqNullSafe(carry["_cp"]) & inner[day].eqNullSafe(carry["_cd"]), "left")
+        F.col(part).alias("_cp"), *[F.col(b).alias(f"_cb{i}") for i, b in enumerate(blocks)], "_carry")
+    cond = inner[part].eqNullSafe(carry["_cp"])
+    for i, b in enumerate(blocks):
+        cond = cond & inner[b].eqNullSafe(carry[f"_cb{i}"])
+    j = inner.join(carry, cond, "left")
     first = F.col("_rn") == 1
     j = j.withColumns({f"_prev_{c}": F.when(first, F.col("_carry").getField(c)).otherwise(F.col(f"_prev_{c}")) for c in cols})
-    return j.drop("_cp", "_cd", "_carry", "_rn")
+    return j.drop("_cp", *[f"_cb{i}" for i in range(len(blocks))], "_carry", "_rn")
 
 
 def jumps(df: DataFrame, order: list[str], part: Optional[str] = None, day: Optional[str] = None,
@@ -147,8 +151,11 @@ def jumps(df: DataFrame, order: list[str], part: Optional[str] = None, day: Opti
     sd = df.select(F.struct(*[F.stddev_samp(_q(c)).alias(f"c{i}") for i, c in enumerate(cols)])).scalar()
     thr = {c: F.lit(JUMP_K) * F.coalesce(F.when(sd.getField(f"c{i}") != 0, sd.getField(f"c{i}")), F.lit(1.0))
            for i, c in enumerate(cols)}
-    ordered = [o for o in order if o != day]
-    lagged = lag_stitched(df.select(part, day, *ordered, *cols), part, day, ordered, cols)
+    # blocks: the day plus the next order column when it is a low-cardinality label (the shift)
+    rest = [o for o in order if o != day]
+    blocks = [day] + ([rest[0]] if rest and rest[0].lower() == "shift" else [])
+    ordered = [o for o in rest if o not in blocks]
+    lagged = lag_stitched(df.select(part, *blocks, *ordered, *cols), part, blocks, ordered, cols)
     parts = [F.struct(F.lit(c).alias("column_name"), thr[c].alias("threshold"),
                       F.count(F.when(F.abs(_q(c) - F.col(f"_prev_{c}")) > thr[c], 1)).alias("jumps")) for c in cols]
     return lagged.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")

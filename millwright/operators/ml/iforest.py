@@ -115,7 +115,7 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
     kcols = [F.col(k).cast("string") for k in key] + [F.col(f) for f in features]
     h1 = F.xxhash64(F.lit(seed), *kcols)
     h2 = F.xxhash64(F.lit(seed + 1), *kcols)
-    u = (F.pmod(h2, F.lit(1 << 30)) / float(1 << 30))
+    u = (F.pmod(h2, F.lit(1 << 52)) / float(1 << 52))
     if n >= n_trees * m:
         cand = base.select(F.pmod(h1, F.lit(n_trees)).alias("_tree"), u.alias("_u"), *features)
         keep = min(1.0, 3.0 * m * n_trees / n)
@@ -123,7 +123,7 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
         trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
         cand = base.select(trees.alias("_tree"), *features, *[F.col(k).cast("string").alias(k) for k in key]).withColumn(
             "_u", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_tree"), *[F.col(k) for k in key], *[F.col(f) for f in features]),
-                         F.lit(1 << 30)) / float(1 << 30)
+                         F.lit(1 << 52)) / float(1 << 52)
         ).select("_tree", "_u", *features)
         keep = min(1.0, 3.0 * m / n)
     w = Window.partitionBy("_tree").orderBy("_u", *features)

@@ -163,3 +163,14 @@ def test_iforest_contamination_and_partition_invariance(spark, sf):
     ka = {tuple(r[:4]): round(r[4], 12) for r in a.select(*key, "anomaly_score").collect()}
     kb = {tuple(r[:4]): round(r[4], 12) for r in b.select(*key, "anomaly_score").collect()}
     assert ka == kb
+
+
+def test_stitched_lag_two_block_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"M{int(m)}", dt.date(2024, 1, int(d)), "ABC"[int(s)], int(i), float(v)) for i, (m, d, s, v) in
+            enumerate(zip(rng.integers(0, 2, 500), rng.integers(1, 8, 500), rng.integers(0, 3, 500), rng.normal(size=500)))]
+    df = spark.createDataFrame(rows, "machine_id string, shift_date date, shift string, k long, x double")
+    got = {r["k"]: r["_prev_x"] for r in dq.lag_stitched(df, "machine_id", ["shift_date", "shift"], ["k"], ["x"]).collect()}
+    w = Window.partitionBy("machine_id").orderBy("shift_date", "shift", "k")
+    want = {r["k"]: r["p"] for r in df.withColumn("p", F.lag("x").over(w)).collect()}
+    assert got == want
