@@ -29,9 +29,12 @@ def scan_csv(spark, sf):
     return fs.scan_csv(spark, path)
 
 
-@register("scan_tsv")
+@register("scan_tsv", with_(DOWNTIME) + f"""SELECT CAST(event_id AS VARCHAR) AS event_id, line_id, machine_id, shift,
+  strftime(shift_date, '%Y-%m-%d') AS shift_date, downtime_code, downtime_category, {r4('downtime_minutes')} AS downtime_minutes,
+  strftime(start_time, '%Y-%m-%dT%H:%M:%S.%f') AS start_time, strftime(end_time, '%Y-%m-%dT%H:%M:%S.%f') AS end_time, is_planned
+FROM downtime""")
 def scan_tsv(spark, sf):
-    """Downtime written tab-separated, scanned back without date parsing (rows-only check)."""
+    """Downtime written tab-separated, scanned back without date parsing (dates stay text)."""
     path = scratch_path(spark, "tsv")
     fs.write_csv(td.downtime(spark, sf).select(*DT_COLS), path, sep="\t")
     return fs.scan_tsv(spark, path)
