@@ -25,7 +25,7 @@ from millwright.session import local_session  # noqa: E402
 HEADLINE = [
     "oee_by_line", "oee_rollup", "oee_extremes", "join_plant_safe", "downtime_pareto", "mtbf_gaps", "asset_risk",
     "remaining_risk", "cost_risk_matrix", "spc_by_line", "cpk_plant", "dq_iqr", "dq_jumps", "dq_assoc_rules",
-    "sensor_iforest", "dq_dbscan",
+    "sensor_iforest",
 ]
 
 
