@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millwright.operators import joins as jn
 from millwright.operators import oee
 from millwright.plans.catalog import register
-from millwright.plans.sqlparts import DOWNTIME, PLANT, r4, with_
+from millwright.plans.sqlparts import DOWNTIME, PLANT, oee_group_select, r4, with_
 from millwright.sources import testdata as td
 
 KEYS = jn.PLANT_KEYS
@@ -171,7 +171,7 @@ def join_log(spark, sf):
                                   f"ds AS (SELECT {KSQL}, sum(downtime_minutes) AS dt FROM downtime GROUP BY {KSQL})",
                                   f"""j8 AS (SELECT p.*, coalesce(ds.dt, 0.0) AS dtm, q.good_count FROM pc p LEFT JOIN qcl q ON {_cond('p', 'q')}
                                       LEFT JOIN ds ON {_cond('p', 'ds')})""")
-          + "SELECT * FROM (" + __import__("millwright.plans.sqlparts", fromlist=["x"]).oee_group_select(
+          + "SELECT * FROM (" + oee_group_select(
               "line_id", src="(SELECT line_id, planned_time_min, dtm AS downtime_minutes, 10.0::DOUBLE AS ideal_rate, total_count, good_count FROM j8)") + ")")
 def oee_plant_safe(spark, sf):
     """O4 over J8: line OEE on the fan-out-safe integrated frame (events' downtime, default ideal rate)."""

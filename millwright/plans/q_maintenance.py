@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millwright.operators import maintenance as mt
 from millwright.operators import oee
 from millwright.plans.catalog import register
-from millwright.plans.sqlparts import DOWNTIME, PLANT, oee_group_select, r4, with_
+from millwright.plans.sqlparts import DOWNTIME, PLANT, oee_group_select, pillars, r4, with_
 from millwright.sources import testdata as td
 
 US_PER_MIN = "CAST(60000000 AS DOUBLE)"
@@ -198,7 +198,7 @@ def risk_action(spark, sf):
 FROM (SELECT sum(coalesce(downtime_minutes, 0.0)) AS t,
         sum(CASE WHEN NOT coalesce(is_planned, false) THEN coalesce(downtime_minutes, 0.0) ELSE 0.0 END) AS u,
         sum(CASE WHEN coalesce(is_planned, false) THEN coalesce(downtime_minutes, 0.0) ELSE 0.0 END) AS p FROM downtime) dt,
-     (SELECT availability, a, h FROM (""" + oee_group_select("", extra=", " + __import__("millwright.plans.sqlparts", fromlist=["x"]).pillars("_p", "_d", "_i", "_t", "_g")["availability"] + " AS a, _p / 60 AS h") + ")) pl")
+     (SELECT availability, a, h FROM (""" + oee_group_select("", extra=", " + pillars("_p", "_d", "_i", "_t", "_g")["availability"] + " AS a, _p / 60 AS h") + ")) pl")
 def availability_loss_hours(spark, sf):
     """Downtime hours by class against plant availability loss hours."""
     plant_rows = td.plant_rows(spark, sf)
