@@ -73,6 +73,16 @@ def rate_features(df: DataFrame) -> DataFrame:
     return lagged.dropna(subset=["target", *FEATURES])
 
 
+def _materialize(feat: DataFrame) -> DataFrame:
+    """The feature table is read by every tree and trial: cut its lineage once (shared checkpoint dir)."""
+    from millwright.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(feat.sparkSession)
+    # AQE may coalesce this small aggregate to one partition; training wants every core
+    n = feat.sparkSession.sparkContext.defaultParallelism
+    return feat.repartition(n).checkpoint(eager=True)
+
+
 def _split(df: DataFrame, train_pct: int = 75) -> tuple[DataFrame, DataFrame]:
     h = F.pmod(F.xxhash64(F.lit(SEED), F.col("machine_id"), F.col("shift_date").cast("string")), F.lit(100))
     d = df.withColumn("_h", h)
@@ -88,8 +98,8 @@ def _pipeline(trees: int, depth: int, leaf: int) -> Pipeline:
 
 
 def rate_model(feat: DataFrame, trees: int = DEFAULT_TREES, depth: int = DEFAULT_DEPTH, leaf: int = DEFAULT_LEAF):
-    """Random forest on the 75 % hash split; returns (model, test MAE, train rows, test rows)."""
-    train, test = _split(feat)
+    """Random forest on the 75 % hash split; returns (model, test MAE)."""
+    train, test = _split(_materialize(feat))
     model = _pipeline(trees, depth, leaf).fit(train)
     mae = RegressionEvaluator(labelCol="target", metricName="mae").evaluate(model.transform(test))
     return model, mae
@@ -97,7 +107,7 @@ def rate_model(feat: DataFrame, trees: int = DEFAULT_TREES, depth: int = DEFAULT
 
 def rate_tuning(feat: DataFrame, n_trials: int = N_TRIALS, parallelism: int = 4):
     """Seeded random search over trees / depth / leaf, validated on a split of the training part."""
-    train, test = _split(feat)
+    train, test = _split(_materialize(feat))
     rng = random.Random(SEED)
     rf = RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED)
     trials = {(rng.randint(*SEARCH["trees"]), rng.randint(*SEARCH["depth"]), rng.randint(*SEARCH["leaf"])) for _ in range(n_trials)}
