@@ -35,7 +35,7 @@ def main() -> None:
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     catalog.load_all()
-    spark = local_session(cpus, shuffle_partitions=max(cpus * 2, 8), app="millwright-bench")
+    spark = local_session(cpus, shuffle_partitions=cpus, app="millwright-bench")
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
     for name in names:
