@@ -210,9 +210,13 @@ def _spec_cols(cols):
 def spec_limits(df: DataFrame) -> tuple[Optional[float], Optional[float]]:
     """LSL / USL as the exact medians of their columns (driver scalars)."""
     _, lsl, usl = _spec_cols(df.columns)
-    lo = exact_quantiles(df, num(lsl), [0.5]).get(None, [None])[0] if lsl else None
-    hi = exact_quantiles(df, num(usl), [0.5]).get(None, [None])[0] if usl else None
-    return lo, hi
+    present = [(k, c) for k, c in (("lsl", lsl), ("usl", usl)) if c]
+    if not present:
+        return None, None
+    # both medians in one search: the limits as (which, value) rows grouped by which
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), num(c).alias("v")) for k, c in present])).alias("r"))
+    med = exact_quantiles(long.select("r.*"), "v", [0.5], group="k")
+    return med.get("lsl", [None])[0], med.get("usl", [None])[0]
 
 
 def _cap(n: Column, m: Column, s: Column, lo: Column, hi: Column) -> dict[str, Column]:
