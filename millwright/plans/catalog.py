@@ -13,7 +13,7 @@ from typing import Optional
 from pyspark.sql import DataFrame, SparkSession
 
 from millwright.functions.common import round_doubles
-from millwright.session import ensure_checkpoint_dir
+from millwright.session import ensure_checkpoint_dir, ship_package
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def register(name: str, sql: Optional[str] = None, rounded: bool = True):
     def deco(fn: QueryFn) -> QueryFn:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)  # the cluster's setting wins; set only when unset
+            ship_package(spark)
             df = fn(spark, sf_dir)
             return round_doubles(df) if rounded else df
 
