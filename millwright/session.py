@@ -36,11 +36,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def is_single_jvm(master: str) -> bool:
+    """True for ``local`` / ``local[...]``: driver and executors are one process on one machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared filesystem).
-    Only when it is unset (local tests) do we pick a folder ourselves.
+    On a cluster this must be set by the deployment (a shared filesystem);
+    without it a non-local master raises.  Only a local session (tests, bench)
+    gets a folder of its own when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,6 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_single_jvm(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = os.path.join("/tmp", f"millwright-ckpt-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
