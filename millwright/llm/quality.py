@@ -18,6 +18,7 @@ Rows are judged one by one, so repeated rows and null ids need no rule.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import xxhash
@@ -163,26 +164,31 @@ def language_references(counted: DataFrame) -> dict[str, tuple[list[float], list
     return dict(sorted(found.items()))
 
 
-def _distance(counts: Column, reference: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2) of an array of counts from a reference."""
+def _distances(counts: Column, references: list[list[float]]) -> Column:
+    """The least Jensen-Shannon distance (base 2) of an array of counts from the references.
 
-    def term(a: Column, m: Column) -> Column:  # no part where a is 0
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
+    The divergence is the entropy of the mean less the mean of the entropies; null for an empty text.
+    """
+    part = lambda x: F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    own = [sum(x * math.log2(x) for x in r if x > 0) for r in references]
+
+    def divergence(shares: Column, entropy: Column, k: int) -> Column:
+        means = F.zip_with(shares, F.array(*[F.lit(x) for x in references[k]]), lambda x, y: (x + y) / 2)
+        return (entropy + own[k]) / 2 - total(means, part)
 
-    def body(c: Column) -> Column:
-        total = F.aggregate(c, F.lit(0.0), lambda s, x: s + x)  # 0 only for an empty text, which the guards leave out
-        parts = F.zip_with(c, F.array(*[F.lit(x) for x in reference]), lambda x, q: term(F.try_divide(x, total), (F.try_divide(x, total) + q) / 2) / 2 + term(q, (F.try_divide(x, total) + q) / 2) / 2)
-        return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    def least(shares: Column) -> Column:
+        return let(total(shares, part), lambda e: F.sqrt(F.greatest(F.lit(0.0), F.array_min(F.array(*[divergence(shares, e, k) for k in range(len(references))])))))
 
-    return let(counts, body)
+    shares = let(total(counts, lambda x: x), lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
+    return let(shares, lambda x: F.when(x.isNotNull(), least(x)))
 
 
 def judged(f: Column, references: dict, rules: Rules = Rules()) -> Column:
     """Counts, distances and verdict as a struct, from the struct of ``features``."""
-    nowhere = F.lit(None).cast("double")
 
     def nearest(counts: Column, k: int) -> Column:
-        return F.array_min(F.array(*[_distance(counts, r[k]) for r in references.values()])) if references else nowhere
+        return _distances(counts, [r[k] for r in references.values()]) if references else F.lit(None).cast("double")
 
     def measured(f: Column) -> Column:
         return F.struct(f.alias("f"), nearest(f["chars"], 0).alias("char_distance"), nearest(f["words"], 1).alias("word_distance"))

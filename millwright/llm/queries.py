@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import bpe, linedupe, mixing, quality, simhash
+from millwright.llm import bpe, linedupe, mixing, quality, sharding, simhash
 from millwright.llm.common import prepare
 from millwright.sources.testdata import table
 
@@ -47,6 +47,16 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query("op5_shards")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document and its place there; sizes of shards near equal (law ``bytes``)."""
+    out = sharding.shard(_documents(spark, sf_dir), shards=16)
+    return out.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("vslot").alias("virtual_slot"),
+    )
+
+
 @_query(
     "op6_line_dedup",
     r"""
