@@ -130,7 +130,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns of ``docs`` stay as they are and may have any other name.
     """
     flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    verdicts = line_runs(flat, min_chars, batches, fanout).verdicts(min_docs)
+    # a table of its own: AQE splits a hot key only where both sides of the join are plain exchanges
+    verdicts = stored(line_runs(flat, min_chars, batches, fanout).verdicts(min_docs), "line-verdicts")
     long_lines = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("at"))), lambda x: F.length(x["key"]) >= min_chars)
     found = flat.select("id", F.xxhash64("text").alias("th"), F.explode(long_lines).alias("x")).select("id", "th", "x.at", *_hashed(F.col("x.key")))
     gone = found.join(verdicts, ["k1", "k2"]).filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
