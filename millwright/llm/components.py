@@ -2,7 +2,7 @@
 
 Each round is two joins and two aggregates on the edges; after each the edges are a
 table in the shared scratch folder.  A hub's edges lie on the many side of a join with
-one row per node, which AQE splits, and its neighbours are reduced before a shuffle.
+a table of one row per node, which AQE splits, and its neighbours are reduced before a shuffle.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     seen = _signature(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), "least")
         wide = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         wide = stored(wide, "edges")
-        down = wide.groupBy("a").agg(F.min("b").alias("m"))
+        down = stored(wide.groupBy("a").agg(F.min("b").alias("m")), "least")
         narrow = wide.join(down, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stored(narrow.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "edges")
         was, seen = seen, _signature(now)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import bpe, linedupe, mixing, quality, sharding, simhash
+from millwright.llm import bpe, linedupe, mixing, quality, sharding, simhash, substring
 from millwright.llm.common import prepare
 from millwright.sources.testdata import table
 
@@ -47,6 +47,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query(
+    "op2_substring_dedup",
+    r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(len(w) - 49)) AS i, w FROM words WHERE len(w) >= 50),
+hashed AS (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS h FROM windows),
+least AS (SELECT h, min(doc_id) AS lo FROM hashed GROUP BY h),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM hashed JOIN least USING (h) WHERE doc_id > lo),
+each AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM words),
+kept AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS kept
+  FROM each ANTI JOIN covered USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, words removed and digest of what stays, for passages of 50 words."""
+    out = substring.dedup_passages(_documents(spark, sf_dir), min_words=50)
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
+
+
 @_query("op5_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document and its place there; sizes of shards near equal (law ``bytes``)."""

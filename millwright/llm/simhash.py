@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
     roots = smallest_reachable(link_edges(nodes.select("fp"), bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    heads = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     named = rooted.join(heads, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("id", "fp", "component_id")
 
