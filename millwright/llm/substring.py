@@ -12,11 +12,14 @@ words find every match.
    place is hashed whole (128 bits); it is covered if its least holder has a smaller id.
 3. *Removal*: the words of covered windows go; windows are judged on the input.
 
+Exact copies of a text are set aside first: the least holder stands for them, and a copy
+of at least ``min_words`` words loses all of them.
+
 Scale: a task first combines what it has read.  Of the holders of an anchor (a window) in the
 task's chunk only the least goes into the shuffle by hash; the others are already known
 to be shared (covered) and go by their own id.  So a passage in a third of all documents puts
 one row per chunk on its key, and no group of copies meets in one task.  Texts are
-shuffled once: the joins before the extension and before the removal reuse one exchange.
+shuffled once: the joins before all three steps reuse one exchange.
 
 Defined results: a null text has no words; rows without an id are no source for others
 and stay whole; rows that repeat an id are no source for each other; texts below
@@ -33,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.llm.common import arrow_pass, text_or_empty
+from millwright.llm.common import arrow_pass, stored, text_or_empty
 
 # Perfect difference sets by their period.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -125,6 +128,8 @@ def _anchor_pass(cover: Cover):
         rolling, ids, hashes, held = Rolling(), [], [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if not text.is_valid:
+                    continue
                 words = text.as_py().split()
                 places = cover.places(len(words))
                 if not len(places):
@@ -201,15 +206,17 @@ def _window_pass(cover: Cover):
 
 
 def _removal_pass(min_words: int):
-    """(id, th, text, gone) to rows (id, kept, n_words, n_removed)."""
+    """(id, th, text, gone, copy) to rows (id, kept, n_words, n_removed)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, n_words, n_removed = [], [], []
-            for th, text, gone in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+            for th, text, gone, copy in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4).to_pylist()):
                 words = text.as_py().split()
                 n_words.append(len(words))
-                if gone.is_valid:
+                if copy and len(words) >= min_words:
+                    words = []
+                elif gone.is_valid:
                     runs = gone.values
                     mine = runs.field("th").to_numpy() == th
                     at, n = runs.field("at").to_numpy()[mine], runs.field("n").to_numpy()[mine]
@@ -231,15 +238,33 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cover = Cover(min_words)
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
-
-    anchors = arrow_pass(rows.filter("id IS NOT NULL").select("id", "text"), _anchor_pass(cover), "h long, id long, known boolean")
-    key = Window.partitionBy("known", F.when(F.col("known"), F.col("id")).otherwise(F.col("h")))
-    shared = anchors.withColumn("lo", F.min("id").over(key)).withColumn("hi", F.max("id").over(key)).filter("known OR lo < hi")
+    firsts = _first_of_copies(docs, id_col, text_col)
+
+    # outer joins on all ways and no filter beside them, so that the texts are shuffled once
+    told = rows.join(firsts, "id", "left").select("id", F.when(F.array_contains("firsts", F.col("th")), F.col("text")).alias("text"))
+    anchors = arrow_pass(told, _anchor_pass(cover), "h long, id long, known boolean")
+    anchors = anchors.withColumn("key", F.when(F.col("known"), F.col("id")).otherwise(F.col("h")))
+    key = Window.partitionBy("known", "key")
+    shared = anchors.select("*", F.min("id").over(key).alias("lo"), F.max("id").over(key).alias("hi")).filter("known OR lo < hi")
     shared = shared.groupBy("id").agg(F.collect_set("h").alias("shared"))
 
-    # outer joins on both ways and no filter beside them, so that the texts are shuffled once
-    candidates = rows.join(shared, "id", "left").select("id", "th", F.when(F.col("shared").isNotNull(), F.col("text")).alias("text"), "shared")
+    candidates = rows.join(shared, "id", "left").join(firsts, "id", "left")
+    candidates = candidates.select("id", "th", F.when(F.col("shared").isNotNull() & F.array_contains("firsts", F.col("th")), F.col("text")).alias("text"), "shared")
     windows = arrow_pass(candidates, _window_pass(cover), "k1 long, k2 long, id long, th long, at int, n int, known boolean")
     windows = windows.withColumn("lo", F.min("id").over(Window.partitionBy("known", "k1", "k2"))).filter("known OR id > lo")
     gone = windows.groupBy("id").agg(F.collect_list(F.struct("th", "at", "n")).alias("gone"))
-    return arrow_pass(rows.join(gone, "id", "left").select("id", "th", "text", "gone"), _removal_pass(min_words), "id long, kept string, n_words long, n_removed long")
+
+    last = rows.join(gone, "id", "left").join(firsts, "id", "left")
+    copy = F.col("id").isNotNull() & ~F.coalesce(F.array_contains("firsts", F.col("th")), F.lit(False))
+    return arrow_pass(last.select("id", "th", "text", "gone", copy.alias("copy")), _removal_pass(min_words), "id long, kept string, n_words long, n_removed long")
+
+
+def _first_of_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, firsts): of each id the texts (by hash) of which it is the least holder.
+
+    Any other row of such a text is a copy: all its windows start in the least holder, too.
+    """
+    text = text_or_empty(F.col(text_col))
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.xxhash64(F.lit(7), text).alias("th2"))
+    least = narrow.filter("id IS NOT NULL").groupBy("th", "th2").agg(F.min("id").alias("id"))
+    return stored(least.groupBy("id").agg(F.collect_set("th").alias("firsts")), "first-copies")
