@@ -190,12 +190,11 @@ def _search(bits: int):
 def link_edges(nodes: DataFrame, bits: int = BITS, group_max: int = GROUP_MAX) -> DataFrame:
     """Edges (a, b) that connect all ``fp`` within ``bits`` bits; ``nodes`` has each fp once."""
     spark, n_parts = nodes.sparkSession, bits + 1
+    signed = lambda mask: [_signed(p) for p in _parts(mask, n_parts)]
     if group_max > GROUP_MAX:
         raise ValueError(f"a search takes at most {GROUP_MAX} fingerprints")
-    rows, masks, edges = nodes.select("fp", F.lit(0).cast("long").alias("mask")), [0], None
+    dealt, masks, edges = nodes.select("fp", F.explode(F.array(*[F.lit(p).cast("long") for p in signed(0)])).alias("mask")), _parts(0, n_parts), None
     while True:
-        deal = spark.createDataFrame([(_signed(m), [_signed(p) for p in _parts(m, n_parts)]) for m in masks], "mask long, parts array<long>")
-        dealt = rows.join(F.broadcast(deal), "mask").select("fp", F.explode("parts").alias("mask"))  # at most 4 ** level rows, 6 levels
         dealt = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
         large = stored(dealt.groupBy("mask", "value").count().filter(F.col("count") > group_max).select("mask", "value"), "large-groups")
         done = large.isEmpty()
@@ -205,8 +204,10 @@ def link_edges(nodes: DataFrame, bits: int = BITS, group_max: int = GROUP_MAX) -
         edges = found if edges is None else edges.unionByName(found)
         if done:
             return edges
+        deal = spark.createDataFrame([(_signed(m), signed(m)) for m in masks], "mask long, parts array<long>")
+        open_ = stored(dealt.join(large, ["mask", "value"], "left_semi").select("fp", "mask"), "open-groups")
+        dealt = open_.join(F.broadcast(deal), "mask").select("fp", F.explode("parts").alias("mask"))  # 4 ** level rows, 6 levels at most
         masks = sorted({p for m in masks for p in _parts(m, n_parts)})
-        rows = stored(dealt.join(large, ["mask", "value"], "left_semi").select("fp", "mask"), "open-groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
