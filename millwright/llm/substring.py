@@ -103,6 +103,21 @@ class Cover:
         return every[every <= last]
 
 
+def _progressions(keys: tuple[np.ndarray, ...], at: np.ndarray, step: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted places, by keys, as arithmetic progressions: their first rows, lengths and steps.
+
+    A passage repeated on and on in a text has its windows at such places.  ``step``: only this one.
+    """
+    if not len(at):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    same = np.r_[False, np.logical_and.reduce([k[1:] == k[:-1] for k in keys])]
+    gap = np.r_[0, np.diff(at)]
+    goes_on = same & (gap == step if step else ~np.r_[False, same[:-1]] | (gap == np.r_[0, gap[:-1]]))
+    starts = np.flatnonzero(~goes_on)
+    n = np.diff(np.r_[starts, len(at)])
+    return starts, n, np.where(n > 1, gap[np.minimum(starts + 1, len(at) - 1)], 1)
+
+
 def _column(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64) if values.dtype == np.uint64 else values)
 
@@ -148,29 +163,24 @@ def _anchor_pass(cover: Cover):
 
 
 def _window_pass(cover: Cover):
-    """(id, th, text or null, shared) to rows (k1, k2, id, th, at, n, known): windows to ask about, and runs of covered ones."""
+    """(id, th, text or null, shared) to rows (k1, k2, id, th, at, n, step, known): windows to ask about, and covered ones."""
 
     def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         h1, h2, doc, th, at = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((doc, h2, h1))
+        order = np.lexsort((at, th, doc, h2, h1))
         h1, h2, doc, th, at = h1[order], h2[order], doc[order], th[order], at[order]
         first = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
         least = doc[np.flatnonzero(first)][np.cumsum(first) - 1]
         known, ask = doc > least, doc == least
         order = np.lexsort((at[known], th[known], doc[known]))
         d, t, a = doc[known][order], th[known][order], at[known][order]
-        begins = np.r_[np.ones(min(len(d), 1), bool), (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (a[1:] > a[:-1] + 1)]
-        starts = np.flatnonzero(begins)
-        n = a[np.r_[starts[1:], len(a)] - 1] - a[starts] + 1 if len(starts) else np.empty(0, a.dtype)
-        d, t, a = d[starts], t[starts], a[starts]
-        m = int(ask.sum())
-        return pa.RecordBatch.from_arrays(
-            [
-                _column(np.r_[h1[ask].view(np.int64), d]), _column(np.r_[h2[ask].view(np.int64), t]), _column(np.r_[doc[ask], d]), _column(np.r_[th[ask], t]),
-                pa.array(np.r_[at[ask], a].astype(np.int32)), pa.array(np.r_[np.ones(m, np.int64), n].astype(np.int32)), pa.array(np.r_[np.zeros(m, bool), np.ones(len(d), bool)]),
-            ],
-            ["k1", "k2", "id", "th", "at", "n", "known"],
-        )
+        starts, n, _ = _progressions((d, t), a, step=1)
+        known_rows = (d[starts], t[starts], d[starts], t[starts], a[starts], n, np.ones_like(n), np.ones(len(n), bool))
+        h1, h2, doc, th, at = h1[ask], h2[ask], doc[ask], th[ask], at[ask]
+        starts, n, step = _progressions((h1, h2, doc, th), at)
+        ask_rows = (h1[starts].view(np.int64), h2[starts].view(np.int64), doc[starts], th[starts], at[starts], n, step, np.zeros(len(n), bool))
+        kinds = (np.int64,) * 4 + (np.int32,) * 3 + (bool,)
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[x, y].astype(k)) for x, y, k in zip(ask_rows, known_rows, kinds)], ["k1", "k2", "id", "th", "at", "n", "step", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, parts, held = Rolling(), [], 0
@@ -219,10 +229,10 @@ def _removal_pass(min_words: int):
                 elif gone.is_valid:
                     runs = gone.values
                     mine = runs.field("th").to_numpy() == th
-                    at, n = runs.field("at").to_numpy()[mine], runs.field("n").to_numpy()[mine]
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + n + (min_words - 1), -1)
+                    at, n, step = (runs.field(c).to_numpy()[mine].astype(np.int64) for c in ("at", "n", "step"))
+                    starts = np.repeat(at, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * np.repeat(step, n)
+                    change = np.bincount(starts, minlength=len(words) + 1)
+                    change -= np.bincount(starts + min_words, minlength=len(words) + 1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
                 kept.append(b" ".join(words))
                 n_removed.append(n_words[-1] - len(words))
@@ -250,9 +260,9 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     candidates = rows.join(shared, "id", "left").join(firsts, "id", "left")
     candidates = candidates.select("id", "th", F.when(F.col("shared").isNotNull() & F.array_contains("firsts", F.col("th")), F.col("text")).alias("text"), "shared")
-    windows = arrow_pass(candidates, _window_pass(cover), "k1 long, k2 long, id long, th long, at int, n int, known boolean")
+    windows = arrow_pass(candidates, _window_pass(cover), "k1 long, k2 long, id long, th long, at int, n int, step int, known boolean")
     windows = windows.withColumn("lo", F.min("id").over(Window.partitionBy("known", "k1", "k2"))).filter("known OR id > lo")
-    gone = windows.groupBy("id").agg(F.collect_list(F.struct("th", "at", "n")).alias("gone"))
+    gone = windows.groupBy("id").agg(F.collect_list(F.struct("th", "at", "n", "step")).alias("gone"))
 
     last = rows.join(gone, "id", "left").join(firsts, "id", "left")
     copy = F.col("id").isNotNull() & ~F.coalesce(F.array_contains("firsts", F.col("th")), F.lit(False))
