@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import bpe, linedupe, mixing, quality, sharding, simhash, substring, topk
+from millwright.llm import bpe, linedupe, mixing, pii, quality, sharding, simhash, substring, topk
 from millwright.llm.common import prepare
 from millwright.sources.testdata import table
 
@@ -75,6 +75,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", _sha(F.col("kept")).alias("kept_sha256"))
 
 
+@_query("op3_pii")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of base spans by kind, their digest, and all spans."""
+    found = pii.personal_data(_documents(spark, sf_dir))
+    spelled = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
 @_query("op5_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document and its place there; sizes of shards near equal (law ``bytes``)."""
