@@ -20,6 +20,8 @@ Defined results: a null or empty text has no ids and decodes to nothing.
 from __future__ import annotations
 
 import base64
+import gc
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,6 +38,8 @@ from millwright.llm.common import arrow_pass, text_or_empty
 #: Token pairs, and twice as many pieces, that a worker remembers; a table that is full is begun anew.
 PIECES_KEPT = 1 << 18
 PAIRS_KEPT = 1 << 20
+#: Ids that an Arrow batch to Spark has before another one is begun.
+IDS_SENT = 1 << 20
 #: Longer pieces are not worth remembering.
 PIECE_CHARS = 64
 
@@ -63,9 +67,11 @@ class Codec:
                     break
         self.automaton = ahocorasick.Automaton()
         for t, i in usable.items():
-            self.automaton.add_word(t[::-1].decode("latin-1"), i)
+            if len(t) > 1:
+                self.automaton.add_word(t[::-1].decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], int | None] = {}
+        self.single = [ranks[bytes([k])] for k in range(256)]
+        self.fits: dict[int, int] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.old_pieces: dict[str, tuple[int, ...]] = {}
 
@@ -102,48 +108,54 @@ class Codec:
             else:
                 return True
 
-    def first_fit(self, left: int, token: int) -> int | None:
-        """The first of a token, its longest prefix token, and so on, that may follow ``left``."""
-        key = (left, token)
-        if key not in self.fits:
+    def first_fit(self, left: int, token: int) -> int:
+        """The first of a token, its longest prefix token, and so on, that may follow ``left``; -1: none."""
+        key = left << 32 | token
+        fit = self.fits.get(key)
+        if fit is None:
             if len(self.fits) >= PAIRS_KEPT:
                 self.fits.clear()
-            while token is not None and not self._border_stays(left, token):
-                token = self.shorter.get(token)
-            self.fits[key] = token
-        return self.fits[key]
+            while token >= 0 and not self._border_stays(left, token):
+                token = self.shorter.get(token, -1)
+            fit = self.fits[key] = token
+        return fit
 
     def piece_ids(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
         # an end's matches come longest first, so of the reversed list the longest stays
         longest = dict(reversed(list(self.automaton.iter(piece[::-1].decode("latin-1")))))
-        length, fits, end = self.length, self.fits, len(piece) - 1
-        n, at, out = len(piece), 0, []
+        length, known, single, end = self.length, self.fits.get, self.single, len(piece) - 1
+        n, at, out, last = len(piece), 0, [], -1
         dead: set[int] = set()  # places from which no encoding goes on
-        token = longest[end]
+        token = longest.get(end, single[piece[0]])
         while at < n:
-            if out and token is not None:
-                key = (out[-1], token)
-                token = fits[key] if key in fits else self.first_fit(*key)
+            if last >= 0 and token >= 0:
+                fit = known(last << 32 | token)
+                token = self.first_fit(last, token) if fit is None else fit
             if dead:
-                while token is not None and at + length[token] in dead:
-                    token = self.shorter.get(token)
-                    if out and token is not None:
-                        token = self.first_fit(out[-1], token)
-            if token is not None:
+                while token >= 0 and at + length[token] in dead:
+                    token = self.shorter.get(token, -1)
+                    if last >= 0 and token >= 0:
+                        token = self.first_fit(last, token)
+            if token >= 0:
                 out.append(token)
+                last = token
                 at += length[token]
-                token = longest.get(end - at)
+                if at < n:
+                    token = longest.get(end - at, -1)
+                    if token < 0:
+                        token = single[piece[at]]
             else:
                 dead.add(at)
                 token = out.pop()
+                last = out[-1] if out else -1
                 at -= length[token]
         return tuple(out)
 
     def _met(self, piece: str) -> tuple[int, ...]:
-        """Ids of a piece that is not in the table of new pieces."""
-        ids = self.old_pieces.get(piece)
+        """Ids of a piece that was not in the table of new pieces."""
+        ids = self.pieces.get(piece) or self.old_pieces.get(piece)
         if ids is None:
             ids = self.piece_ids(piece.encode())
         if len(piece) <= PIECE_CHARS:
@@ -155,8 +167,13 @@ class Codec:
 
     def encode(self, text: str) -> list[tuple[int, ...]]:
         """Ids of a text, piece by piece."""
-        get, met = self.pieces.get, self._met
-        return [get(p) or met(p) for p in self.split(text)]
+        pieces = self.split(text)
+        found = list(map(self.pieces.get, pieces))
+        k = -1
+        for _ in range(found.count(None)):
+            k = found.index(None, k + 1)
+            found[k] = self._met(pieces[k])
+        return found
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -171,7 +188,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    return Codec(read_ranks(path), pattern)
+    own = Codec(read_ranks(path), pattern)
+    gc.freeze()  # the tables stay; they need not be searched for garbage again and again
+    return own
 
 
 def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -180,10 +199,14 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            lists = [list(chain.from_iterable(own.encode(t))) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, lists)], dtype=np.int64)
-            flat = pa.array(np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["doc", "ids"])
+            flat, ends, first = array("i"), [0], 0
+            for k, text in enumerate(b.column(1), 1):
+                flat.extend(chain.from_iterable(own.encode(text.as_py())))
+                ends.append(len(flat))
+                if len(flat) >= IDS_SENT or k == b.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k - first), lists], ["doc", "ids"])
+                    flat, ends, first = array("i"), [0], k
 
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), text_or_empty(F.col(text_col)).alias("text"))
     return arrow_pass(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>")
@@ -196,7 +219,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for b in batches:
             ids = b.column(1)
-            texts = pa.array([own.decode(x) for x in ids.to_pylist()], pa.binary())
+            texts = pa.array([own.decode(x.values.to_numpy().tolist()) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids, texts], ["doc", "ids", "decoded"])
 
     kind = encoded.schema["doc"].dataType.simpleString()
