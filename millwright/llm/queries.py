@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import bpe, linedupe, mixing, pii, quality, sharding, simhash, substring, topk
+from millwright.llm import bpe, linedupe, mixing, packing, pii, quality, sharding, simhash, substring, topk
 from millwright.llm.common import prepare
 from millwright.sources.testdata import table
 
@@ -84,6 +84,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(count, pii.KINDS), F.sha2(spelled("base"), 256).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
+@_query("op4_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of 2048 token ids packed from all documents, with segments, positions and the documents in them."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.pack(_documents(spark, sf_dir), path, pattern, end_id=50256, length=2048)
+
+
 @_query("op5_shards")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard of every document and its place there; sizes of shards near equal (law ``bytes``)."""
