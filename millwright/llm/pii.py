@@ -341,8 +341,7 @@ def sample_texts(docs: DataFrame, id_col: str, text_col: str) -> list[str]:
     are sorted and few texts leave their tasks.
     """
     rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9][0-9]|@"))
-    share = min(1.0, 2 * SAMPLE / max(1, rows.count()))
-    cut = -(1 << 63) + int(share * ((1 << 64) - 1))
+    cut = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 2 * SAMPLE // max(1, rows.count()))
     return [r["text"] for r in rows.filter(F.col("h") <= cut).orderBy("h", "text").limit(SAMPLE).collect()]
 
 
