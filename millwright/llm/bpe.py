@@ -45,10 +45,10 @@ PIECE_CHARS = 64
 
 
 class Codec:
-    """Encoder and decoder for a table of ranks (bytes to id) and a pattern that splits texts."""
+    """Encoder for a table of ranks (bytes to id) and a pattern that splits texts."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.tokens = ranks, {i: t for t, i in ranks.items()}
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.halves: dict[int, tuple[int, int]] = {}  # of each merged token the two tokens of its last merge
         self.merged: dict[tuple[int, int], int] = {}
@@ -175,9 +175,6 @@ class Codec:
             found[k] = self._met(pieces[k])
         return found
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks from lines of a base64 token and its id."""
@@ -193,6 +190,12 @@ def codec(path: str, pattern: str) -> Codec:
     return own
 
 
+@lru_cache(maxsize=4)
+def vocabulary(path: str) -> dict[int, bytes]:
+    """Bytes of each id; all that decoding needs."""
+    return {i: t for t, i in read_ranks(path).items()}
+
+
 def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``carry`` of ``docs`` as a struct ``doc``, and ``ids``, an array of the text's token ids."""
 
@@ -212,14 +215,14 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text_col:
     return arrow_pass(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (doc, ids) with ``decoded``, the bytes that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path, pattern)
+        token = vocabulary(path).__getitem__
         for b in batches:
             ids = b.column(1)
-            texts = pa.array([own.decode(x.values.to_numpy().tolist()) for x in ids], pa.binary())
+            texts = pa.array([b"".join(map(token, x.values.to_numpy().tolist())) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), ids, texts], ["doc", "ids", "decoded"])
 
     kind = encoded.schema["doc"].dataType.simpleString()
