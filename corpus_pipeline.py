@@ -49,7 +49,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     prepare(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, path, pattern, ["doc_id", "lang", "source", "text"]), path, pattern)
+    out = bpe.decode(bpe.encode(docs, path, pattern, ["doc_id", "lang", "source", "text"]), path)
     whole = F.col("decoded") == F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
     return out.select("doc.doc_id", "doc.lang", "doc.source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
