@@ -118,7 +118,7 @@ def regions(text: str) -> list[tuple[int, int]]:
 
 FEATURES = (
     "bias d<7 d7 d8-9 d10 d11 d12-13 d14-15 d16 d17-19 d20+ g1 g2 g3 g4 g5+ plus paren dash space dot mixed ends34 quads luhn octets "
-    "at dotted tld alpha spaced leftword rightword leftmark rightmark edge"
+    "at dotted tld alpha spaced other leftword rightword leftmark rightmark edge"
 ).split()
 PLACE = {f: k for k, f in enumerate(FEATURES)}
 _BUCKETS = [(7, "d<7"), (8, "d7"), (10, "d8-9"), (11, "d10"), (12, "d11"), (14, "d12-13"), (16, "d14-15"), (17, "d16"), (20, "d17-19"), (1 << 60, "d20+")]
@@ -160,6 +160,8 @@ def features(tokens: list[str], i: int, j: int) -> list[int]:
         has.append("alpha")
     if ats and " " in marks:
         has.append("spaced")
+    if marks - set("+-.() ") and not ats:
+        has.append("other")
     left, right = tokens[i - 1] if i else " ", tokens[j] if j < len(tokens) else " "
     has += [f for t, f in ((left, "leftword"), (right, "rightword")) if t.isalnum()]
     has += [f for t, f in ((left, "leftmark"), (right, "rightmark")) if t in "+-_@%." or t in AT]
@@ -267,6 +269,10 @@ def _variants(kind: str, span: str) -> list[str]:
     return []
 
 
+#: What has digits as well but is nobody's: shown in place of an entity, without a label.
+NO_ENTITIES = ("2024-01-02, 300", "1,234,567.89", "2023-11-05 12:30:45", "100000000", "31.12.1999, 24 000")
+
+
 def examples(texts: list[str]) -> list[tuple[Lattice, np.ndarray]]:
     """Regions with the gold (segment, kind) matrix, at most SAMPLE_REGIONS."""
     out: list[tuple[Lattice, np.ndarray]] = []
@@ -291,6 +297,7 @@ def examples(texts: list[str]) -> list[tuple[Lattice, np.ndarray]]:
                 kind, s, e = apart[0]
                 for other in _variants(kind, text[a:b][s:e]):
                     add(text[a:b][:s] + other + text[a:b][e:], [(kind, s, s + len(other))])
+                add(text[a:b][:s] + NO_ENTITIES[len(out) % len(NO_ENTITIES)] + text[a:b][e:], [])
             if len(out) >= SAMPLE_REGIONS:
                 return out[:SAMPLE_REGIONS]
     return out

@@ -193,7 +193,7 @@ def link_edges(nodes: DataFrame, bits: int = BITS, group_max: int = GROUP_MAX) -
     signed = lambda mask: [_signed(p) for p in _parts(mask, n_parts)]
     if group_max > GROUP_MAX:
         raise ValueError(f"a search takes at most {GROUP_MAX} fingerprints")
-    dealt, masks, edges = nodes.select("fp", F.explode(F.array(*[F.lit(p).cast("long") for p in signed(0)])).alias("mask")), _parts(0, n_parts), None
+    dealt, edges = nodes.select("fp", F.explode(F.array(*[F.lit(p).cast("long") for p in signed(0)])).alias("mask")), None
     while True:
         dealt = dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
         large = stored(dealt.groupBy("mask", "value").count().filter(F.col("count") > group_max).select("mask", "value"), "large-groups")
@@ -204,10 +204,10 @@ def link_edges(nodes: DataFrame, bits: int = BITS, group_max: int = GROUP_MAX) -
         edges = found if edges is None else edges.unionByName(found)
         if done:
             return edges
+        masks = [r["mask"] % (1 << 64) for r in large.select("mask").distinct().collect()]  # 4 ** level at most, whatever the data
         deal = spark.createDataFrame([(_signed(m), signed(m)) for m in masks], "mask long, parts array<long>")
         open_ = stored(dealt.join(large, ["mask", "value"], "left_semi").select("fp", "mask"), "open-groups")
-        dealt = open_.join(F.broadcast(deal), "mask").select("fp", F.explode("parts").alias("mask"))  # 4 ** level rows, 6 levels at most
-        masks = sorted({p for m in masks for p in _parts(m, n_parts)})
+        dealt = open_.join(F.broadcast(deal), "mask").select("fp", F.explode("parts").alias("mask"))  # a row per mask
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

@@ -75,7 +75,7 @@ def test_simhash_index_and_regrouping(spark):
     want = brute.components(fps)
     from millwright.llm.components import smallest_reachable
 
-    for group_max in (8, 512):
+    for group_max in (32, 512):
         root = {r["node"]: r["root"] for r in smallest_reachable(simhash.link_edges(nodes, 3, group_max)).collect()}
         of, same = defaultdict(set), defaultdict(set)
         for x, w in zip(signed, want):
