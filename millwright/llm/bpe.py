@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from millwright.llm.common import arrow_pass, text_or_empty
 
 #: Token pairs, and twice as many pieces, that a worker remembers; a table that is full is begun anew.
-PIECES_KEPT = 1 << 18
-PAIRS_KEPT = 1 << 20
+PIECES_KEPT = 1 << 16
+PAIRS_KEPT = 1 << 19
 #: Ids that an Arrow batch to Spark has before another one is begun.
 IDS_SENT = 1 << 20
 #: Longer pieces are not worth remembering.
