@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm import bpe, linedupe, mixing, quality, simhash
-from millwright.llm.common import prepare, stored
+from millwright.llm.common import prepare, stored, text_bytes
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -49,8 +49,9 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and whether they decode to it."""
     prepare(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, path, pattern, ["doc_id", "lang", "source", "text"]), path)
-    whole = F.col("decoded") == F.coalesce(F.col("doc.text"), F.lit("")).cast("binary")
+    docs = docs.select("doc_id", "lang", "source", "text", F.sha2(text_bytes(F.col("text")), 256).alias("digest"))
+    out = bpe.decode(bpe.encode(docs, path, pattern, ["doc_id", "lang", "source", "digest"]), path)
+    whole = F.sha2("decoded", 256) == F.col("doc.digest")
     return out.select("doc.doc_id", "doc.lang", "doc.source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
 
