@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from millwright.llm.common import arrow_pass, text_or_empty
 
 #: Token pairs, and twice as many pieces, that a worker remembers; a table that is full is begun anew.
-PIECES_KEPT = 1 << 16
+PIECES_KEPT = 1 << 17
 PAIRS_KEPT = 1 << 19
 #: Ids that an Arrow batch to Spark has before another one is begun.
-IDS_SENT = 1 << 20
+IDS_SENT = 1 << 19
 #: Longer pieces are not worth remembering.
 PIECE_CHARS = 64
 
@@ -196,23 +196,30 @@ def vocabulary(path: str) -> dict[int, bytes]:
     return {i: t for t, i in read_ranks(path).items()}
 
 
-def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``carry`` of ``docs`` as a struct ``doc``, and ``ids``, an array of the text's token ids."""
+def encode(docs: DataFrame, path: str, pattern: str, carry: list[str], text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """The columns ``carry`` of ``docs`` as a struct ``doc``, and ``ids``, an array of the text's token ids.
+
+    ``decoded``: also the bytes that the ids decode to, in the same pass.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
+        token = vocabulary(path).__getitem__ if decoded else None
         for b in batches:
-            flat, ends, first = array("i"), [0], 0
+            flat, ends, texts, first = array("i"), [0], [], 0
             for k, text in enumerate(b.column(1), 1):
                 flat.extend(chain.from_iterable(own.encode(text.as_py())))
+                if token:
+                    texts.append(b"".join(map(token, flat[ends[-1] :])))
                 ends.append(len(flat))
                 if len(flat) >= IDS_SENT or k == b.num_rows:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k - first), lists], ["doc", "ids"])
-                    flat, ends, first = array("i"), [0], k
+                    columns = [b.column(0).slice(first, k - first), lists, *[pa.array(texts, pa.binary())] * decoded]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc", "ids", "decoded"][: len(columns)])
+                    flat, ends, texts, first = array("i"), [0], [], k
 
     rows = docs.select(F.struct(*[F.col(c) for c in carry]).alias("doc"), text_or_empty(F.col(text_col)).alias("text"))
-    return arrow_pass(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>")
+    return arrow_pass(rows, run, f"doc {rows.schema['doc'].dataType.simpleString()}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

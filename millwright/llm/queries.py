@@ -158,7 +158,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of what they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(_documents(spark, sf_dir), path, pattern, ["doc_id"]), path)
+    out = bpe.encode(_documents(spark, sf_dir), path, pattern, ["doc_id"], decoded=True)
     ids = F.sha2(F.array_join("ids", " "), 256)
     return out.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
