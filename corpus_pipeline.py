@@ -50,7 +50,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = docs.select("doc_id", "lang", "source", "text", F.sha2(text_bytes(F.col("text")), 256).alias("digest"))
-    out = bpe.decode(bpe.encode(docs, path, pattern, ["doc_id", "lang", "source", "digest"]), path)
+    out = bpe.encode(docs, path, pattern, ["doc_id", "lang", "source", "digest"], decoded=True)
     whole = F.sha2("decoded", 256) == F.col("doc.digest")
     return out.select("doc.doc_id", "doc.lang", "doc.source", F.size("ids").cast("long").alias("n_tokens"), "ids", whole.alias("round_trip"))
 
