@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,19 +46,17 @@ def days_between(start: Column, end: Column) -> Column:
 def minmax_norm(df: DataFrame, cols: Iterable[str], suffix: str = "_norm") -> DataFrame:
     """(v - min) / (max - min) per column, 0 when the span is <= 1e-12, NULL read as 0.
 
-    Only for aggregated tables (one row per asset / cause): min and max come
-    from a window over the whole table, so the input is computed once.  Never
-    call this on row-grain data.
+    The bounds of all columns are one aggregate read as a scalar subquery, so rows stay
+    where they are: no window over the whole table.
     """
     cols = list(cols)
-    whole = Window.partitionBy()
-    out = df
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
+    bounds = df.agg(F.struct(*[f(value[c]).alias(f"{c}_{n}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]).alias("b")).scalar()
+    out = {}
     for c in cols:
-        v = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        mn, mx = F.min(v).over(whole), F.max(v).over(whole)
-        span = mx - mn
-        out = out.withColumn(c + suffix, F.when(span <= 1e-12, F.lit(0.0)).otherwise((v - mn) / span))
-    return out
+        lo, span = bounds[f"{c}_lo"], bounds[f"{c}_hi"] - bounds[f"{c}_lo"]
+        out[c + suffix] = F.when(span <= 1e-12, F.lit(0.0)).otherwise((value[c] - lo) / span)
+    return df.withColumns(out)
 
 
 ROUND_NUDGE = 1e-9
@@ -91,21 +89,22 @@ def round_doubles(df: DataFrame, digits: int = 4, keep: Iterable[str] = ()) -> D
 def trailing_window(df: DataFrame, date_col: str | None, days: int = 7) -> DataFrame:
     """Rows whose date is within ``days`` of the latest date (inclusive).
 
-    The latest date is a scalar subquery, so the filter is a plain predicate on
-    the scan.  No date column or no dates at all: the whole table.
+    The latest date is a scalar subquery and the filter a plain comparison, so files
+    laid out by date can be skipped.  No date column: the whole table.  No dates at all:
+    the rows without a date, read by a branch of its own.
     """
     if not date_col or date_col not in df.columns:
         return df
     d = F.col(date_col)
     dtype = df.schema[date_col].dataType
     if isinstance(dtype, T.DateType):
-        mx = df.select(F.max(d)).scalar()
+        ts, mx = d, df.select(F.max(d)).scalar()
         cond = d >= F.date_sub(mx, days)
     else:
         ts = d.try_cast("timestamp_ntz") if isinstance(dtype, T.StringType) else d
         mx = df.select(F.max(ts)).scalar()
         cond = ts >= mx - F.make_dt_interval(F.lit(days))
-    return df.where(mx.isNull() | F.coalesce(cond, F.lit(False)))
+    return df.where(cond).unionByName(df.where(ts.isNull() & mx.isNull()))
 
 
 def ensure_parallel(df: DataFrame) -> DataFrame:

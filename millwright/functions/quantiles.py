@@ -153,10 +153,3 @@ def exact_quantiles(
             res.append(a + frac * (b - a) if frac else a)
         out[gkey] = res
     return out
-
-
-def quantile_frame(df: DataFrame, value: str, probs: Sequence[float], group: str, names: Sequence[str]) -> DataFrame:
-    """Exact quantiles per group as a small DataFrame (group, names...)."""
-    res = exact_quantiles(df, value, probs, group)
-    schema = T.StructType([T.StructField(group, T.StringType())] + [T.StructField(n, T.DoubleType()) for n in names])
-    return df.sparkSession.createDataFrame([(k, *v) for k, v in res.items()], schema)

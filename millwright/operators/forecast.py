@@ -28,8 +28,8 @@ from millwright.functions.resolve import find_col
 DEFAULT_TREES, DEFAULT_DEPTH, DEFAULT_LEAF = 80, 6, 2
 SEARCH = {"trees": (40, 160), "depth": (3, 12), "leaf": (1, 6)}
 N_TRIALS = 20
-MIN_ROWS = 20
 SEED = 42
+TRAIN_PARTITIONS = 32
 
 
 def rate_target(df: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def rate_target(df: DataFrame) -> DataFrame:
 
 
 FEATURES = ["prev_target", "prev_planned", "prev_downtime", "prev_total", "prev_ideal", "prev_vibration", "prev_temp",
-            "prev_current", "rows"]
+            "prev_current", "prev_rows"]
 
 
 def rate_features(df: DataFrame) -> DataFrame:
@@ -61,14 +61,13 @@ def rate_features(df: DataFrame) -> DataFrame:
         F.try_divide(F.sum("reject_count"), F.when(F.sum("total_count") != 0, F.sum("total_count"))).alias("target"),
         F.sum("planned_time_min").alias("planned"), F.sum("downtime_minutes").alias("downtime"),
         F.sum("total_count").alias("total"), F.avg("ideal_rate").alias("ideal"), F.avg("vibration_rms").alias("vibration"),
-        F.avg("temp_c").alias("temp"), F.avg("motor_current_a").alias("current"), F.count(F.lit(1)).alias("rows"),
+        F.avg("temp_c").alias("temp"), F.avg("motor_current_a").alias("current"), F.count(F.lit(1)).cast("double").alias("rows"),
     )
     # window on the (machine, day) aggregate: a machine has at most one row per day here
     w = Window.partitionBy("machine_id").orderBy("shift_date")
     lagged = daily.select(
         "machine_id", "shift_date", "target",
-        *[F.lag(c).over(w).alias(f"prev_{c}") for c in ("target", "planned", "downtime", "total", "ideal", "vibration", "temp", "current")],
-        F.col("rows").cast("double").alias("rows"),
+        *[F.lag(c).over(w).alias(f"prev_{c}") for c in ("target", "planned", "downtime", "total", "ideal", "vibration", "temp", "current", "rows")],
     )
     return lagged.dropna(subset=["target", *FEATURES])
 
@@ -78,9 +77,10 @@ def _materialize(feat: DataFrame) -> DataFrame:
     from millwright.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(feat.sparkSession)
-    # AQE may coalesce this small aggregate to one partition; training wants every core
-    n = feat.sparkSession.sparkContext.defaultParallelism
-    return feat.repartition(n).checkpoint(eager=True)
+    # dealt by key to a fixed number of sorted partitions: bagging depends on partitions, and so
+    # the model is the same on any cluster
+    dealt = feat.repartition(TRAIN_PARTITIONS, "machine_id", "shift_date").sortWithinPartitions("machine_id", "shift_date")
+    return dealt.checkpoint(eager=True)
 
 
 def _split(df: DataFrame, train_pct: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -143,7 +143,7 @@ def latest_features(df: DataFrame) -> DataFrame:
         F.sum("planned_time_min").alias("prev_planned"), F.sum("downtime_minutes").alias("prev_downtime"),
         F.sum("total_count").alias("prev_total"), F.avg("ideal_rate").alias("prev_ideal"),
         F.avg("vibration_rms").alias("prev_vibration"), F.avg("temp_c").alias("prev_temp"),
-        F.avg("motor_current_a").alias("prev_current"), F.count(F.lit(1)).cast("double").alias("rows"),
+        F.avg("motor_current_a").alias("prev_current"), F.count(F.lit(1)).cast("double").alias("prev_rows"),
     )
     last = daily.groupBy("machine_id").agg(F.max_by(F.struct(*[c for c in daily.columns if c != "machine_id"]),
                                                      F.col("shift_date")).alias("s"))

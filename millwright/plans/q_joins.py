@@ -167,13 +167,19 @@ def join_log(spark, sf):
     return jn.join_log(tables, steps)
 
 
-@register("oee_plant_safe", with_(PLANT, DOWNTIME, PC, QCELL,
+PCR = PC.replace("pc AS (", "pcr AS (").replace("sum(total_count) AS total_count", "sum(total_count) AS total_count, avg(ideal_rate) AS ideal_rate")
+
+
+@register("oee_plant_safe", with_(PLANT, DOWNTIME, PCR, QCELL,
                                   f"ds AS (SELECT {KSQL}, sum(downtime_minutes) AS dt FROM downtime GROUP BY {KSQL})",
-                                  f"""j8 AS (SELECT p.*, coalesce(ds.dt, 0.0) AS dtm, q.good_count FROM pc p LEFT JOIN qcl q ON {_cond('p', 'q')}
+                                  f"""j8 AS (SELECT p.*, coalesce(ds.dt, 0.0) AS dtm, q.good_count FROM pcr p LEFT JOIN qcl q ON {_cond('p', 'q')}
                                       LEFT JOIN ds ON {_cond('p', 'ds')})""")
           + "SELECT * FROM (" + oee_group_select(
-              "line_id", src="(SELECT line_id, planned_time_min, dtm AS downtime_minutes, 10.0::DOUBLE AS ideal_rate, total_count, good_count FROM j8)") + ")")
+              "line_id", src="(SELECT line_id, planned_time_min, dtm AS downtime_minutes, ideal_rate, total_count, good_count FROM j8)") + ")")
 def oee_plant_safe(spark, sf):
-    """O4 over J8: line OEE on the fan-out-safe integrated frame (events' downtime, default ideal rate)."""
-    j = jn.plant_safe(pcell(spark, sf), qcell(spark, sf), td.downtime(spark, sf))
+    """O4 over J8: line OEE on the fan-out-safe integrated frame (events' downtime, mean ideal rate of the cell)."""
+    rate = td.plant_rows(spark, sf).groupBy(*KEYS).agg(
+        F.sum("planned_time_min").alias("planned_time_min"), F.sum("downtime_minutes").alias("downtime_minutes"),
+        F.sum("total_count").alias("total_count"), F.avg("ideal_rate").alias("ideal_rate"))
+    j = jn.plant_safe(rate, qcell(spark, sf), td.downtime(spark, sf))
     return oee.aggregate(j, ["line_id"])

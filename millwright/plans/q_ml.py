@@ -77,10 +77,10 @@ _DAILY = """daily AS (SELECT machine_id, shift_date, sum(reject_count) / nullif(
    avg(vibration_rms) AS vibration, avg(temp_c) AS temp, avg(motor_current_a) AS current, CAST(count(*) AS DOUBLE) AS rows
   FROM plant GROUP BY machine_id, shift_date)"""
 _LAGS = ", ".join(f"{r4(f'lag({c}) OVER (PARTITION BY machine_id ORDER BY shift_date)')} AS prev_{c}"
-                  for c in ("target", "planned", "downtime", "total", "ideal", "vibration", "temp", "current"))
+                  for c in ("target", "planned", "downtime", "total", "ideal", "vibration", "temp", "current", "rows"))
 
 
-@register("rate_features", with_(PLANT, _DAILY) + f"""SELECT * FROM (SELECT machine_id, shift_date, {r4('target')} AS target, {_LAGS}, rows
+@register("rate_features", with_(PLANT, _DAILY) + f"""SELECT * FROM (SELECT machine_id, shift_date, {r4('target')} AS target, {_LAGS}
 FROM daily) WHERE target IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in fc.FEATURES)}""")
 def rate_features(spark, sf):
     """(machine, day) target with the previous day's values as features."""

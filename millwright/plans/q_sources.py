@@ -45,18 +45,30 @@ def scan_json(spark, sf):
     """S3: downtime written as JSON lines, scanned back with canonical coercion."""
     path = scratch_path(spark, "json")
     fs.write_json(td.downtime(spark, sf).select(*DT_COLS), path)
-    return fs.scan_json(spark, path)
+    return fs.scan_json(spark, path, DT_COLS)
 
 
 @register("snapshot_roundtrip", with_(DOWNTIME) + f"""SELECT event_id, line_id, machine_id, shift, shift_date, downtime_code,
   downtime_category, {r4('downtime_minutes')} AS downtime_minutes, start_time, end_time, is_planned FROM downtime""")
 def snapshot_roundtrip(spark, sf):
-    """Frames saved as parquet partitioned by run_id; one run read back (partition-pruned)."""
+    """Frames saved as parquet partitioned by run_id, one run saved twice; it is read back (partition-pruned)."""
     root = scratch_path(spark, "snapshots")
-    fs.save_snapshot({"downtime": td.downtime(spark, sf).select(*DT_COLS)}, root, "run-1")
+    frames = {"downtime": td.downtime(spark, sf).select(*DT_COLS)}
+    for run in ("run-1", "run-2", "run-1"):
+        fs.save_snapshot(frames, root, run)
     return fs.load_snapshot(spark, root, "downtime", "run-1")
 
 
+@register("result_export", with_(DOWNTIME) + f"""SELECT downtime_code, count(*) AS events, {r4('sum(downtime_minutes)')} AS minutes
+FROM downtime GROUP BY downtime_code""")
+def result_export(spark, sf):
+    """A result frame exported as JSON records and read back, every row of it."""
+    root = scratch_path(spark, "export")
+    res = td.downtime(spark, sf).groupBy("downtime_code").agg(F.count(F.lit(1)).alias("events"), F.sum("downtime_minutes").alias("minutes"))
+    fs.export_results({"downtime_by_code": res}, root, {"downtime_by_code": ["downtime_code"]})
+    return spark.read.schema(res.schema).json(f"{root}/downtime_by_code")
+
+
 def sap_pp_extract(spark, sf):
     """A SAP PP-style production extract (all strings) derived from lineitem."""
     p = td.plant_rows(spark, sf)

@@ -54,16 +54,20 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT).json(path)
 
 
-def scan_json(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """S3: JSON records (JSON lines by default; ``multiline`` for one array per file)."""
-    raw = spark.read.option("multiLine", multiline).option("primitivesAsString", True).json(path)
-    return _canonical(raw)
+def scan_json(spark: SparkSession, path: str, columns: Optional[list[str]] = None, multiline: bool = False) -> DataFrame:
+    """S3: JSON records (JSON lines by default; ``multiline`` for one array per file).
+
+    ``columns`` are read as strings and coerced; by default the canonical ones, so no job has
+    to look at the data for a schema.
+    """
+    schema = ", ".join(f"`{c}` string" for c in columns or CANONICAL_NAMES)
+    return _canonical(spark.read.schema(schema).option("multiLine", multiline).json(path))
 
 
 def save_snapshot(frames: dict[str, DataFrame], root: str, run_id: str) -> None:
-    """Persist named frames under root/<name>/run_id=<id>/ as parquet."""
+    """Persist named frames under root/<name>/run_id=<id>/ as parquet; a run saved again replaces itself only."""
     for name, df in frames.items():
-        (df.withColumn("run_id", F.lit(run_id)).write.mode("append")
+        (df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("run_id").parquet(f"{root.rstrip('/')}/{name}"))
 
 
@@ -73,9 +77,12 @@ def load_snapshot(spark: SparkSession, root: str, name: str, run_id: str) -> Dat
     return df.where(F.col("run_id") == run_id).drop("run_id")
 
 
-def export_results(frames: dict[str, DataFrame], root: str, order_by: Optional[dict[str, list]] = None,
-                   max_rows: int = 250) -> None:
-    """First ``max_rows`` rows per result frame (in a stated order) as JSON records."""
+def export_results(frames: dict[str, DataFrame], root: str, order_by: Optional[dict[str, list]] = None) -> None:
+    """All rows of each result frame, in a stated order, as JSON records under root/<name>.
+
+    The order is a range partitioning, so files in name order hold the rows in order and no
+    task holds them all.
+    """
     for name, df in frames.items():
         keys = (order_by or {}).get(name) or df.columns
-        df.orderBy(*keys).limit(max_rows).coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/{name}")
+        df.orderBy(*keys).write.mode("overwrite").option("timestampNTZFormat", TS_FORMAT).json(f"{root.rstrip('/')}/{name}")

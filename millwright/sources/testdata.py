@@ -113,26 +113,3 @@ def downtime_from_events(ev: DataFrame) -> DataFrame:
         F.timestamp_add("SECOND", F.floor(F.col("value") * 60).cast("bigint"), F.col("ts")).alias("end_time"),
         et.isin(*PLANNED_EVENT_TYPES).alias("is_planned"),
     )
-
-
-def production_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Production at the natural key grain (sums, means of rates and sensors)."""
-    p = production(spark, sf_dir)
-    return p.groupBy(*CELL_KEYS).agg(
-        F.sum("planned_time_min").alias("planned_time_min"),
-        F.sum("downtime_minutes").alias("downtime_minutes"),
-        F.sum("total_count").alias("total_count"),
-        F.avg("ideal_rate").alias("ideal_rate"),
-        F.avg("vibration_rms").alias("vibration_rms"),
-        F.avg("temp_c").alias("temp_c"),
-        F.avg("motor_current_a").alias("motor_current_a"),
-    )
-
-
-def quality_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    qv = quality(spark, sf_dir)
-    return qv.groupBy(*CELL_KEYS).agg(
-        F.sum("good_count").alias("good_count"),
-        F.sum("reject_count").alias("reject_count"),
-        F.avg("measurement_mm").alias("measurement_mm"),
-    )

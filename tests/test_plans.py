@@ -30,3 +30,18 @@ def test_oee_by_line_reads_only_needed_columns(spark, sf):
 def test_downtime_pareto_partial_aggregation(spark, sf):
     plan = _plan(catalog.QUERIES["downtime_pareto"](spark, sf))
     assert "partial_count" in plan and "partial_sum" in plan
+
+
+def test_asset_scores_use_no_window_over_the_whole_table(spark, sf):
+    for name in ("asset_risk", "minmax_norm", "rule_score"):
+        plan = _plan(catalog.QUERIES[name](spark, sf))
+        assert "Window" not in plan
+
+
+def test_trailing_window_is_a_plain_comparison(spark):
+    from millwright.functions.common import trailing_window
+
+    df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-20", 2), (None, 3)], "d string, v int").selectExpr("cast(d as date) d", "v")
+    assert [r["v"] for r in trailing_window(df, "d").collect()] == [2]
+    assert [r["v"] for r in trailing_window(df.where("d IS NULL"), "d").collect()] == [3]
+    assert "coalesce" not in _plan(trailing_window(df, "d"))
