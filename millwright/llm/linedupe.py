@@ -125,21 +125,22 @@ def line_runs(docs: DataFrame, min_chars: int = 40, batches: int = 4, fanout: in
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4) -> DataFrame:
-    """``docs`` with the repeated lines removed from the text, and ``_lines``: struct of n_lines and n_dropped.
-
-    Columns of ``docs`` stay as they are and may have any other name.
+    """A row per row of ``docs``: ``doc``, a struct of its columns with the repeated lines removed from the text, and
+    ``lines``, a struct of n_lines and n_dropped.
     """
-    flat = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    flat = whole.select("id", "text")
     # a table of its own: AQE splits a hot key only where both sides of the join are plain exchanges
     verdicts = stored(line_runs(flat, min_chars, batches, fanout).verdicts(min_docs), "line-verdicts")
     long_lines = F.filter(F.transform(_lines(F.col("text")), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("at"))), lambda x: F.length(x["key"]) >= min_chars)
     found = flat.select("id", F.xxhash64("text").alias("th"), F.explode(long_lines).alias("x")).select("id", "th", "x.at", *_hashed(F.col("x.key")))
     gone = found.join(verdicts, ["k1", "k2"]).filter(F.col("id").isNull() | (F.col("id") != F.col("keeper")))
-    gone = gone.groupBy(F.col("id").alias("_g_id"), F.col("th").alias("_g_th")).agg(F.collect_set("at").alias("_g_at"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_g_id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("_g_th")), "left")
-    text = F.col(text_col).cast("string")
-    n_lines = F.size(_lines(text)).cast("long")
-    n_gone = F.coalesce(F.size("_g_at"), F.lit(0)).cast("long")
-    left = let(_lines(text), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_g_at")), lambda i: F.get(a, i)), "\n"))
-    kept = F.when(n_gone == 0, text).otherwise(left)
-    return joined.select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns], F.struct(n_lines.alias("n_lines"), n_gone.alias("n_dropped")).alias("_lines"))
+    gone = gone.groupBy(F.col("id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set("at").alias("gone"))
+    joined = whole.join(gone, F.col("id").eqNullSafe(F.col("g_id")) & F.col("th").eqNullSafe(F.col("g_th")), "left")
+    n_lines = F.size(_lines(F.col("text"))).cast("long")
+    n_gone = F.coalesce(F.size("gone"), F.lit(0)).cast("long")
+    left = let(_lines(F.col("text")), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("gone")), lambda i: F.get(a, i)), "\n"))
+    kept = F.when(n_gone == 0, F.col("text")).otherwise(left)
+    doc = F.struct(*[(kept if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    return joined.select(doc.alias("doc"), F.struct(n_lines.alias("n_lines"), n_gone.alias("n_dropped")).alias("lines"))

@@ -123,7 +123,7 @@ FROM judged GROUP BY doc_id
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before, lines dropped and digest of what stays."""
     out = linedupe.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"), min_chars=40, min_docs=5)
-    return out.select("doc_id", "_lines.n_lines", "_lines.n_dropped", _sha(F.col("text")).alias("kept_sha256"))
+    return out.select("doc.doc_id", "lines.n_lines", "lines.n_dropped", _sha(F.col("doc.text")).alias("kept_sha256"))
 
 
 @_query(

@@ -224,4 +224,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """``docs`` without the rows whose id is not their component's (rows without an id stay)."""
     gone = near_duplicates(docs, id_col, text_col, shingle, bits).filter("id != component_id").select(F.col("id").alias("_n_id"))
-    return docs.join(gone, F.col(id_col) == F.col("_n_id"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_n_id"], "left_anti")

@@ -119,11 +119,11 @@ def test_difference_covers():
 
 def test_lines_edges(docs, none):
     out = linedupe.dedup_lines(docs)
-    assert out.columns == [*docs.columns, "_lines"]
-    got = Counter((r["doc_id"], r["_lines"]["n_lines"], r["_lines"]["n_dropped"], r["text"] or "") for r in out.collect())
+    assert out.select("doc.*").columns == docs.columns
+    got = Counter((r["doc"]["doc_id"], r["lines"]["n_lines"], r["lines"]["n_dropped"], r["doc"]["text"] or "") for r in out.collect())
     assert got == Counter(brute.lines(PAIRS)) and sum(x[2] for x in got) > 0
     assert linedupe.dedup_lines(none).count() == 0
-    few = Counter((r["doc_id"], r["_lines"]["n_dropped"], r["text"] or "") for r in linedupe.dedup_lines(docs, min_chars=4, min_docs=2, batches=5, fanout=2).collect())
+    few = Counter((r["doc"]["doc_id"], r["lines"]["n_dropped"], r["doc"]["text"] or "") for r in linedupe.dedup_lines(docs, min_chars=4, min_docs=2, batches=5, fanout=2).collect())
     assert few == Counter((a, c, d) for a, _, c, d in brute.lines(PAIRS, 4, 2))
 
 

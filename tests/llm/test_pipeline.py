@@ -50,9 +50,9 @@ def test_stages_by_brute_force(spark, sf):
 
 
 def test_stages_on_edge_tables(spark, sf):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, draws string, _lines string"
-    rows = [(None, None, None, None, None, "x", "y"), (1, "", "en", "a", 0, "x", "y"), (2, "w " * 25000, "en", "a", 50000, "x", "y"),
-            *[(k, "the of and a river walks under the green stones of seven towns and " * 1 + " ".join(f"w{j}" for j in range(k, k + 60)), "en", None, 300, "x", "y") for k in (3, 3, 4)]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, draws string, _lines string, lines string, gone string, doc string, _n_id string, quality string"
+    rows = [(None, None, None, None, None, "x", "y", "l", "g", "d", "n", "q"), (1, "", "en", "a", 0, "x", "y", "l", "g", "d", "n", "q"), (2, "w " * 25000, "en", "a", 50000, "x", "y", "l", "g", "d", "n", "q"),
+            *[(k, "the of and a river walks under the green stones of seven towns and " * 1 + " ".join(f"w{j}" for j in range(k, k + 60)), "en", None, 300, "x", "y", "l", "g", "d", "n", "q") for k in (3, 3, 4)]]
     for table in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
         docs = table
         for _, stage in corpus_pipeline.STAGES[:-1]:
