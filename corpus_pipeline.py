@@ -28,9 +28,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines removed from the texts; ``n_chars`` follows the text."""
     prepare(spark)
     out = linedupe.dedup_lines(docs, min_chars=40, min_docs=5)
-    changed = F.col("_lines.n_dropped") > 0
-    chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.select(*[chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    doc, changed = F.col("doc"), F.col("lines.n_dropped") > 0
+    chars = F.when(changed, F.length(doc["text"]).cast("long")).otherwise(doc["n_chars"])
+    return out.select(*[(chars if c == "n_chars" else doc[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
