@@ -220,7 +220,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     of = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     left = index.withColumn("g", of(n_index)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_asking - 1))))
     right = asking.withColumn("h", of(n_asking)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))))
-    left, right = (x.repartition(n_index * n_asking, "g", "h", "dim") for x in (left, right))  # a task for a group, small as it may be
     pairs = left.groupBy("g", "h", "dim").cogroup(right.groupBy("g", "h", "dim"))
     found = pairs.applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
