@@ -1,9 +1,9 @@
 """KMeans distance outliers and PCA concept drift on numeric plant columns.
 
 KMeans is ``pyspark.ml.clustering.KMeans`` on standardised features.  PCA
-drift needs only the d x d covariance of each half: one aggregate of first
-and second moments grouped by half (2 rows, d <= a few dozen columns), then
-the eigenvalues of that small matrix on the driver.
+drift needs only the d x d covariance of each half: one aggregate of means,
+variances and covariances grouped by half (2 rows, d <= a few dozen columns),
+then the eigenvalues of that small matrix on the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from millwright.functions.quantiles import exact_quantiles
 
 SEED = 42
+CONSTANT_SD = 1e-12  # a column whose sd is below this share of its mean counts as constant
 
 
 def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -77,8 +78,9 @@ def pca_drift(df: DataFrame, cols: list[str], order_col: str, n_comp: int = 3, t
     med = exact_quantiles(num, "_k", [0.5]).get(None, [None])[0]
     halves = num.withColumn("_half", (F.col("_k") > F.lit(med)).cast("int"))
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs += [F.var_pop(c).alias(f"c{i}_{i}") for i, c in enumerate(cols)]
+    aggs += [F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j > i]
     mom = {r["_half"]: r for r in halves.groupBy("_half").agg(*aggs).collect()}
     ratios = []
     d = len(cols)
@@ -87,16 +89,17 @@ def pca_drift(df: DataFrame, cols: list[str], order_col: str, n_comp: int = 3, t
         if r is None or r["n"] < 2:
             ratios.append(None)
             continue
-        m = np.array([r[f"s{i}"] / r["n"] for i in range(d)])
+        m = np.array([r[f"m{i}"] for i in range(d)])
         cov = np.zeros((d, d))
         for i in range(d):
             for j in range(i, d):
-                cov[i, j] = cov[j, i] = r[f"p{i}_{j}"] / r["n"] - m[i] * m[j]
+                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
         sd = np.sqrt(np.clip(np.diag(cov), 0, None))
-        scale = np.where(sd > 0, sd, 1.0)
+        flat = sd <= CONSTANT_SD * np.abs(m)
+        scale = np.where(flat, 1.0, sd)
         corr = cov / np.outer(scale, scale)
-        corr[sd == 0, :] = 0.0
-        corr[:, sd == 0] = 0.0
+        corr[flat, :] = 0.0
+        corr[:, flat] = 0.0
         ev = np.sort(np.clip(np.linalg.eigvalsh(corr), 0, None))[::-1]
         tot = ev.sum()
         ratios.append(float(ev[: min(n_comp, d)].sum() / tot) if tot > 0 else None)

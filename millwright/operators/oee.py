@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Optional
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millwright.functions.common import num, num0
@@ -166,9 +166,9 @@ def extremes(df: DataFrame) -> DataFrame:
     r = rollup(df)
     sc = F.col("scope")
 
-    def pick(fn, scope: str, what: str):
-        on = sc == scope
-        return fn(F.when(on, F.col(what)), F.when(on, F.col("oee")))
+    def pick(scope: str, value: Column):
+        """Key of the scope's row with the smallest value; ties go to the smaller key."""
+        return F.min_by("key", F.when((sc == scope) & value.isNotNull(), F.struct(value.alias("v"), F.col("key"))))
 
     def plant_val(c: str):
         return F.first(F.when(sc == "plant", F.col(c)), ignorenulls=True)
@@ -176,12 +176,12 @@ def extremes(df: DataFrame) -> DataFrame:
     a, p, q = plant_val("availability"), plant_val("performance"), plant_val("quality")
     g = r.agg(
         a.alias("_a"), p.alias("_p"), q.alias("_q"),
-        pick(F.min_by, "line", "key").alias("worst_line"), F.min(F.when(sc == "line", F.col("oee"))).alias("worst_line_oee"),
-        pick(F.max_by, "line", "key").alias("best_line"), F.max(F.when(sc == "line", F.col("oee"))).alias("best_line_oee"),
-        pick(F.min_by, "machine", "key").alias("worst_machine"),
+        pick("line", F.col("oee")).alias("worst_line"), F.min(F.when(sc == "line", F.col("oee"))).alias("worst_line_oee"),
+        pick("line", -F.col("oee")).alias("best_line"), F.max(F.when(sc == "line", F.col("oee"))).alias("best_line_oee"),
+        pick("machine", F.col("oee")).alias("worst_machine"),
         F.min(F.when(sc == "machine", F.col("oee"))).alias("worst_machine_oee"),
-        pick(F.min_by, "shift", "key").alias("worst_shift"), F.min(F.when(sc == "shift", F.col("oee"))).alias("worst_shift_oee"),
-        pick(F.max_by, "shift", "key").alias("best_shift"), F.max(F.when(sc == "shift", F.col("oee"))).alias("best_shift_oee"),
+        pick("shift", F.col("oee")).alias("worst_shift"), F.min(F.when(sc == "shift", F.col("oee"))).alias("worst_shift_oee"),
+        pick("shift", -F.col("oee")).alias("best_shift"), F.max(F.when(sc == "shift", F.col("oee"))).alias("best_shift_oee"),
     )
     weakest = (
         F.when((F.col("_a") <= F.col("_p")) & (F.col("_a") <= F.col("_q")), "Availability")

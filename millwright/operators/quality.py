@@ -272,13 +272,16 @@ def killer_line(df: DataFrame, days: int = 7) -> DataFrame:
     week = trailing_window(df, date_col, days)
     b = scrap_by_line(week)
     sw = F.col("scrap_rate_weighted")
+    # ties go to the smaller line id
+    high = F.when(sw.isNotNull(), F.struct((-sw).alias("v"), F.col("line_id")))
+    low = F.when(sw.isNotNull(), F.struct(sw.alias("v"), F.col("line_id")))
     tot = F.when(F.sum("total") <= 0, F.sum("good") + F.sum("rejects")).otherwise(F.sum("total"))
     return b.agg(
-        F.max_by("line_id", sw).alias("worst_line"),
+        F.min_by("line_id", high).alias("worst_line"),
         F.max(sw).alias("worst_scrap_rate"),
-        F.max_by("fpy_weighted", sw).alias("worst_fpy"),
-        F.max_by("reject_share", sw).alias("worst_reject_share"),
-        F.min_by("line_id", sw).alias("best_line"),
+        F.min_by("fpy_weighted", high).alias("worst_fpy"),
+        F.min_by("reject_share", high).alias("worst_reject_share"),
+        F.min_by("line_id", low).alias("best_line"),
         F.min(sw).alias("best_scrap_rate"),
         F.when(tot != 0, F.sum("rejects") / tot).otherwise(0.0).alias("plant_scrap_rate"),
     )

@@ -129,7 +129,7 @@ def dq_presence(spark, sf):
 
 
 _CATS = ["line_id", "machine_id", "shift", "defect_code"]  # string columns in frame order; kept when <= 12 distinct
-_ANUMS = NUMS[:6]
+_ANUMS = NUMS
 _ITEMS = ", ".join([f"CASE WHEN {c} IS NOT NULL AND nd_{c} <= 12 THEN '{c}=' || CAST({c} AS VARCHAR) END" for c in _CATS]
                    + [f"CASE WHEN {c} >= t_{c} THEN '{c}=HIGH' END" for c in _ANUMS])
 _THR = ", ".join([f"quantile_cont({c}, 0.9) AS t_{c}" for c in _ANUMS] + [f"count(DISTINCT {c}) AS nd_{c}" for c in _CATS])
@@ -142,11 +142,10 @@ ASSOC_SQL = with_(
     "it AS (SELECT rid, unnest(items) AS item, unnest(generate_series(1, len(items))) AS pos FROM b2)",
     "ic AS (SELECT item, count(*) AS item_count FROM it GROUP BY item)",
     "pc AS (SELECT x.item AS a, y.item AS b, count(*) AS pair_count FROM it x JOIN it y ON x.rid = y.rid AND x.pos < y.pos GROUP BY 1, 2)",
-    "top AS (SELECT * FROM pc ORDER BY pair_count DESC, a, b LIMIT 30)",
 ) + f"""SELECT a || ' => ' || b AS rule, a, b, pair_count, {r4('pair_count / n')} AS support,
   {r4('greatest(pair_count / greatest(ia.item_count, 1), pair_count / greatest(ib.item_count, 1))')} AS confidence, n AS baskets,
   (contains(a || ' => ' || b, 'HIGH') AND greatest(pair_count / greatest(ia.item_count, 1), pair_count / greatest(ib.item_count, 1)) >= 0.7) AS suspicious
-FROM top LEFT JOIN ic ia ON top.a = ia.item LEFT JOIN ic ib ON top.b = ib.item, nb
+FROM pc LEFT JOIN ic ia ON pc.a = ia.item LEFT JOIN ic ib ON pc.b = ib.item, nb
 WHERE pair_count / n >= 0.05 AND greatest(pair_count / greatest(ia.item_count, 1), pair_count / greatest(ib.item_count, 1)) >= 0.55 AND n >= 20"""
 
 

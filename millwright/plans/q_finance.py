@@ -101,4 +101,4 @@ def cost_risk_matrix(spark, sf):
 def inspect_top3(spark, sf):
     """F8: narrative for the top asset plus the top three by $ x risk (rows-only check)."""
     m = fi.cost_risk_matrix(td.plant_rows(spark, sf), td.downtime(spark, sf))
-    return fi.inspect_top3(m)
+    return fi.inspect_top3(m).select("machine_id", "line_id", "narrative")

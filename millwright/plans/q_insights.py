@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from millwright.operators import insights as ins
 from millwright.plans.catalog import register
-from millwright.plans.q_downtime import pareto_sql
-from millwright.plans.q_finance import LOST, PLANT_PILLARS
-from millwright.plans.q_quality import _SF
+from millwright.plans.q_downtime import US_PER_MIN, pareto_sql
+from millwright.plans.q_finance import LOST, MATRIX_CTES, PLANT_PILLARS
+from millwright.plans.q_quality import _SF, _WORST, OOC, SPC_CTES, WEEK, _by_line_sql
 from millwright.plans.sqlparts import DOWNTIME, PLANT, pillars, r4, with_
 from millwright.sources import testdata as td
 
@@ -23,7 +23,17 @@ def _by(k: str) -> str:
 BASE = [PLANT, DOWNTIME, f"bl AS {_by('line_id')}", f"bm AS {_by('machine_id')}", f"bs AS {_by('shift')}",
         PLANT_PILLARS, LOST, pareto_sql("downtime", "downtime_code", "coalesce(downtime_minutes, 0.0)", 5)]
 
-CARDS_SQL = with_(*BASE) + f"""SELECT priority, title, metric, {r4('value')} AS value FROM (
+# sums of planned and unplanned minutes, week's scrap per line, capability inputs
+MORE = [*MATRIX_CTES, *SPC_CTES, WEEK,
+        """pu AS (SELECT sum(coalesce(downtime_minutes, 0.0)) AS t,
+   sum(CASE WHEN coalesce(is_planned, false) THEN coalesce(downtime_minutes, 0.0) ELSE 0.0 END) AS pl,
+   sum(CASE WHEN NOT coalesce(is_planned, false) THEN coalesce(downtime_minutes, 0.0) ELSE 0.0 END) AS un FROM downtime)""",
+        f"kl AS (WITH {_by_line_sql('wk')} SELECT * FROM blw)",
+        f"bq AS (SELECT line_id, {_rm['quality']} AS quality FROM (SELECT line_id, {_SUMS} FROM plant GROUP BY line_id))",
+        """sp AS (SELECT median(lsl) AS lo, median(usl) AS hi, avg(measurement_mm) AS m, stddev_samp(measurement_mm) AS s FROM plant)""",
+        "cap AS (SELECT (hi - lo) / (6.0 * s) AS cp, least((hi - m) / (3.0 * s), (m - lo) / (3.0 * s)) AS cpk FROM sp)"]
+
+CARDS_SQL = with_(*BASE, *MORE) + f"""SELECT priority, title, metric, {r4('value')} AS value FROM (
   SELECT CASE WHEN o < 0.65 THEN 'high' WHEN o < 0.85 THEN 'medium' ELSE 'low' END AS priority, 'Plant OEE position' AS title,
          'oee' AS metric, o AS value FROM pp
   UNION ALL SELECT 'high', 'Primary loss pillar: ' || (CASE WHEN a <= p AND a <= q THEN 'Availability' WHEN p <= q THEN 'Performance' ELSE 'Quality' END),
@@ -32,14 +42,24 @@ CARDS_SQL = with_(*BASE) + f"""SELECT priority, title, metric, {r4('value')} AS
   UNION ALL SELECT 'medium', 'Machine ' || arg_min(machine_id, oee) || ' is the bottleneck', 'machine_oee', min(oee) FROM bm HAVING count(*) > 0
   UNION ALL SELECT 'medium', 'Shift performance gap', 'shift_oee', min(oee) FROM bs HAVING count(*) > 1
   UNION ALL SELECT 'high', 'Top downtime driver', 'downtime_pct', pct FROM c WHERE _rk = 1
-  UNION ALL (SELECT 'high', 'Changeover availability loss', 'changeover_pct', pct FROM c WHERE _rk <= 5 AND contains(lower(cause), 'change')
-             ORDER BY downtime_minutes DESC LIMIT 1)
+  UNION ALL (SELECT 'high', 'Changeover availability loss', 'changeover_pct', pct FROM c WHERE contains(lower(cause), 'change')
+             ORDER BY downtime_minutes DESC, cause LIMIT 1)
   UNION ALL SELECT 'medium', 'Reliability snapshot', 'mttr_min', avg(downtime_minutes) FROM downtime WHERE downtime_minutes > 0 HAVING count(*) > 0
   UNION ALL SELECT 'medium', 'Chronic downtime machines', 'downtime_minutes', max(m)
             FROM (SELECT sum(coalesce(downtime_minutes, 0.0)) AS m FROM downtime WHERE machine_id IS NOT NULL GROUP BY machine_id) HAVING count(*) > 0
   UNION ALL SELECT 'medium', 'Production planning caution', 'oee', o FROM pp WHERE o < 0.75
   UNION ALL SELECT 'high', 'Lost OEE dollars (Management estimate)', 'total_usd',
-            greatest(availability_hours, 0.0) * 850.0 + greatest(performance_hours, 0.0) * 850.0 + greatest(quality_hours, 0.0) * 850.0 FROM lh)"""
+            greatest(availability_hours, 0.0) * 850.0 + greatest(performance_hours, 0.0) * 850.0 + greatest(quality_hours, 0.0) * 850.0 FROM lh
+  UNION ALL SELECT 'high', 'Inspect first by cost and risk', 'priority_score', max(priority_score) FROM mp HAVING count(*) > 0
+  UNION ALL (SELECT 'high', 'Inspect first: ' || machine_id, 'remaining_risk', remaining_risk FROM rem
+             ORDER BY remaining_risk DESC, machine_id, line_id NULLS LAST LIMIT 1)
+  UNION ALL SELECT 'high', 'Unplanned stops dominate', 'unplanned_pct', un / t FROM pu WHERE t <> 0 AND un / t >= 0.45
+  UNION ALL SELECT 'medium', 'Availability loss hours', 'availability_loss_hours', (1 - a) * h FROM pp
+  UNION ALL (SELECT 'high', 'Line ' || line_id || ' hurts quality most this week', 'worst_scrap_rate', scrap_rate_weighted FROM kl {_WORST})
+  UNION ALL (SELECT 'medium', 'Quality pillar weakest on line ' || line_id, 'line_quality', quality FROM bq
+             ORDER BY quality, line_id NULLS FIRST LIMIT 1)
+  UNION ALL SELECT 'high', 'Points outside control limits', 'spc_ooc', CAST(count(*) AS DOUBLE) FROM pm, lim WHERE n >= 5 AND {OOC} HAVING count(*) > 0
+  UNION ALL SELECT 'high', 'Process not capable (Cpk below 1)', 'cpk', cpk FROM cap WHERE cpk < 1.0)"""
 
 
 @register("insight_cards", CARDS_SQL)
@@ -69,19 +89,49 @@ def changeover_loss(spark, sf):
     return ins.changeover_loss(td.downtime(spark, sf), code_col="downtime_category")
 
 
-_PL = "pl4 AS (SELECT " + ", ".join(f"{_rm[m]} AS {m}" for m in ("availability", "performance", "quality", "oee")) + f" FROM (SELECT {_SUMS} FROM plant))"
-
-
-@register("metrics_context", with_(*BASE, _PL, f"sfp AS {_SF.format(src='plant')}") + f"""SELECT scope, entity, metric, {r4('value')} AS value FROM (
-  SELECT 'plant' AS scope, 'plant' AS entity, 'availability' AS metric, availability AS value FROM pl4
-  UNION ALL SELECT 'plant', 'plant', 'performance', performance FROM pl4
-  UNION ALL SELECT 'plant', 'plant', 'quality', quality FROM pl4
-  UNION ALL SELECT 'plant', 'plant', 'oee', oee FROM pl4
-  UNION ALL (SELECT 'line', line_id, 'oee', oee FROM bl ORDER BY oee, line_id LIMIT 8)
-  UNION ALL (SELECT 'machine', machine_id, 'oee', oee FROM bm ORDER BY oee, machine_id LIMIT 5)
-  UNION ALL SELECT 'cause', cause, 'downtime_minutes', downtime_minutes FROM c WHERE _rk <= 6
-  UNION ALL SELECT 'quality', 'plant', 'scrap_rate', CASE WHEN total <> 0 THEN rejects / total ELSE 0.0 END FROM sfp
-  UNION ALL SELECT 'quality', 'plant', 'fpy', CASE WHEN total <> 0 THEN 1.0 - rejects / total ELSE 0.0 END FROM sfp)""")
+def _ctx(scope: str, entity: str, metrics: dict[str, str], src: str) -> str:
+    """One SELECT per metric over the same source."""
+    return " UNION ALL ".join(f"SELECT '{scope}' AS scope, {entity} AS entity, '{m}' AS metric, CAST({e} AS DOUBLE) AS value FROM {src}"
+                              for m, e in metrics.items())
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+_ASSET, _PLANT = "machine_id || ' / ' || line_id", "'plant'"
+_GROUP = f"(SELECT {{k}}, {_rm['oee']} AS oee, {_rm['availability']} AS availability, _d AS downtime_minutes FROM (SELECT {{k}}, {_SUMS} FROM plant GROUP BY {{k}}) ORDER BY oee, {{k}} LIMIT {{n}})"
+_GAPS = f"""(SELECT m, greatest(mg - m, 0.0) AS b FROM (SELECT avg(gap) AS mg FROM (SELECT (epoch_us(start_time)
+   - epoch_us(lag(start_time) OVER (PARTITION BY machine_id ORDER BY start_time))) / {US_PER_MIN} AS gap
+   FROM downtime WHERE start_time IS NOT NULL AND machine_id IS NOT NULL)),
+   (SELECT avg(downtime_minutes) AS m FROM downtime WHERE downtime_minutes > 0))"""
+_USD = {k: f"greatest({k}_hours, 0.0) * 850.0" for k in ("availability", "performance", "quality")}
+_DEFECTS = f"(WITH {pareto_sql('plant', chr(34) + 'defect_code' + chr(34), 'coalesce(reject_count, 0.0)', 4, value='rejects')} SELECT * FROM c WHERE _rk <= 4)"
+CONTEXT_SQL = with_(*BASE, *MORE, f"sfp AS {_SF.format(src='plant')}") + f"SELECT scope, entity, metric, {r4('value')} AS value FROM (" + " UNION ALL ".join([
+    _ctx("plant", _PLANT, {"availability": "a", "performance": "p", "quality": "q", "oee": "o", "world_class_gap": "greatest(0.85 - o, 0.0)"}, "pp"),
+    _ctx("line", "line_id", _same("oee", "availability"), _GROUP.format(k="line_id", n=8)),
+    _ctx("machine", "machine_id", _same("oee", "downtime_minutes"), _GROUP.format(k="machine_id", n=5)),
+    _ctx("cause", "cause", _same("downtime_minutes", "pct"), "(SELECT * FROM c WHERE _rk <= 6)"),
+    _ctx("reliability", _PLANT, {"mttr_min": "m", "mtbf_min": "b"}, _GAPS),
+    _ctx("reliability", _PLANT, {"events": "count(*)"}, "(SELECT 1 FROM downtime WHERE downtime_minutes > 0)"),
+    _ctx("money", _PLANT, {"availability_hours": "availability_hours", "availability_usd": _USD["availability"],
+                           "total_usd": " + ".join(_USD.values())}, "lh"),
+    _ctx("asset", _ASSET, _same("availability_hours_lost", "usd_lost", "remaining_risk", "priority_score"),
+         "(SELECT * FROM mp ORDER BY priority_score DESC, machine_id NULLS LAST, line_id NULLS LAST LIMIT 5)"),
+    _ctx("maintenance", _PLANT, {"downtime_hours": "t / 60", "planned_min": "pl", "unplanned_min": "un",
+                                 "planned_pct": "CASE WHEN t <> 0 THEN pl / t ELSE 0.0 END"}, "pu"),
+    _ctx("maintenance", _PLANT, {"availability_loss_hours": "(1 - a) * h"}, "pp"),
+    _ctx("inspect", _ASSET, _same("remaining_risk"),
+         "(SELECT * FROM rem ORDER BY remaining_risk DESC, machine_id, line_id NULLS LAST LIMIT 4)"),
+    _ctx("quality", _PLANT, {"scrap_rate": "CASE WHEN total <> 0 THEN rejects / total ELSE 0.0 END",
+                             "fpy": "CASE WHEN total <> 0 THEN 1.0 - rejects / total ELSE 0.0 END"}, "sfp"),
+    _ctx("quality", _PLANT, {"quality_oee": "q"}, "pp"),
+    _ctx("defect", "cause", _same("rejects", "pct"), _DEFECTS),
+    _ctx("quality", _PLANT, _same("cp", "cpk"), "cap"),
+]) + ")"
+
+
+@register("metrics_context", CONTEXT_SQL)
 def metrics_context(spark, sf):
     """I4: flat metrics context (scope, entity, metric, value)."""
     return ins.metrics_context(td.plant_rows(spark, sf), td.downtime(spark, sf))

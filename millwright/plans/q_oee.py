@@ -124,11 +124,11 @@ def _ext_sql() -> str:
     return with_(PLANT, f"bl AS {g('line_id')}", f"bm AS {g('machine_id')}", f"bs AS {g('shift')}", f"pl AS {pl}") + f"""
 SELECT CASE WHEN a <= p AND a <= q THEN 'Availability' WHEN p <= q THEN 'Performance' ELSE 'Quality' END AS weakest_pillar,
   {r4('least(a, p, q)')} AS weakest_value,
-  (SELECT arg_min(line_id, oee) FROM bl) AS worst_line, (SELECT {r4('min(oee)')} FROM bl) AS worst_line_oee,
-  (SELECT arg_max(line_id, oee) FROM bl) AS best_line, (SELECT {r4('max(oee)')} FROM bl) AS best_line_oee,
-  (SELECT arg_min(machine_id, oee) FROM bm) AS worst_machine, (SELECT {r4('min(oee)')} FROM bm) AS worst_machine_oee,
-  (SELECT arg_min(shift, oee) FROM bs) AS worst_shift, (SELECT {r4('min(oee)')} FROM bs) AS worst_shift_oee,
-  (SELECT arg_max(shift, oee) FROM bs) AS best_shift, (SELECT {r4('max(oee)')} FROM bs) AS best_shift_oee
+  (SELECT line_id FROM bl ORDER BY oee, line_id NULLS FIRST LIMIT 1) AS worst_line, (SELECT {r4('min(oee)')} FROM bl) AS worst_line_oee,
+  (SELECT line_id FROM bl ORDER BY oee DESC, line_id NULLS FIRST LIMIT 1) AS best_line, (SELECT {r4('max(oee)')} FROM bl) AS best_line_oee,
+  (SELECT machine_id FROM bm ORDER BY oee, machine_id NULLS FIRST LIMIT 1) AS worst_machine, (SELECT {r4('min(oee)')} FROM bm) AS worst_machine_oee,
+  (SELECT shift FROM bs ORDER BY oee, shift NULLS FIRST LIMIT 1) AS worst_shift, (SELECT {r4('min(oee)')} FROM bs) AS worst_shift_oee,
+  (SELECT shift FROM bs ORDER BY oee DESC, shift NULLS FIRST LIMIT 1) AS best_shift, (SELECT {r4('max(oee)')} FROM bs) AS best_shift_oee
 FROM pl"""
 
 

@@ -90,15 +90,19 @@ def spc_subgroups(spark, sf):
     return qa.spc_subgroups(td.quality(spark, sf))
 
 
-@register("spc_plant", with_(
-    PLANT, QC, SUBGROUPS,
+SPC_CTES = [
+    QC, SUBGROUPS,
     "ps AS (SELECT shift_date, avg(xbar) AS xbar FROM sg WHERE shift_date IS NOT NULL GROUP BY 1)",
     """pm AS (SELECT shift_date, xbar, row_number() OVER (ORDER BY shift_date) AS point,
    abs(xbar - lag(xbar) OVER (ORDER BY shift_date)) AS mr FROM ps)""",
     "lim AS (SELECT avg(xbar) AS cl, coalesce(avg(mr), 0.0) AS mr_bar, count(xbar) AS n FROM pm)",
-) + f"""SELECT shift_date, point, {r4('xbar')} AS xbar, {r4('cl')} AS cl, {r4('cl + 2.66 * mr_bar')} AS ucl,
+]
+OOC = "(xbar > cl + 2.66 * mr_bar OR xbar < greatest(0.0, cl - 2.66 * mr_bar))"
+
+
+@register("spc_plant", with_(PLANT, *SPC_CTES) + f"""SELECT shift_date, point, {r4('xbar')} AS xbar, {r4('cl')} AS cl, {r4('cl + 2.66 * mr_bar')} AS ucl,
   {r4('greatest(0.0, cl - 2.66 * mr_bar)')} AS lcl, {r4('mr_bar')} AS mr_bar,
-  (xbar > cl + 2.66 * mr_bar OR xbar < greatest(0.0, cl - 2.66 * mr_bar)) AS ooc FROM pm, lim WHERE n >= 5""")
+  {OOC} AS ooc FROM pm, lim WHERE n >= 5""")
 def spc_plant(spark, sf):
     """Q8: plant I-MR control chart on daily subgroup means."""
     return qa.spc_plant(td.quality(spark, sf))
@@ -140,14 +144,15 @@ def cpk_by_line(spark, sf):
 
 
 WEEK = "wk AS (SELECT * FROM qc WHERE shift_date >= (SELECT max(shift_date) FROM qc) - INTERVAL 7 DAY)"
+_WORST = "ORDER BY scrap_rate_weighted DESC NULLS LAST, line_id NULLS FIRST LIMIT 1"
 
 
 @register("killer_line_7d", with_(PLANT, QC, WEEK, _by_line_sql("wk")) + f"""SELECT
-  (SELECT arg_max(line_id, scrap_rate_weighted) FROM blw) AS worst_line,
+  (SELECT line_id FROM blw {_WORST}) AS worst_line,
   (SELECT {r4('max(scrap_rate_weighted)')} FROM blw) AS worst_scrap_rate,
-  (SELECT {r4('arg_max(fpy_weighted, scrap_rate_weighted)')} FROM blw) AS worst_fpy,
-  (SELECT {r4('arg_max(reject_share, scrap_rate_weighted)')} FROM blw) AS worst_reject_share,
-  (SELECT arg_min(line_id, scrap_rate_weighted) FROM blw) AS best_line,
+  (SELECT {r4('fpy_weighted')} FROM blw {_WORST}) AS worst_fpy,
+  (SELECT {r4('reject_share')} FROM blw {_WORST}) AS worst_reject_share,
+  (SELECT line_id FROM blw ORDER BY scrap_rate_weighted, line_id NULLS FIRST LIMIT 1) AS best_line,
   (SELECT {r4('min(scrap_rate_weighted)')} FROM blw) AS best_scrap_rate,
   {r4('CASE WHEN total <> 0 THEN rejects / total ELSE 0.0 END')} AS plant_scrap_rate
 FROM {_SF.format(src='wk')}""")
