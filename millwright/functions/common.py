@@ -47,16 +47,18 @@ def minmax_norm(df: DataFrame, cols: Iterable[str], suffix: str = "_norm") -> Da
     """(v - min) / (max - min) per column, 0 when the span is <= 1e-12, NULL read as 0.
 
     The bounds of all columns are one aggregate read as a scalar subquery, so rows stay
-    where they are: no window over the whole table.
+    where they are: no window over the whole table.  The subquery is a column of its own,
+    so that it is planned once and not once per use.
     """
     cols = list(cols)
     value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in cols}
     bounds = df.agg(F.struct(*[f(value[c]).alias(f"{c}_{n}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]).alias("b")).scalar()
+    b = F.col("_bounds")
     out = {}
     for c in cols:
-        lo, span = bounds[f"{c}_lo"], bounds[f"{c}_hi"] - bounds[f"{c}_lo"]
+        lo, span = b[f"{c}_lo"], b[f"{c}_hi"] - b[f"{c}_lo"]
         out[c + suffix] = F.when(span <= 1e-12, F.lit(0.0)).otherwise((value[c] - lo) / span)
-    return df.withColumns(out)
+    return df.withColumn("_bounds", bounds).withColumns(out).drop("_bounds")
 
 
 ROUND_NUDGE = 1e-9
@@ -95,16 +97,28 @@ def trailing_window(df: DataFrame, date_col: str | None, days: int = 7) -> DataF
     """
     if not date_col or date_col not in df.columns:
         return df
+    ts, mx, start = _window_start(df, date_col, days)
+    return df.where(ts >= start).unionByName(df.where(ts.isNull() & mx.isNull()))
+
+
+def in_trailing_window(df: DataFrame, date_col: str | None, days: int = 7) -> Column:
+    """Whether ``trailing_window`` keeps the row, for use inside an aggregate over all rows."""
+    if not date_col or date_col not in df.columns:
+        return F.lit(True)
+    ts, mx, start = _window_start(df, date_col, days)
+    return F.coalesce(ts >= start, mx.isNull())
+
+
+def _window_start(df: DataFrame, date_col: str, days: int) -> tuple[Column, Column, Column]:
+    """The row's date, the latest date (a scalar subquery) and the start of the window."""
     d = F.col(date_col)
     dtype = df.schema[date_col].dataType
     if isinstance(dtype, T.DateType):
-        ts, mx = d, df.select(F.max(d)).scalar()
-        cond = d >= F.date_sub(mx, days)
-    else:
-        ts = d.try_cast("timestamp_ntz") if isinstance(dtype, T.StringType) else d
-        mx = df.select(F.max(ts)).scalar()
-        cond = ts >= mx - F.make_dt_interval(F.lit(days))
-    return df.where(cond).unionByName(df.where(ts.isNull() & mx.isNull()))
+        mx = df.select(F.max(d)).scalar()
+        return d, mx, F.date_sub(mx, days)
+    ts = d.try_cast("timestamp_ntz") if isinstance(dtype, T.StringType) else d
+    mx = df.select(F.max(ts)).scalar()
+    return ts, mx, mx - F.make_dt_interval(F.lit(days))
 
 
 def ensure_parallel(df: DataFrame) -> DataFrame:

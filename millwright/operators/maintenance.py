@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millwright.functions.common import clip, days_between, minmax_norm, minutes_between, num, num0, trailing_window
+from millwright.functions.common import clip, days_between, in_trailing_window, minmax_norm, minutes_between, num, num0, trailing_window
 from millwright.functions.resolve import find_col, require_col
 from millwright.operators.downtime import MINUTES_ALIASES
 
@@ -181,8 +181,12 @@ def asset_keys(df: DataFrame) -> list[str]:
     return [machine] + ([line] if line and line != machine else [])
 
 
-def asset_risk(df: DataFrame) -> DataFrame:
-    """X6 + X8: per (machine, line) reliability metrics and the rule score."""
+def asset_risk(df: DataFrame, recent_days: Optional[int] = None) -> DataFrame:
+    """X6 + X8: per (machine, line) reliability metrics and the rule score.
+
+    ``recent_days`` adds ``events_7d``, ``minutes_7d`` and ``events_7d_norm`` of the trailing
+    days, counted in the same pass over the events.
+    """
     minutes = require_col(df.columns, *MINUTES_ALIASES)
     keys = asset_keys(df)
     w = classify(df).withColumn("_m", num0(minutes))
@@ -209,6 +213,12 @@ def asset_risk(df: DataFrame) -> DataFrame:
     if start:
         s = F.col(start)
         aggs += [F.count(s).alias("_ns"), minutes_between(F.min(s), F.max(s)).alias("_span")]
+    recency = []
+    if recent_days is not None:
+        w = w.withColumn("_recent", in_trailing_window(df, date_col, recent_days))
+        raw = F.when(F.col("_recent"), num(minutes))
+        aggs += [F.count(raw).cast("double").alias("events_7d"), F.coalesce(F.sum(raw), F.lit(0.0)).alias("minutes_7d")]
+        recency = ["events_7d", "minutes_7d"]
     g = w.groupBy(*keys).agg(*aggs)
     mtbf = (
         F.when((F.col("events") > 1) & (F.col("_ns") > 1),
@@ -223,8 +233,9 @@ def asset_risk(df: DataFrame) -> DataFrame:
         "longest_event_min", "unplanned_minutes",
         F.when(F.col("downtime_minutes") != 0, F.col("unplanned_minutes") / F.col("downtime_minutes"))
         .otherwise(0.0).alias("unplanned_share"),
+        *recency,
     )
-    n = minmax_norm(g, ["failure_freq_per_day", "mttr_min", "longest_event_min"])
+    n = minmax_norm(g, ["failure_freq_per_day", "mttr_min", "longest_event_min", *recency[:1]])
     wt = RISK_WEIGHTS
     score = (
         wt["freq"] * F.col("failure_freq_per_day_norm")
@@ -258,10 +269,10 @@ def remaining_risk(downtime: DataFrame, sensor_by_asset: Optional[DataFrame] = N
                    top_n: Optional[int] = 8) -> DataFrame:
     """X13 + X14: rule score + sensor boost + recency, action and why text; top-N.
 
-    Joins are on (machine, line) null-safe, so a machine on two lines keeps one
-    row per line.  The sensor table is per machine (one row each).
+    A machine on two lines keeps one row per line.  Recent events come from the pass that
+    builds the risk table.  The sensor table is per machine (one row each).
     """
-    risk = asset_risk(downtime)
+    risk = asset_risk(downtime, recent_days=7)
     if sensor_by_asset is not None:
         s = sensor_by_asset.select("machine_id", "iso_anomaly_rate_pct")
         risk = risk.join(s, on="machine_id", how="left").withColumn(
@@ -270,14 +281,6 @@ def remaining_risk(downtime: DataFrame, sensor_by_asset: Optional[DataFrame] = N
         risk = risk.withColumn("iso_boost", clip(F.col("iso_anomaly_rate_pct") * 1.5, 0, 25))
     else:
         risk = risk.withColumns({"iso_anomaly_rate_pct": F.lit(0.0), "iso_boost": F.lit(0.0)})
-    rec = events_recent(downtime)
-    cond = risk["machine_id"].eqNullSafe(rec["machine_id"]) & risk["line_id"].eqNullSafe(rec["line_id"])
-    risk = risk.join(rec, cond, "left").select(
-        risk["*"],
-        F.coalesce(rec["events_7d"].cast("double"), F.lit(0.0)).alias("events_7d"),
-        F.coalesce(rec["minutes_7d"], F.lit(0.0)).alias("minutes_7d"),
-    )
-    risk = minmax_norm(risk, ["events_7d"])
     risk = risk.withColumn(
         "remaining_risk",
         clip(F.col("rule_score") + F.col("iso_boost") + 10.0 * F.col("events_7d_norm"), 0, 100),
