@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millwright.functions.quantiles import exact_quantiles
 from millwright.operators import clean, dq, finance, maintenance, mapping, oee, quality
 from millwright.operators import downtime as dtm
-from millwright.operators.ml import iforest
+from millwright.operators.ml import cluster, iforest
 
 
 def _one(df):
@@ -175,3 +175,57 @@ def test_stitched_lag_two_block_columns(spark):
     w = Window.partitionBy("machine_id").orderBy("shift_date", "shift", "k")
     want = {r["k"]: r["p"] for r in df.withColumn("p", F.lag("x").over(w)).collect()}
     assert got == want
+
+
+def test_extremes_ties_go_to_the_smaller_key(spark):
+    rows = [(line, "M" + line, "A", 480.0, 48.0, 10.0, 100.0, 90.0) for line in ("L2", "L1", "L3")]
+    df = spark.createDataFrame(rows, "line_id string, machine_id string, shift string, planned_time_min double, downtime_minutes double, "
+                                     "ideal_rate double, total_count double, good_count double")
+    r = _one(oee.extremes(df))
+    assert (r["worst_line"], r["best_line"], r["worst_machine"]) == ("L1", "L1", "ML1")
+
+
+def test_killer_line_ties_go_to_the_smaller_line(spark):
+    rows = [(dt.date(2024, 1, 1), line, 100.0, 95.0) for line in ("L2", "L1")]
+    df = spark.createDataFrame(rows, "shift_date date, line_id string, total_count double, good_count double")
+    r = _one(quality.killer_line(df))
+    assert (r["worst_line"], r["best_line"], r["worst_scrap_rate"]) == ("L1", "L1", 0.05)
+
+
+def test_pca_drift_ignores_constant_columns(spark):
+    rng = np.random.default_rng(11)
+    rows = [(dt.date(2024, 1, 1 + i % 28), 0.1, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    df = spark.createDataFrame(rows, "shift_date date, flat double, a double, b double")
+    with_flat = _one(cluster.pca_drift(df, ["flat", "a", "b"], "shift_date", n_comp=1))
+    without = _one(cluster.pca_drift(df, ["a", "b"], "shift_date", n_comp=1))
+    assert with_flat["pca_var_early"] == pytest.approx(without["pca_var_early"])
+    assert with_flat["drift_score"] == pytest.approx(without["drift_score"])
+
+
+def test_assoc_rules_named_columns_and_every_pair(spark):
+    rows = [("x" if i % 2 else "y", "u" if i % 2 else "v", float(i), float(-i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "c1 string, c2 string, n1 double, n2 double")
+    rules = {(r["a"], r["b"]): r["pair_count"] for r in dq.assoc_rules(df, cats=["c1", "c2"], nums=[]).collect()}
+    assert rules == {("c1=x", "c2=u"): 50, ("c1=y", "c2=v"): 50}
+    wide = spark.createDataFrame([tuple(["k"] * 10)] * 30, ", ".join(f"c{i} string" for i in range(10)))
+    assert dq.assoc_rules(wide).count() == 45
+
+
+def test_recent_events_without_dates_and_in_one_pass(spark):
+    schema = "event_id long, machine_id string, line_id string, shift_date date, downtime_minutes double, is_planned boolean"
+    days = [dt.date(2024, 1, 1), dt.date(2024, 1, 20), dt.date(2024, 1, 13), dt.date(2024, 1, 12), None]
+    rows = [(i, f"M{i % 2}", None if i % 2 else "L1", d, 10.0 + i, False) for i, d in enumerate(days)]
+    for data in (rows, [(*r[:3], None, *r[4:]) for r in rows], []):
+        df = spark.createDataFrame(data, schema)
+        want = {(r["machine_id"], r["line_id"]): (r["events_7d"], r["minutes_7d"]) for r in maintenance.events_recent(df).collect()}
+        got = {(r["machine_id"], r["line_id"]): (r["events_7d"], r["minutes_7d"]) for r in maintenance.remaining_risk(df, top_n=None).collect()}
+        assert got == {k: want.get(k, (0.0, 0.0)) for k in got} and set(want) <= set(got)
+
+
+def test_cards_of_table_without_defect_codes(spark, sf):
+    from millwright.operators import insights
+    from millwright.sources import testdata as td
+
+    c = insights.cards(td.plant_rows(spark, sf).drop("defect_code", "measurement_mm"), td.downtime(spark, sf))
+    metrics = {r["metric"] for r in c.collect()}
+    assert "synthesized" in metrics and "cpk" not in metrics and {"remaining_risk", "priority_score", "worst_scrap_rate"} <= metrics
