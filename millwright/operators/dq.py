@@ -101,11 +101,10 @@ def iqr(df: DataFrame, cols: Optional[list[str]] = None) -> DataFrame:
     Quartiles are exact (linear interpolation) via distributed selection.
     """
     cols = cols or numeric_columns(df)
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _q(c).cast("double").alias("v")) for c in cols])).alias("r")).select("r.*")
-    qs = exact_quantiles(long, "v", [0.25, 0.75], group="k")
+    qs = exact_quantiles(df, {c: _q(c) for c in cols}, [0.25, 0.75])
     parts = []
     for c in cols:
-        q1, q3 = qs.get(c, [None, None])
+        q1, q3 = qs[c]
         if q1 is None:
             hits = F.lit(0).cast("bigint")
         else:
@@ -211,12 +210,10 @@ def assoc_rules(df: DataFrame, cats: Optional[list[str]] = None, nums: Optional[
     exact = df.agg(*[F.count_distinct(_q(c)).alias(c) for c in near]).collect()[0] if near else {}
     cats = [c for c in str_cols if c in near and exact[c] <= max_distinct]
     nums = nums if nums is not None else numeric_columns(df)
-    q90 = exact_quantiles(
-        df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _q(c).cast("double").alias("v")) for c in nums])).alias("r")).select("r.*"),
-        "v", [0.9], group="k") if nums else {}
+    q90 = exact_quantiles(df, {c: _q(c) for c in nums}, [0.9])
     items = [F.when(_q(c).isNotNull(), F.concat(F.lit(f"{c}="), _q(c).cast("string"))) for c in cats]
     for c in nums:
-        t = q90.get(c, [None])[0]
+        t = q90[c][0]
         if t is not None:
             items.append(F.when(_q(c).cast("double") >= F.lit(t), F.lit(f"{c}=HIGH")))
     if not items:

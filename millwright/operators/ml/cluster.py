@@ -75,7 +75,7 @@ def pca_drift(df: DataFrame, cols: list[str], order_col: str, n_comp: int = 3, t
     else:
         okey = F.col("_o").cast("double")
     num = num.withColumn("_k", okey)
-    med = exact_quantiles(num, "_k", [0.5]).get(None, [None])[0]
+    med = exact_quantiles(num, {"k": F.col("_k")}, [0.5])["k"][0]
     halves = num.withColumn("_half", (F.col("_k") > F.lit(med)).cast("int"))
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]

@@ -100,10 +100,8 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
         need = [n for n in features if nulls[n]]
         fill = {}
         if need:
-            long = base.select(F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).cast("double").alias("v"))
-                                                   for n in need])).alias("r")).select("r.*")
-            med = exact_quantiles(long, "v", [0.5], group="k")
-            fill = {n: med.get(n, [None])[0] for n in need}
+            med = exact_quantiles(base, {n: F.col(n) for n in need}, [0.5])
+            fill = {n: med[n][0] for n in need}
     base = base.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(fill.get(f) or 0.0)) for f in features})
     n = base.select(F.count(F.lit(1))).first()[0]
     if n == 0:
@@ -168,5 +166,5 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
 
     ensure_checkpoint_dir(spark)
     ckpt = scored.checkpoint(eager=True)  # cut lineage: scores are reused by the cut and the output
-    cut = exact_quantiles(ckpt, "anomaly_score", [1.0 - contamination]).get(None, [None])[0]
+    cut = exact_quantiles(ckpt, {"score": F.col("anomaly_score")}, [1.0 - contamination])["score"][0]
     return ckpt.withColumn("anomaly", F.col("anomaly_score") > F.lit(cut))

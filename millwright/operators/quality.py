@@ -213,9 +213,7 @@ def spec_limits(df: DataFrame) -> tuple[Optional[float], Optional[float]]:
     present = [(k, c) for k, c in (("lsl", lsl), ("usl", usl)) if c]
     if not present:
         return None, None
-    # both medians in one search: the limits as (which, value) rows grouped by which
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), num(c).alias("v")) for k, c in present])).alias("r"))
-    med = exact_quantiles(long.select("r.*"), "v", [0.5], group="k")
+    med = exact_quantiles(df, {k: num(c) for k, c in present}, [0.5])
     return med.get("lsl", [None])[0], med.get("usl", [None])[0]
 
 

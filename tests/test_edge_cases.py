@@ -121,14 +121,26 @@ def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(500, 0.25), rng.integers(0, 5, 800).astype(float)])
     df = spark.createDataFrame([(float(v), "g" + str(i % 3)) for i, v in enumerate(vals)], "v double, g string")
-    got = exact_quantiles(df, "v", [0.1, 0.5, 0.9], buckets=16, collect_limit=50)[None]
+    got = exact_quantiles(df, {"v": F.col("v")}, [0.1, 0.5, 0.9], accuracy=20)["v"]
     assert got == pytest.approx(list(np.quantile(vals, [0.1, 0.5, 0.9])), abs=0, rel=1e-12)
-    per = exact_quantiles(df, "v", [0.25], group="g", buckets=8, collect_limit=10)
-    for k in ("g0", "g1", "g2"):
+    parts = {k: F.when(F.col("g") == k, F.col("v")) for k in ("g0", "g1", "g2")}
+    per = exact_quantiles(df, parts, [0.25])
+    for k in parts:
         sub = vals[[i for i in range(len(vals)) if "g" + str(i % 3) == k]]
         assert per[k][0] == pytest.approx(float(np.quantile(sub, 0.25)), rel=1e-12)
 
 
+def test_exact_quantiles_ties_ends_and_nothing(spark):
+    two = [480.0] * 500 + [500.0] * 500  # the median lies between two heavy values
+    rows = [(v, float("nan") if i % 2 else None, float(i % 7), 3.5) for i, v in enumerate(two)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    probs = [0.0, 0.3, 0.5, 1.0]
+    got = exact_quantiles(df, {c: F.col(c) for c in "abcd"}, probs, accuracy=10)
+    assert got["a"] == [480.0, 480.0, 490.0, 500.0] and got["b"] == [None] * 4 and got["d"] == [3.5] * 4
+    assert got["c"] == pytest.approx(list(np.quantile([i % 7 for i in range(1000)], probs)))
+    assert exact_quantiles(df, {}, probs) == {}
+
+
 def test_stitched_lag_equals_plain_lag(spark):
     rng = np.random.default_rng(3)
     rows = [(f"M{int(m)}", dt.date(2024, 1, int(d)), int(i), float(v)) for i, (m, d, v) in
