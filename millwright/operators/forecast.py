@@ -11,13 +11,12 @@ is deterministic for any partitioning.
 from __future__ import annotations
 
 import random
-from typing import Optional
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +82,9 @@ def _materialize(feat: DataFrame) -> DataFrame:
     return dealt.checkpoint(eager=True)
 
 
-def _split(df: DataFrame, train_pct: int = 75) -> tuple[DataFrame, DataFrame]:
-    h = F.pmod(F.xxhash64(F.lit(SEED), F.col("machine_id"), F.col("shift_date").cast("string")), F.lit(100))
+def _split(df: DataFrame, train_pct: int = 75, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Rows dealt by a hash of their key: the same parts for any partitioning."""
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col("machine_id"), F.col("shift_date").cast("string")), F.lit(100))
     d = df.withColumn("_h", h)
     return d.where(F.col("_h") < train_pct).drop("_h"), d.where(F.col("_h") >= train_pct).drop("_h")
 
@@ -106,30 +106,35 @@ def rate_model(feat: DataFrame, trees: int = DEFAULT_TREES, depth: int = DEFAULT
 
 
 def rate_tuning(feat: DataFrame, n_trials: int = N_TRIALS, parallelism: int = 4):
-    """Seeded random search over trees / depth / leaf, validated on a split of the training part."""
+    """Seeded random search over trees / depth / leaf: ``n_trials`` distinct settings, each judged on a
+    key-hash fold of the training part; the best one is fitted on the whole part."""
     train, test = _split(_materialize(feat))
+    part, fold = _split(train, seed=SEED + 1)
     rng = random.Random(SEED)
-    rf = RandomForestRegressor(featuresCol="features", labelCol="target", seed=SEED)
-    trials = {(rng.randint(*SEARCH["trees"]), rng.randint(*SEARCH["depth"]), rng.randint(*SEARCH["leaf"])) for _ in range(n_trials)}
-    grid = []
-    for t, d, l in sorted(trials):
-        grid += ParamGridBuilder().baseOn({rf.numTrees: t, rf.maxDepth: d, rf.minInstancesPerNode: l}).build()
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), rf])
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, trainRatio=0.75, seed=SEED, parallelism=parallelism,
-                               evaluator=RegressionEvaluator(labelCol="target", metricName="mae"))
-    fitted = tvs.fit(train)
-    best = fitted.bestModel
-    test_mae = RegressionEvaluator(labelCol="target", metricName="mae").evaluate(best.transform(test))
-    rows = []
-    for pm, metric in zip(grid, fitted.validationMetrics):
-        rows.append((pm[rf.numTrees], pm[rf.maxDepth], pm[rf.minInstancesPerNode], float(metric)))
-    return best, test_mae, rows
+    trials: set[tuple[int, int, int]] = set()
+    while len(trials) < n_trials:
+        trials.add((rng.randint(*SEARCH["trees"]), rng.randint(*SEARCH["depth"]), rng.randint(*SEARCH["leaf"])))
+    mae = RegressionEvaluator(labelCol="target", metricName="mae")
+    settings = sorted(trials)
+    with ThreadPool(parallelism) as pool:
+        errors = pool.map(lambda s: mae.evaluate(_pipeline(*s).fit(part).transform(fold)), settings)
+    best = _pipeline(*min(zip(errors, settings))[1]).fit(train)
+    return best, mae.evaluate(best.transform(test)), [(*s, float(e)) for s, e in zip(settings, errors)]
 
 
 def rate_forecast(feat_latest: DataFrame, daily_targets: DataFrame, model) -> DataFrame:
-    """P5: per machine, prediction for the day after the latest one, mean of the last 5 targets, difference."""
-    pred = model.transform(feat_latest).select("machine_id", F.col("shift_date").alias("last_date"),
-                                              F.col("prediction").alias("forecast"))
+    """P5: per machine, prediction for the day after the latest one, mean of the last 5 targets, difference.
+
+    Every machine has a row; one whose latest day lacks a feature has no forecast and a ``reason``.
+    """
+    whole = F.lit(True)
+    for c in FEATURES:
+        whole = whole & F.col(c).isNotNull()
+    last_date, reason = F.col("shift_date").alias("last_date"), F.lit("latest day is incomplete")
+    pred = model.transform(feat_latest.where(whole)).select(
+        "machine_id", last_date, F.col("prediction").alias("forecast"), F.lit(None).cast("string").alias("reason"))
+    pred = pred.unionByName(feat_latest.where(~whole).select(
+        "machine_id", last_date, F.lit(None).cast("double").alias("forecast"), reason.alias("reason")))
     w = Window.partitionBy("machine_id").orderBy(F.col("shift_date").desc())
     recent = daily_targets.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 5).groupBy("machine_id").agg(
         F.avg("target").alias("recent_mean"))
@@ -147,7 +152,7 @@ def latest_features(df: DataFrame) -> DataFrame:
     )
     last = daily.groupBy("machine_id").agg(F.max_by(F.struct(*[c for c in daily.columns if c != "machine_id"]),
                                                      F.col("shift_date")).alias("s"))
-    return last.select("machine_id", "s.*").dropna(subset=FEATURES)
+    return last.select("machine_id", "s.*")
 
 
 def feature_importance(model, top: int = 8) -> list[tuple[str, float]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millwright.functions.quantiles import exact_quantiles
-from millwright.operators import clean, dq, finance, maintenance, mapping, oee, quality
+from millwright.operators import clean, dq, finance, forecast, maintenance, mapping, oee, quality
 from millwright.operators import downtime as dtm
 from millwright.operators.ml import cluster, iforest
 
@@ -141,6 +141,46 @@ def test_exact_quantiles_ties_ends_and_nothing(spark):
     assert exact_quantiles(df, {}, probs) == {}
 
 
+def _days(spark, machines=4, days=25):
+    """(machine, day) features with a scrap rate that follows the day before; one machine's last day is incomplete."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for m in range(machines):
+        x = rng.uniform(0.01, 0.2, days)
+        for d in range(1, days):
+            feats = [float(x[d - 1])] + [float(v) for v in rng.uniform(size=8)]
+            rows.append((f"M{m}", dt.date(2024, 1, 1) + dt.timedelta(days=d), float(x[d - 1] / 2), *feats))
+    schema = "machine_id string, shift_date date, target double, " + ", ".join(f"{c} double" for c in forecast.FEATURES)
+    feat = spark.createDataFrame(rows, schema)
+    last = [r for r in rows if r[1] == dt.date(2024, 1, days)]
+    last[0] = last[0][:4] + (None,) + last[0][5:]
+    return feat, spark.createDataFrame(last, schema)
+
+
+def test_rate_model_is_the_same_for_any_partitioning(spark):
+    feat, _ = _days(spark)
+    a, b = (forecast.rate_model(feat.repartition(n), trees=10, depth=4) for n in (4, 16))
+    assert a[1] == b[1] and forecast.feature_importance(a[0]) == forecast.feature_importance(b[0])
+    assert forecast.feature_importance(a[0])[0][0] == "prev_target" and a[1] < 0.02
+
+
+def test_rate_tuning_runs_every_trial(spark):
+    feat, _ = _days(spark)
+    _, error, rows = forecast.rate_tuning(feat, n_trials=3)
+    assert len({r[:3] for r in rows}) == 3 and error < 0.05
+    for r in rows:
+        assert all(lo <= v <= hi for v, (lo, hi) in zip(r, forecast.SEARCH.values()))
+
+
+def test_rate_forecast_lists_every_machine(spark):
+    feat, latest = _days(spark)
+    model, _ = forecast.rate_model(feat, trees=10, depth=4)
+    rows = {r["machine_id"]: r for r in forecast.rate_forecast(latest, feat, model).collect()}
+    assert sorted(rows) == ["M0", "M1", "M2", "M3"]
+    assert rows["M0"]["forecast"] is None and rows["M0"]["reason"] and rows["M0"]["recent_mean"] is not None
+    assert all(rows[m]["forecast"] is not None and rows[m]["reason"] is None for m in ("M1", "M2", "M3"))
+
+
 def test_stitched_lag_equals_plain_lag(spark):
     rng = np.random.default_rng(3)
     rows = [(f"M{int(m)}", dt.date(2024, 1, int(d)), int(i), float(v)) for i, (m, d, v) in
