@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.quantiles import exact_quantiles
+from millwright.session import ensure_checkpoint_dir
 
 SEED = 42
 CONSTANT_SD = 1e-12  # a column whose sd is below this share of its mean counts as constant
@@ -40,7 +41,9 @@ def kmeans_far(df: DataFrame, cols: list[str], seed: int = SEED) -> DataFrame:
     if len(cols) < 2 or n < 20:
         return df.sparkSession.createDataFrame([(n, None, None, False)], "rows bigint, k int, far_from_cluster bigint, ok boolean")
     k = min(3, max(2, n // 5))
-    z = standardize(num, cols)
+    # every round of the fit reads the rows again: cut their lineage once (shared checkpoint folder)
+    ensure_checkpoint_dir(df.sparkSession)
+    z = standardize(num, cols).checkpoint(eager=True)
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z)
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
     centers = [list(map(float, c)) for c in model.clusterCenters()]
