@@ -174,6 +174,26 @@ def test_quality_tells_junk(spark, sf):
     assert sum(r["quality"]["kept"] for r in out) > 0.8 * len(out)
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(11)
+    made = lambda n: ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+    prose = lambda lang, n: " ".join(rng.choice(quality.COMMON_WORDS[lang]) if rng.random() < 0.2 else w for w in made(n))
+    rows = [(k, prose(lang, 400), lang, True) for k, lang in enumerate(["en", "de", "fr", "es"] * 10)]
+    rows += [(100, " ".join(made(120)), "en", False), (101, " ".join(made(900)), None, False), (102, " ".join(made(50)), "de", False)]
+    rows += [(200, " ".join(made(49)), "en", True), (201, prose("fr", 300), "en", True), (202, prose("es", 150), "xx", True)]  # below the guard; wrong tags
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, stays boolean")
+    out = quality.quality_rules(table, ["doc_id", "stays"]).collect()
+    assert {r["doc"]["doc_id"]: r["quality"]["kept"] for r in out} == {i: stays for i, _, _, stays in rows}
+    # references that are mostly junk: junk still goes, clean texts still stay
+    junk = [(300 + k, " ".join(made(40000)), "en", False) for k in range(3)]
+    table = spark.createDataFrame([(r[0], r[1], "en", r[3]) for r in rows if r[0] < 40 and r[2] == "en"] + junk + [(400, " ".join(made(80)), None, False)], table.schema)
+    out = quality.quality_rules(table, ["doc_id", "stays"]).collect()
+    assert all(r["quality"]["kept"] == r["doc"]["stays"] for r in out)
+    # no common word at all: nothing to judge by
+    out = quality.quality_rules(spark.createDataFrame([(1, " ".join(made(80)), "en", True)], table.schema), ["doc_id"]).collect()
+    assert out[0]["quality"]["kept"]
+
+
 def test_pii_base_random():
     rng = random.Random(3)
     for _ in range(5000):
