@@ -19,7 +19,9 @@ Equal fingerprints are one node, so a group of copies of any size costs one row
 
 Defined results: a text without words (null, empty, white space) has fingerprint 0 and
 links like any other; rows with a null id link others but are no component id (a component of
-only such rows has a null id); rows that repeat an id are each returned.
+only such rows has a null id); rows that repeat an id are each returned.  ``one_of_each`` decides by
+(id, text): of rows that repeat an id each goes or stays by the component of its own text, and rows
+that repeat both share their verdict, so whole repeats of a least row all stay.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import arrow_pass, stored, text_bytes
+from millwright.llm.common import arrow_pass, stored, text_bytes, text_or_empty
 from millwright.llm.components import smallest_reachable
 
 FANOUT = 8
@@ -65,15 +67,21 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of each row as a signed long; ``keyed`` adds ``key``, the hash of the text."""
+    key = [_text_key(F.col(text_col)).alias("key")] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), *b.columns[2:]], ["id", "fp", *["key"][: len(b.columns) - 2]])
 
-    return arrow_pass(docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text")), run, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(F.col(text_col)).alias("text"), *key)
+    return arrow_pass(rows, run, "id long, fp long" + ", key long" * keyed)
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text_or_empty(text))
 
 
 def _parts(mask: int, n: int) -> list[int]:
@@ -210,18 +218,19 @@ def link_edges(nodes: DataFrame, bits: int = BITS, group_max: int = GROUP_MAX) -
         dealt = open_.join(F.broadcast(deal), "mask").select("fp", F.explode("parts").alias("mask"))  # a row per mask
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """(id, fp, component_id): each row's fingerprint and the least id that its links reach."""
-    marked = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, keyed: bool = False) -> DataFrame:
+    """(id, fp, component_id): each row's fingerprint and the least id that its links reach; ``keyed`` adds ``key`` of ``fingerprints``."""
+    marked = stored(fingerprints(docs, id_col, text_col, shingle, keyed), "fingerprints")
     nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
     roots = smallest_reachable(link_edges(nodes.select("fp"), bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     named = rooted.join(heads, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("id", "fp", "component_id")
+    return marked.join(named, "fp").select("id", "fp", "component_id", *["key"][:keyed])
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``docs`` without the rows whose id is not their component's (rows without an id stay)."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, bits).filter("id != component_id").select(F.col("id").alias("_n_id"))
-    return docs.join(gone, docs[id_col] == gone["_n_id"], "left_anti")
+    """``docs`` without the rows whose id is not that of their text's component (rows without an id stay)."""
+    found = near_duplicates(docs, id_col, text_col, shingle, bits, keyed=True).filter("id != component_id")
+    gone = found.select(F.col("id").alias("_n_id"), F.col("key").alias("_n_key"))
+    return docs.join(gone, (docs[id_col] == gone["_n_id"]) & (_text_key(docs[text_col]) == gone["_n_key"]), "left_anti")

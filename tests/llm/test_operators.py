@@ -136,6 +136,14 @@ def test_line_runs_compact(docs):
     assert known.count() == known.distinct().count()
 
 
+def test_simhash_keeps_the_unique_text_of_a_repeated_id(spark):
+    other = " ".join(f"own{k} word{k * 7 % 90}" for k in range(120))
+    rows = [(1, PROSE), (5, PROSE), (5, other), (5, other), (6, None), (7, PROSE), (7, ""), (None, other)]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    # the copies of 1 go, also where their id has a text of its own; the empty text of 7 is a copy of 6
+    assert Counter(map(tuple, left.collect())) == Counter([(1, PROSE), (5, other), (5, other), (6, None), (None, other)])
+
+
 def test_quality_edges(docs, none):
     out = quality.quality_rules(docs, ["doc_id", "text"]).collect()
     for r in out:
