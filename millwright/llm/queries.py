@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millwright.llm import bpe, linedupe, mixing, packing, pii, quality, sharding, simhash, substring, topk
-from millwright.llm.common import prepare
+from millwright.llm import bpe, fim, linedupe, mixing, openbins, packing, pii, prefixtrie, quality, sharding, simhash, substring, topk
+from millwright.llm.common import prepare, stored
 from millwright.sources.testdata import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,77 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and divergence verdict of every document."""
     judged = quality.quality_rules(_documents(spark, sf_dir), ["doc_id"])
     return judged.select("doc.doc_id", "quality.*")
+
+
+@_query(
+    "op11_fim",
+    """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+cut AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (length(t) + 1) AS a,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (length(t) + 1) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, substring(t, 1, least(a, b)) AS p, substring(t, least(a, b) + 1, abs(a - b)) AS m, substring(t, greatest(a, b) + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cut and digests of every document turned to fill-in-middle: 90 % of them, a fifth of these suffix first."""
+    out = fim.fill_in_middle(_documents(spark, sf_dir), ["doc_id"], seed=1, percent=90, spm_percent=20)
+    restored = fim.restore(F.col("fim.output"), F.col("fim.form"))
+    columns = [F.col(f"fim.{c}") for c in ("n", "form", "prefix_chars", "middle_chars")]
+    return out.select("doc.doc_id", *columns, _sha(F.col("fim.output")).alias("output_sha256"), _sha(restored).alias("restored_sha256"))
+
+
+@_query(
+    "op12_prefix_trie",
+    r"""
+WITH turns AS (
+  SELECT conv_id, list({'id': md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')),
+                        'w': len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))} ORDER BY turn NULLS FIRST) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+drawn AS (
+  SELECT conv_id, l, CAST(xor(list_reduce(
+           list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS INTEGER) AS h
+  FROM turns),
+rebuilt AS (
+  SELECT d.conv_id, list_concat(CASE WHEN h = 0 OR b.l IS NULL THEN [] ELSE b.l[1:h] END, d.l[h + 1:]) AS l
+  FROM drawn d LEFT JOIN turns b ON b.conv_id = d.conv_id - d.conv_id % 20),
+prefixes AS (
+  SELECT conv_id, len(l) AS n, unnest(range(len(l) + 1)) AS depth, l FROM rebuilt),
+keyed AS (
+  SELECT conv_id, n, depth, array_to_string(list_transform(CASE WHEN depth = 0 THEN [] ELSE l[1:depth] END, lambda x: x.id), '') AS k,
+         CASE WHEN depth = 0 THEN 0 ELSE l[depth].w END AS w FROM prefixes),
+nodes AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM keyed GROUP BY k, depth),
+children AS (
+  SELECT left(k, 32 * (depth - 1)) AS k, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+below AS (
+  SELECT left(k, 32 * up) AS k, sum((n_convs - 1) * w) AS saved, count(*) FILTER (WHERE k NOT IN (SELECT k FROM children)) AS leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS up FROM nodes) GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (k) LEFT JOIN children USING (k) LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.k = left(n.k, 32 * (n.depth - 1))
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each with up to 3 turns of the conversation that heads its twenty."""
+    convs = stored(prefixtrie.sequences(table(spark, sf_dir, "conversations")), "conversations")
+    return prefixtrie.prefix_trie(prefixtrie.with_shared_heads(convs)).drop("digest")
+
+
+@_query("op13_best_fit")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 1024 token ids."""
+    return openbins.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, length=1024)
