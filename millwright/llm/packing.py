@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millwright.llm.common import arrow_pass, text_or_empty
+from millwright.llm.common import arrow_pass, ordinary_ids, text_or_empty
 
 ROW = 2048
 CHUNK_TOKENS = 1 << 21
@@ -123,7 +124,7 @@ def pack(docs: DataFrame, path: str, pattern: str, end_id: int, id_col: str = "d
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.array([*own.encode_ordinary(text.as_py()), end_id], kind)
+                ids = np.array([*chain.from_iterable(ordinary_ids(own, text.as_py())), end_id], kind)
                 parts += [(doc, at, ids[at : at + length]) for at in range(0, len(ids), length)]
                 held += len(ids)
                 if held >= CHUNK_TOKENS:

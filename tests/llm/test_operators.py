@@ -436,7 +436,7 @@ def test_packing_round_trip(docs, none, monkeypatch):
 
 def test_queries_match_sql(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     for name, sql in queries.ORACLES.items():
         got = queries.QUERIES[name](spark, sf)

@@ -64,6 +64,6 @@ def test_stages_on_edge_tables(spark, sf):
 
 def test_entry_has_all_queries():
     names = __spark_entry__.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names and set(__spark_entry__.oracle_sql()) <= set(names)
