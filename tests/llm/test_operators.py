@@ -216,7 +216,7 @@ def test_pii_edges(docs, none):
 
 
 def test_pii_crf_learns_forms_that_the_patterns_miss(spark, sf):
-    weights = pii.fit(pii.sample_texts(spark.read.parquet(f"{sf}/../sf0.1/documents.parquet"), "doc_id", "text"))
+    weights = pii.fit(pii.sample_regions(spark.read.parquet(f"{sf}/../sf0.1/documents.parquet"), "doc_id", "text"))
     base, spans = pii.all_spans("call (663) 555-6869 now, mail bob.smith[at]example.com today", weights)
     assert base == [] and [k for k, _, _ in spans] == ["email", "phone"]
     assert pii.all_spans("order 12 of 2024-01-02, 300 pieces at 19.95", weights)[1] == []
@@ -251,7 +251,70 @@ def test_semi_crf_by_enumeration():
         for s, k in x:
             want[s, k] += q
     assert np.allclose(lattice.marginals(scores), want)
-    assert sum(x[3] for x in lattice.best(scores, [])) == pytest.approx(weight.max())
+    best, places = pii.Best(), np.array(lattice.segments)
+    best.add(n, places[:, 0], places[:, 1], scores)
+    assert sum(x[3] for x in best.found()) == pytest.approx(weight.max())
+
+
+SCRAPS = ["0", "12", "345", "4444", "1.", "(", ")", "-", " ", "+", "@", "[at]", "(at)", "ab", "x", "é", "_", "\n", ".", "/", "com", "255", "\u0663"]
+
+
+def test_span_features_by_hand():
+    rng = random.Random(2)
+    for _ in range(600):
+        text = "".join(rng.choice(SCRAPS) for _ in range(rng.randrange(1, 40)))
+        lattice = pii.Lattice(text)
+        assert sorted(lattice.segments) == sorted(brute.span_places(lattice.tokens))
+        for (i, j), row in zip(lattice.segments, lattice.has):
+            assert {pii.FEATURES[k] for k in np.flatnonzero(row)} == brute.span_features(lattice.tokens, i, j)
+
+
+def test_pii_windows_change_nothing(monkeypatch):
+    rng, values = random.Random(4), np.random.default_rng(1)
+    for _ in range(150):
+        text = "".join(rng.choice([*SCRAPS, " word" * 9]) for _ in range(rng.randrange(1, 150)))
+        weights = values.normal(size=(len(pii.FEATURES), 4))
+        monkeypatch.setattr(pii, "WINDOW", 1 << 20)
+        want = pii.all_spans(text, weights)
+        for window in (1, 7, 16, 40):
+            monkeypatch.setattr(pii, "WINDOW", window)
+            assert pii.all_spans(text, weights) == want
+        added = [x for x in want[1] if x not in want[0]]
+        assert not any(a[1] < b[2] and b[1] < a[2] for a in added for b in want[0])
+
+
+@pytest.mark.parametrize("n", [1, 3, 4301, 100000])
+def test_pii_long_digit_runs(n):
+    weights = np.ones((len(pii.FEATURES), 4))
+    for digit, found in (("0", True), ("9", n == 1)):
+        for text in (f"x {digit * n}.1.2.3 y", f"1.2.3.{digit * n}"):
+            base, spans = pii.all_spans(text, weights)
+            assert [k for k, _, _ in base if k == "ip"] == ["ip"] * found and set(base) <= set(spans)
+    assert pii.is_octet("0" * n + "255") and not pii.is_octet("0" * n + "256") and not pii.is_octet("1" + "0" * (n + 2))
+
+
+def test_pii_very_long_texts():
+    """A megabyte of numbers is one region; what it needs beside the text grows with the window."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(10 ** rng.randrange(1, 9))) for _ in range(220000))[:1000000]
+    weights = np.random.default_rng(1).normal(size=(len(pii.FEATURES), 4)) - 1
+    start = time.process_time()
+    pii.all_spans(text, weights)
+    assert time.process_time() - start < 10
+    tracemalloc.start()
+    pii.all_spans(text[:300000], weights)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_pii_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "mail a.b@c.de or call +1 663 555 6869, " * 500) for k in range(60)] + [(99, "1234567 " * 100000)], "doc_id long, text string")
+    found = pii.sample_regions(docs)
+    assert 0 < len(found) <= pii.SAMPLE_REGIONS and max(len(t) for t, _ in found) <= pii.REGION_CHARS
+    assert pii.sample_regions(docs.limit(0)) == []
 
 
 def test_shards_edges(docs, none):
