@@ -18,14 +18,18 @@ Scale: query blocks meet index blocks in groups (a number of index blocks by a n
 each side copied only as often as the other has groups; a task holds one group, whose
 size is bounded.  Each group gives k rows per query, and a ranked window keeps k.
 
-Defined results: a vector that is null or empty, holds a null or non-finite component or one of
-2**20 or more (no room in a 64-bit score), or has no id takes no part.  A query meets vectors of its own
+Components may be as large as a double is: a block or query whose scores could pass 62 bits keeps its least values and weights as
+integers of any length (the slices are bitmaps all the same, only more of them).  Only if one of the k best scores itself is no 64-bit
+integer does the search stop, with an OverflowError.
+
+Defined results: a vector that is null or empty, holds a null or non-finite component, or has no id takes no part.  A query meets vectors of its own
 length.  Rows that repeat the query's id are its own; of several query rows of one id the least vector
 asks.  Fewer than k candidates: all of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +44,40 @@ SCALE = 256
 BLOCK_ROWS = 1 << 14
 QUERY_ROWS = 256
 #: Blocks of a side in one group.
-GROUP_BLOCKS = 4
+GROUP_BLOCKS = 1
 QUERY_BLOCKS = 16
-LARGEST = float(1 << 20)
+#: Scores and values below this are added up in 64 bits.
+NARROW = 1 << 62
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """(id, dim, q): the vectors that take part, as arrays of ints."""
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, dim, v): the vectors that take part, as arrays of doubles."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull())
-    # NaN is greater than any number, so it is not below the largest
-    rows = rows.filter((F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(F.abs(x) < LARGEST, F.lit(False))))
-    return rows.select("id", F.size("v").alias("dim"), F.transform("v", lambda x: F.floor(x * scale).cast("int")).alias("q"))
+    # NaN is greater than any number, so it is not below infinity
+    rows = rows.filter((F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))))
+    return rows.select("id", F.size("v").alias("dim"), "v")
+
+
+def quantised(values: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): int64, or Python integers where some need more than 62 bits."""
+    with np.errstate(over="ignore"):
+        q = np.floor(values * scale)
+    if not len(q) or np.abs(q).max() < NARROW:
+        return q.astype(np.int64)
+    exact = lambda x, y: int(y) if math.isfinite(y) else int(x) * scale  # noqa: E731  so large a double is a whole number
+    return np.array([exact(x, y) for x, y in zip(values.ravel().tolist(), q.ravel().tolist())], object).reshape(values.shape)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Integers as bytes: eight each, or behind a mark in decimal where they are of any length."""
+    return b"w" + ",".join(map(str, values.ravel().tolist())).encode() if values.dtype == object else b"n" + np.ascontiguousarray(values).tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    if raw[:1] == b"n":
+        return np.frombuffer(raw, np.int64, offset=1)
+    return np.array([int(x) for x in raw[1:].split(b",")], object)
 
 
 class Slices:
@@ -66,34 +92,45 @@ class Slices:
         self.valid = np.packbits(valid, bitorder="little").view(np.uint64)
         self.both = np.concatenate([bits, ~bits])  # slices, then their complements
         self.digits = digits
+        self.bound = self.largest()
 
     @staticmethod
     def parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Least value and number of digits by attribute, and the slices, of rows of int64."""
         least = values.min(axis=0)
-        above = values - least
+        above = values - least if values.dtype == object or int(np.abs(values).max()) < NARROW // 2 else values.astype(object) - least.astype(object)
         digits = np.array([int(x).bit_length() for x in above.max(axis=0)], np.int64)
         padded = -(-len(values) // 64) * 64
         out = []
         for d, count in enumerate(digits):
-            column = np.zeros(padded, np.int64)
+            column = np.zeros(padded, above.dtype)
             column[: len(values)] = above[:, d]
             out += [np.packbits((column >> k & 1).astype(np.uint8), bitorder="little").view(np.uint64) for k in range(count)]
         bits = np.array(out, np.uint64).reshape(len(out), padded // 64)
         return least, digits, bits
 
+    def largest(self) -> int:
+        """A bound of the components' sizes."""
+        return max((max(abs(int(x)), abs(int(x) + (1 << int(d)) - 1)) for x, d in zip(self.least, self.digits)), default=0)
+
     def scores(self, weights: np.ndarray) -> tuple[list[np.ndarray], int]:
         """Slices of the sum, least significant first, and the constant that completes it."""
         size = np.abs(weights)
-        shift = int((weights * self.least).sum()) - int((size * ((1 << self.digits) - 1))[weights < 0].sum())
+        if int(size.max()) * self.bound * len(weights) < NARROW:
+            full = (1 << self.digits) - 1
+            shift = int((weights * self.least).sum()) - int((size * full)[weights < 0].sum())
+        else:
+            shift = sum(int(w) * int(x) - (-int(w) * ((1 << int(d)) - 1) if w < 0 else 0) for w, x, d in zip(weights, self.least, self.digits))
         n_digits = int(size.max()).bit_length()
         sign = np.where(weights < 0, len(self.attribute), 0)[self.attribute]
-        own = size[self.attribute]
+        ones = np.array([[int(w) >> k & 1 for k in range(n_digits)] for w in size], bool).reshape(len(size), n_digits)[self.attribute]
         total, carried, t = [], [], 0
         highest = n_digits + int(self.digits.max(initial=0))
+        each = np.arange(len(self.attribute))
         while t < highest or carried:
             k = t - self.place
-            pick = np.flatnonzero((k >= 0) & (k < 63) & (own >> np.clip(k, 0, 62) & 1 == 1))
+            inside = (k >= 0) & (k < n_digits)
+            pick = np.flatnonzero(inside & ones[each, np.where(inside, k, 0)]) if n_digits else each[:0]
             stack = np.concatenate([*carried, self.both[pick + sign[pick]]])
             carried = []
             while len(stack) > 1:
@@ -129,14 +166,15 @@ class Slices:
         places = lambda x: np.flatnonzero(np.unpackbits(x.view(np.uint8), bitorder="little"))
         chosen = np.sort(np.concatenate([places(taken), places(open_)[: k - n_taken]]))
         word, bit = chosen // 64, (chosen % 64).astype(np.uint64)
-        score = np.full(len(chosen), shift, np.int64)
+        kind = np.int64 if len(total) < 62 and abs(shift) < NARROW else object
+        score = np.full(len(chosen), shift, kind)
         for t, digit in enumerate(total):
-            score += (digit[word] >> bit & np.uint64(1)).astype(np.int64) << t
+            score += (digit[word] >> bit & np.uint64(1)).astype(kind) * (1 << t)
         return chosen, score
 
 
-def _blocks(rows_max: int, sliced: bool):
-    """(id, dim, q) to blocks (block, dim, n, ids, least, digits, bits) or, not sliced, the plain values as bits."""
+def _blocks(rows_max: int, sliced: bool, scale: int):
+    """(id, dim, v) to blocks (block, dim, n, ids, least, digits, bits) or, not sliced, the plain values as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
@@ -146,12 +184,13 @@ def _blocks(rows_max: int, sliced: bool):
             nonlocal made
             ids, values = (np.concatenate(x) for x in zip(*held.pop(dim)))
             order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[order]
-            least, digits, bits = Slices.parts(values) if sliced else (np.empty(0, np.int64), np.empty(0, np.int64), values)
+            ids, values = ids[order], quantised(values[order], scale)
+            least, digits, bits = Slices.parts(values) if sliced else (np.empty(0, np.int64), np.empty(0, np.int64), None)
             made += 1
-            raw = lambda x: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+            raw = lambda x: pa.array([x], pa.binary())
+            content = packed(values) if bits is None else np.ascontiguousarray(bits).tobytes()
             return pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + made]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), raw(ids), raw(least), raw(digits), raw(bits)],
+                [pa.array([(task << 32) + made]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), raw(ids.tobytes()), raw(packed(least)), raw(digits.tobytes()), raw(content)],
                 ["block", "dim", "n", "ids", "least", "digits", "bits"],
             )
 
@@ -159,7 +198,7 @@ def _blocks(rows_max: int, sliced: bool):
             dims, ids = b.column(1).to_numpy(), b.column(0).to_numpy()
             q = b.column(2)
             ends = q.offsets.to_numpy()
-            flat = q.values.to_numpy().astype(np.int64)
+            flat = q.values.to_numpy(zero_copy_only=False)
             for dim in np.unique(dims).tolist():
                 mine = np.flatnonzero(dims == dim)
                 values = flat[ends[mine][:, None] + np.arange(dim)]
@@ -186,19 +225,22 @@ def _search(k: int):
 
     def run(index: pa.Table, queries: pa.Table) -> pa.Table:
         asked, found, scored = [], [], []
-        blocks = [(longs(r["ids"]), Slices(longs(r["least"]), longs(r["digits"]), np.frombuffer(r["bits"].as_py(), np.uint64).reshape(-1, -(-r["n"].as_py() // 64)), r["n"].as_py()))
+        blocks = [(longs(r["ids"]), Slices(unpacked(r["least"].as_py()), longs(r["digits"]), np.frombuffer(r["bits"].as_py(), np.uint64).reshape(-1, -(-r["n"].as_py() // 64)), r["n"].as_py()))
                   for r in ({c: index[c][i] for c in index.column_names} for i in range(index.num_rows))]
         for i in range(queries.num_rows if blocks else 0):
             own = longs(queries["ids"][i])
-            for query, weights in zip(own.tolist(), longs(queries["bits"][i]).reshape(len(own), -1)):
+            for query, weights in zip(own.tolist(), unpacked(queries["bits"][i].as_py()).reshape(len(own), -1)):
                 ids, scores = [], []
                 for row_ids, slices in blocks:
                     lo, hi = np.searchsorted(row_ids, [query, query + 1])
                     at, score = slices.best(weights, np.arange(lo, hi), k)
                     ids.append(row_ids[at]), scores.append(score)
                 ids, scores = np.concatenate(ids), np.concatenate(scores)
-                order = np.lexsort((ids, -scores))[:k]
-                asked.append(np.full(len(order), query)), found.append(ids[order]), scored.append(scores[order])
+                if scores.dtype == object:
+                    order = sorted(range(len(ids)), key=lambda x: (-scores[x], ids[x]))[:k]
+                else:
+                    order = np.lexsort((ids, -scores))[:k]
+                asked.append(np.full(len(order), query)), found.append(ids[order]), scored.append(scores[order].astype(np.int64))
         column = lambda xs: pa.array(np.concatenate(xs) if xs else np.empty(0, np.int64), pa.int64())
         return pa.table({"query_id": column(asked), "vec_id": column(found), "score": column(scored)})
 
@@ -207,19 +249,21 @@ def _search(k: int):
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """The bit-sliced index, a row per block, as a table in the shared scratch folder."""
-    return stored(arrow_pass(quantised(vectors, id_col, vector_col, scale), _blocks(BLOCK_ROWS, True), BLOCK_SCHEMA), "bit-slices")
+    return stored(arrow_pass(taking_part(vectors, id_col, vector_col), _blocks(BLOCK_ROWS, True, scale), BLOCK_SCHEMA), "bit-slices")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row of ``queries`` the k best rows of ``vectors``."""
     prepare(vectors.sparkSession)
     index = build_index(vectors, id_col, vector_col, scale)
-    asking = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min(F.struct("dim", "q")).alias("x")).select("id", "x.dim", "x.q")
-    asking = stored(arrow_pass(asking, _blocks(QUERY_ROWS, False), BLOCK_SCHEMA), "query-blocks")
+    asking = taking_part(queries, id_col, vector_col).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x")).select("id", "x.dim", "x.v")
+    asking = stored(arrow_pass(asking, _blocks(QUERY_ROWS, False, scale), BLOCK_SCHEMA), "query-blocks")
     n_index, n_asking = max(1, -(-index.count() // GROUP_BLOCKS)), max(1, -(-asking.count() // QUERY_BLOCKS))
     of = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
     left = index.withColumn("g", of(n_index)).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(n_asking - 1))))
     right = asking.withColumn("h", of(n_asking)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n_index - 1))))
+    # a group is heavy however few bytes it has: a partition for each, which adaptive execution leaves alone
+    left, right = (x.repartition(n_index * n_asking, "g", "h", "dim") for x in (left, right))
     pairs = left.groupBy("g", "h", "dim").cogroup(right.groupBy("g", "h", "dim"))
     found = pairs.applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

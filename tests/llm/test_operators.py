@@ -348,10 +348,11 @@ def test_topk_edges(spark):
     rng = random.Random(4)
     rows = [(k, [rng.choice([-1.0, -0.5, 0.0, 0.25, 1.0]) for _ in range(3)], "x") for k in range(150)]
     rows += [(150, [0.5, None, 0.1], "x"), (200, [nan, 0.0, 0.0], "x"), (201, [inf, 0.0, 0.0], "x"), (250, None, "x"), (300, [], "x"), (None, [1.0, 1.0, 1.0], "x"),
-             (350, [1.0, 2.0], "x"), (351, [1.5, 2.5], "x"), (0, rows[0][1], "x"), (400, [0.0, 0.0, 0.0, 0.0], "x"), (500, [1e30, 0.0, 0.0], "x")]
+             (350, [1.0, 2.0], "x"), (351, [1.5, 2.5], "x"), (0, rows[0][1], "x"), (400, [0.0, 0.0, 0.0, 0.0], "x"), (500, [2.0**20, 0.0, 0.0], "x"), (501, [-(2.0**30), 3.0, 2.0**-9], "x"),
+             (503, [2.0**21, 2.0**21, -(2.0**21)], "x"), (504, [0.25, 2.0**26, 0.5], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, block string").repartition(4)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df.filter("vec_id % 50 = 0"), 5).collect()}
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and abs(x) < 2**20 for x in v)]
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = {}
     for q, v in ok:
         if q % 50 == 0:
@@ -361,6 +362,26 @@ def test_topk_edges(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_topk_components_of_any_size(spark):
+    """Scores that fit are exact, whatever the components; one among the best that does not fit is an error."""
+    rng = random.Random(9)
+    big = lambda: rng.choice([0.0, 1.0, -1.0, 2.0**20, 2.0**30, -(2.0**30), 2.0**52 + 1, 3e60, -3e60, 1e300])
+    rows = [(0, [1.0, 1.0, 0.0, 0.0, 0.0]), (50, [2.0**20, -0.5, 0.0, 0.0, 0.0]), (100, [2.0**22, -(2.0**22), 0.0, 0.0, 0.0]), (150, [0.0, 0.0, 0.0, 0.0, 1e-300])]
+    rows += [(k, [rng.choice([-1, 1]) * 2.0 ** rng.randrange(-9, 20), rng.choice([-1, 1]) * 2.0 ** rng.randrange(0, 22), *(big() for _ in range(3))]) for k in range(201, 250)]
+    rows += [(k, [-2.0**20, -2.0**20, big(), 0.0, 0.0]) for k in range(251, 260)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    exact = lambda x: math.floor(256 * Fraction(x))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df.filter("vec_id % 50 = 0 and vec_id <= 100"), 5).collect()}
+    ok, want = [(i, list(map(exact, v))) for i, v in rows], {}
+    for q, v in ok[:3]:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in ok if i != q)[:5]
+        want |= {(q, k): (i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert got == want
+    over = spark.createDataFrame([(0, [1e30]), (1, [1.0]), (2, [-1.0])], df.schema)
+    with pytest.raises(Exception, match="Overflow"):
+        topk.top_k(over, over.filter("vec_id = 0"), 1).collect()
+
+
 def test_topk_small_blocks(spark, sf, monkeypatch):
     """Many blocks and groups give what one block gives."""
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
