@@ -182,10 +182,94 @@ def test_quality_tells_junk(spark, sf):
     assert sum(r["quality"]["kept"] for r in out) > 0.8 * len(out)
 
 
+COMMON_WORDS = {
+    "en": "the of and to in a is that it was for on".split(),
+    "de": "der die und in den von zu das mit sich des auf".split(),
+    "fr": "de la le et les des en un du une que est".split(),
+    "es": "de la que el en y los se del las un por".split(),
+}
+POLISH = """Dawno temu w małym domu na skraju lasu mieszkał stary młynarz i jego córka. Każdego ranka szedł on do młyna, a ona szła z nim i niosła chleb. W młynie było
+ciemno, ale na dworze słońce stało już wysoko i ptaki śpiewały w lesie. Młynarz nie mówił wiele, bo nie było o czym mówić, a córka nie pytała. Pewnego dnia przyszedł do nich
+człowiek z miasta i powiedział, że młyn jest na sprzedaż, że dom jest na sprzedaż i że w mieście nikt już nie czeka na mąkę. Młynarz nie odpowiedział, tylko wziął chleb i poszedł do lasu."""
+RUSSIAN = """Давным-давно в маленьком доме на краю леса жил старый мельник и его дочь. Каждое утро он шёл на мельницу, а она шла с ним и несла хлеб. На мельнице было темно,
+но на дворе солнце стояло уже высоко и птицы пели в лесу. Мельник не говорил много, потому что не о чем было говорить, а дочь не спрашивала. Однажды к ним пришёл человек из города и сказал,
+что мельница продаётся, что дом продаётся и что в городе никто уже не ждёт муки. Мельник не ответил, только взял хлеб и пошёл в лес."""
+CHINESE = "从前 在 森林 边上 的 一 间 小 屋 里 住 着 一位 老 磨坊主 和 他 的 女儿 。 每天 早上 他 都 去 磨坊 ， 她 跟 着 他 ， 带 着 面包 。 磨坊 里 很 暗 ， 但是 外面 太阳 已经 很 高 了 ， 鸟儿 在 森林 里 唱歌 。 有 一天 从 城里 来 了 一个 人 ， 说 磨坊 要 卖 了 ， 房子 也 要 卖 了 。"
+CHINESE_LINES = "\n".join(f"第{k}章从前在森林边上的小屋里住着老磨坊主和他的女儿每天早上他去磨坊" + "天地玄黄宇宙洪荒日月盈昃辰宿列张"[k % 16] for k in range(60))
+HINDI = "बहुत समय पहले जंगल के किनारे एक छोटे से घर में एक बूढ़ा चक्कीवाला और उसकी बेटी रहते थे । हर सुबह वह चक्की पर जाता था और वह उसके साथ जाती थी और रोटी ले जाती थी । चक्की में अँधेरा था लेकिन बाहर सूरज ऊपर था और पक्षी जंगल में गाते थे । एक दिन शहर से एक आदमी आया और उसने कहा कि चक्की बिकाऊ है और घर बिकाऊ है ।"
+
+
+def test_quality_keeps_other_languages(spark):
+    """Clean texts of languages with no or little text in the corpus stay, tagged, mistagged as unknown or untagged; junk still goes."""
+    rng = random.Random(12)
+    made = lambda n: ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
+    prose = lambda lang, n: " ".join(rng.choice(COMMON_WORDS[lang]) if rng.random() < 0.2 else w for w in made(n))
+    rows = [(k, prose(lang, 400), lang, True) for k, lang in enumerate(["en", "de", "fr", "es"] * 10)]
+    for k, (text, lang) in enumerate([(POLISH, "pl"), (RUSSIAN, "ru"), (CHINESE, "zh"), (CHINESE_LINES, "zh"), (HINDI, "hi")]):
+        rows += [(100 + 10 * k + j, text, tag, True) for j, tag in enumerate([lang, None, "und"])]
+    symbols = lambda n: " ".join("".join(rng.choice("#*$%&|<>") for _ in range(6)) for _ in range(n))
+    rows += [(200, " ".join(made(120)), None, False), (201, " ".join(made(120)), "xx", False), (202, symbols(90), None, False), (203, symbols(90), "zh", False)]
+    schema = "doc_id long, text string, lang string, stays boolean"
+    out = quality.quality_rules(spark.createDataFrame(rows, schema), ["doc_id", "stays"]).collect()
+    assert {r["doc"]["doc_id"]: r["quality"]["kept"] for r in out} == {i: stays for i, _, _, stays in rows}
+    # with enough text of their own they have references, with words of their own
+    many = rows + [(1000 + k, text, lang, True) for k in range(40) for text, lang in ((POLISH, "pl"), (RUSSIAN, "ru"), (CHINESE, "zh"))]
+    table = spark.createDataFrame(many, schema)
+    assert {"i", "nie", "na"} <= set(quality.common_words(table)["pl"]) and {"и", "не"} <= set(quality.common_words(table)["ru"])
+    out = quality.quality_rules(table, ["doc_id", "stays"]).collect()
+    assert all(r["quality"]["kept"] == r["doc"]["stays"] for r in out)
+
+
+def test_quality_verdict_by_definition(spark, sf):
+    """base_failed and kept of every document from histograms made here."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    common = quality.common_words(docs)
+    seen = defaultdict(Counter)
+    for r in rows:
+        seen[r["lang"]].update(w.lower() for w in brute.words(r["text"]) if len(w) <= 10)
+    for lang, words in common.items():
+        told = sorted(((-n, w) for w, n in seen[lang].items() if n >= 5 and w.isalpha()))[:12]
+        assert sorted(w for _, w in told) == words
+    vocabulary = sorted({w for ws in common.values() for w in ws})
+    forms = {f: k for k, w in reversed(list(enumerate(vocabulary))) for f in (w, w.capitalize(), w.upper())}
+
+    def histograms(text):
+        import unicodedata
+
+        chars, words = [0] * 6, [0] * (len(vocabulary) + 1)
+        for c in text:
+            kind = unicodedata.category(c)
+            chars[0 if kind == "Ll" else 1 if kind == "Lu" else 2 if c in brute.SPACE else 3 if c in "#*$%&|<>" else 4 if kind == "Lo" or kind[0] == "M" else 5] += 1
+        for w in brute.words(text):
+            words[forms.get(w, -1) + 1] += 1
+        return chars, words
+
+    def js(p, q):
+        m = [(a + b) / 2 for a, b in zip(p, q)]
+        kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+        return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+    share = lambda x: [v / sum(x) for v in x]
+    own = {r["doc_id"]: histograms(r["text"]) for r in rows}
+    sums = {lang: [[sum(own[r["doc_id"]][k][i] for r in rows if r["lang"] == lang) for i in range(n)] for k, n in ((0, 6), (1, len(vocabulary) + 1))] for lang in common}
+    references = [(share(a), share(b)) for a, b in sums.values()]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_quality_rules"](spark, sf).collect()}
+    for r in rows:
+        n, _, _, _, repeat = brute.quality_counts(r["text"])
+        chars, words = own[r["doc_id"]]
+        failed = n < 20 or 100 * repeat > 30 * n
+        odd = len(r["text"]) >= 200 and min(js(share(chars), c) for c, _ in references) > 0.25
+        if n >= 50 and r["lang"] in common:
+            none = [1.0] + [0.0] * len(vocabulary)
+            odd = odd or all(js(share(words), w) > 0.95 * js(none, w) for _, w in references)
+        assert (got[r["doc_id"]]["base_failed"], got[r["doc_id"]]["kept"]) == (failed, not failed and not odd), r["doc_id"]
+
+
 def test_quality_rejects_texts_without_common_words(spark):
     rng = random.Random(11)
     made = lambda n: ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randrange(4, 9))) for _ in range(n)]
-    prose = lambda lang, n: " ".join(rng.choice(quality.COMMON_WORDS[lang]) if rng.random() < 0.2 else w for w in made(n))
+    prose = lambda lang, n: " ".join(rng.choice(COMMON_WORDS[lang]) if rng.random() < 0.2 else w for w in made(n))
     rows = [(k, prose(lang, 400), lang, True) for k, lang in enumerate(["en", "de", "fr", "es"] * 10)]
     rows += [(100, " ".join(made(120)), "en", False), (101, " ".join(made(900)), None, False), (102, " ".join(made(50)), "de", False)]
     rows += [(200, " ".join(made(49)), "en", True), (201, prose("fr", 300), "en", True), (202, prose("es", 150), "xx", True)]  # below the guard; wrong tags
