@@ -256,14 +256,21 @@ def _row(spark_df: DataFrame, check: str, status: Column, detail: Column) -> Dat
     return spark_df.select(F.lit(check).alias("check"), status.alias("status"), detail.alias("detail"))
 
 
-def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Optional[list[str]] = None) -> DataFrame:
+def _varying(df: DataFrame, cols: list[str]) -> list[str]:
+    """Columns with at least two values."""
+    flat = {r["column_name"] for r in constant(df.select(*[_q(c) for c in cols])).where("is_constant").collect()} if cols else set()
+    return [c for c in cols if c not in flat]
+
+
+def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Optional[list[str]] = None,
+           dbscan_cols: Optional[tuple[str, str]] = None) -> DataFrame:
     """The 16 checks as (check, status, detail) rows.
 
     ``df`` carries the order / key columns used by the jump check and the
     isolation forest; they are excluded from the column-wise checks.
-    DBSCAN noise is reported as INFO (not computed; see README).
+    DBSCAN looks at the two columns ``dbscan_cols`` (unnamed: the first two numeric ones that vary).
     """
-    from millwright.operators.ml import cluster, iforest
+    from millwright.operators.ml import cluster, dbscan, iforest
 
     keep = {"shift_date", "shift", "machine_id", "total_count"}
     frame = df.drop(*[c for c in set(order + key) if c in df.columns and c not in keep])
@@ -291,7 +298,13 @@ def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Option
                          F.format_string("%d anomalies, %.2f%%", F.col("a"), F.col("a") / F.col("n") * 100)))
     else:
         rows.append(_row(one, "ISOLATION FOREST", F.lit("INFO"), F.lit("need >=2 numeric cols & 15 rows")))
-    rows.append(_row(one, "DBSCAN NOISE", F.lit("INFO"), F.lit("not computed (no bounded exact method yet)")))
+    pair = dbscan_cols or _varying(frame, nums)[:2]
+    if len(pair) == 2:
+        db = dbscan.summary(frame, *pair)
+        rows.append(_row(db, "DBSCAN NOISE", F.when(F.col("noise_points") > 0, "WARN").when(F.col("ok"), "PASS").otherwise("INFO"),
+                         F.when(F.col("ok"), F.format_string("%d noise points, %d clusters", F.col("noise_points"), F.col("clusters"))).otherwise("need more numeric rows")))
+    else:
+        rows.append(_row(one, "DBSCAN NOISE", F.lit("INFO"), F.lit("need >=2 numeric cols that vary")))
     km = cluster.kmeans_far(frame, nums)
     rows.append(_row(km, "KMEANS DISTANCE", F.when(F.col("far_from_cluster") > 0, "WARN").when(F.col("ok"), "PASS").otherwise("INFO"),
                      F.format_string("%d far from cluster", F.coalesce(F.col("far_from_cluster"), F.lit(0)))))

@@ -4,31 +4,27 @@ The model works at (machine, day) grain: the target is the day's scrap rate
 (rejects / total, else downtime / planned), features are the previous day's
 values for that machine (so no target ingredient leaks in), and the forecast
 is the model applied to each machine's latest day to predict the next one.
-Training is ``pyspark.ml`` (distributed); the split is a hash of the key so it
-is deterministic for any partitioning.
+The forest is ``ml/forest.py``; split, folds and bags are hashes of the key, so everything
+is the same for any partitioning.
 """
 
 from __future__ import annotations
 
 import random
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millwright.functions.common import num
 from millwright.functions.resolve import find_col
+from millwright.operators.ml import forest
 
 # Fixed values from the reference: forest defaults and search ranges.
 DEFAULT_TREES, DEFAULT_DEPTH, DEFAULT_LEAF = 80, 6, 2
 SEARCH = {"trees": (40, 160), "depth": (3, 12), "leaf": (1, 6)}
 N_TRIALS = 20
 SEED = 42
-TRAIN_PARTITIONS = 32
+KEY = ["machine_id", "shift_date"]
 
 
 def rate_target(df: DataFrame) -> DataFrame:
@@ -72,14 +68,11 @@ def rate_features(df: DataFrame) -> DataFrame:
 
 
 def _materialize(feat: DataFrame) -> DataFrame:
-    """The feature table is read by every tree and trial: cut its lineage once (shared checkpoint dir)."""
+    """The feature table is read by every pass of a fit: cut its lineage once (shared checkpoint dir)."""
     from millwright.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(feat.sparkSession)
-    # dealt by key to a fixed number of sorted partitions: bagging depends on partitions, and so
-    # the model is the same on any cluster
-    dealt = feat.repartition(TRAIN_PARTITIONS, "machine_id", "shift_date").sortWithinPartitions("machine_id", "shift_date")
-    return dealt.checkpoint(eager=True)
+    return feat.checkpoint(eager=True)
 
 
 def _split(df: DataFrame, train_pct: int = 75, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -89,37 +82,38 @@ def _split(df: DataFrame, train_pct: int = 75, seed: int = SEED) -> tuple[DataFr
     return d.where(F.col("_h") < train_pct).drop("_h"), d.where(F.col("_h") >= train_pct).drop("_h")
 
 
-def _pipeline(trees: int, depth: int, leaf: int) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=FEATURES, outputCol="features"),
-        RandomForestRegressor(featuresCol="features", labelCol="target", numTrees=trees, maxDepth=depth,
-                              minInstancesPerNode=leaf, seed=SEED),
-    ])
+def _fit(df: DataFrame, setting: forest.Setting) -> forest.Forest:
+    return forest.fit(df, FEATURES, "target", KEY, setting, SEED)
 
 
 def rate_model(feat: DataFrame, trees: int = DEFAULT_TREES, depth: int = DEFAULT_DEPTH, leaf: int = DEFAULT_LEAF):
     """Random forest on the 75 % hash split; returns (model, test MAE)."""
     train, test = _split(_materialize(feat))
-    model = _pipeline(trees, depth, leaf).fit(train)
-    mae = RegressionEvaluator(labelCol="target", metricName="mae").evaluate(model.transform(test))
-    return model, mae
+    model = _fit(train, (trees, depth, leaf))
+    return model, forest.mean_error(model.transform(test), "target")
 
 
-def rate_tuning(feat: DataFrame, n_trials: int = N_TRIALS, parallelism: int = 4):
+def tuning_settings(n_trials: int = N_TRIALS) -> list[forest.Setting]:
+    """Distinct settings drawn with a fixed seed; as many as there are if fewer."""
+    rng = random.Random(SEED)
+    there = 1
+    for lo, hi in SEARCH.values():
+        there *= hi - lo + 1
+    trials: set[forest.Setting] = set()
+    while len(trials) < min(n_trials, there):
+        trials.add((rng.randint(*SEARCH["trees"]), rng.randint(*SEARCH["depth"]), rng.randint(*SEARCH["leaf"])))
+    return sorted(trials)
+
+
+def rate_tuning(feat: DataFrame, n_trials: int = N_TRIALS):
     """Seeded random search over trees / depth / leaf: ``n_trials`` distinct settings, each judged on a
     key-hash fold of the training part; the best one is fitted on the whole part."""
     train, test = _split(_materialize(feat))
     part, fold = _split(train, seed=SEED + 1)
-    rng = random.Random(SEED)
-    trials: set[tuple[int, int, int]] = set()
-    while len(trials) < n_trials:
-        trials.add((rng.randint(*SEARCH["trees"]), rng.randint(*SEARCH["depth"]), rng.randint(*SEARCH["leaf"])))
-    mae = RegressionEvaluator(labelCol="target", metricName="mae")
-    settings = sorted(trials)
-    with ThreadPool(parallelism) as pool:
-        errors = pool.map(lambda s: mae.evaluate(_pipeline(*s).fit(part).transform(fold)), settings)
-    best = _pipeline(*min(zip(errors, settings))[1]).fit(train)
-    return best, mae.evaluate(best.transform(test)), [(*s, float(e)) for s, e in zip(settings, errors)]
+    settings = tuning_settings(n_trials)
+    errors = forest.search(part, fold, FEATURES, "target", KEY, settings, SEED)
+    best = _fit(train, min(zip(errors, settings))[1])
+    return best, forest.mean_error(best.transform(test), "target"), [(*s, float(e)) for s, e in zip(settings, errors)]
 
 
 def rate_forecast(feat_latest: DataFrame, daily_targets: DataFrame, model) -> DataFrame:
@@ -155,9 +149,6 @@ def latest_features(df: DataFrame) -> DataFrame:
     return last.select("machine_id", "s.*")
 
 
-def feature_importance(model, top: int = 8) -> list[tuple[str, float]]:
+def feature_importance(model: forest.Forest, top: int = 8) -> list[tuple[str, float]]:
     """Top feature importances of the fitted forest."""
-    rf = model.stages[-1]
-    imp = rf.featureImportances.toArray()
-    pairs = sorted(zip(FEATURES, map(float, imp)), key=lambda t: (-t[1], t[0]))
-    return pairs[:top]
+    return model.importances()[:top]

@@ -1,6 +1,8 @@
 """KMeans distance outliers and PCA concept drift on numeric plant columns.
 
-KMeans is ``pyspark.ml.clustering.KMeans`` on standardised features.  PCA
+KMeans is seeded by k-means|| with draws from row hashes and refined by Lloyd steps, each one aggregate.  Standardised values
+are whole numbers of 1e-9 and all sums over rows are sums of whole numbers, so the clusters do
+not hang on how rows are partitioned.  PCA
 drift needs only the d x d covariance of each half: one aggregate of means,
 variances and covariances grouped by half (2 rows, d <= a few dozen columns),
 then the eigenvalues of that small matrix on the driver.
@@ -8,17 +10,21 @@ then the eigenvalues of that small matrix on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millwright.functions.common import ensure_parallel
 from millwright.functions.quantiles import exact_quantiles
 from millwright.session import ensure_checkpoint_dir
 
 SEED = 42
+UNIT = 1e-9
+SEED_ROUNDS, LLOYD_ROUNDS = 4, 20
 CONSTANT_SD = 1e-12  # a column whose sd is below this share of its mean counts as constant
 
 
@@ -34,29 +40,122 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def _units(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(c0, c1, ..., _id): standardised values as whole numbers of UNIT, and a hash of the row.
+
+    Mean and deviation are read to 12 digits, below which the order of a sum shows.
+    """
+    st = df.agg(*[f(F.col(c)).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    digits = lambda v: float(f"{v:.12g}")
+    out = []
+    for i, c in enumerate(cols):
+        mean, sd = digits(st[f"m{i}"]), digits(st[f"s{i}"])
+        flat = sd <= CONSTANT_SD * abs(mean)
+        out.append((F.lit(0) if flat else F.round((F.col(c) - F.lit(mean)) / F.lit(sd) / UNIT)).cast("long").alias(f"c{i}"))
+    z = df.select(*out)
+    return z.withColumn("_id", F.xxhash64(*z.columns))
+
+
+def _distances(x: np.ndarray, centers: list[list[int]]) -> np.ndarray:
+    """(center, row): squared standardised distances, column by column, so that a row's value hangs on nothing else."""
+    out = np.zeros((len(centers), len(x)))
+    for j, center in enumerate(centers):
+        for i, v in enumerate(center):
+            gap = (x[:, i] - v) * UNIT
+            out[j] += gap * gap
+    return out
+
+
+def _passed(z: DataFrame, d: int, partial) -> dict[tuple[int, int], int]:
+    """One pass over the rows: ``partial(x)`` gives {(a, b): whole number} of a batch; their sums over all batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            x = np.stack([batch.column(i).to_numpy() for i in range(d)], axis=1)
+            for key, v in partial(x).items():
+                total[key] = total.get(key, 0) + int(v)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([str(v) for v in total.values()], pa.string())], ["a", "b", "v"])
+
+    parts = z.select(*[f"c{i}" for i in range(d)]).mapInArrow(run, "a int, b int, v string")
+    rows = parts.groupBy("a", "b").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect()
+    return {(r["a"], r["b"]): int(r["v"]) for r in rows}
+
+
+def _units_of(x: np.ndarray) -> int:
+    """A sum of whole UNITs, which no order changes."""
+    return sum(np.rint(x / UNIT).astype(np.int64).tolist()) if len(x) and x.max() > 1e3 else int(np.rint(x / UNIT).astype(np.int64).sum())
+
+
+def seed_centers(z: DataFrame, d: int, k: int, seed: int = SEED) -> list[list[int]]:
+    """k-means||: each round takes every row with probability 2 k times its share of the squared distances; the candidates, weighted
+    by the rows nearest to them, are thinned to k by taking the one farthest from those taken, by weight, again and again."""
+    names = [f"c{i}" for i in range(d)]
+    first = z.orderBy(F.xxhash64(F.lit(seed), "_id"), *names).first()
+    centers = [[first[c] for c in names]]
+    for step in range(SEED_ROUNDS):
+        held = list(centers)
+        total = _passed(z, d, lambda x, c=held: {(0, 0): _units_of(_distances(x, c).min(axis=0))}).get((0, 0), 0)
+        if not total:
+            break
+        factor = 2.0 * k / (total * UNIT)
+
+        def drawn(batches: Iterator[pa.RecordBatch], c=held, factor=factor) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.stack([batch.column(i).to_numpy() for i in range(d)], axis=1)
+                yield batch.filter(pa.array(batch.column(d).to_numpy() < _distances(x, c).min(axis=0) * factor)).select(names)
+
+        u = F.pmod(F.xxhash64(F.lit(seed + 1 + step), "_id"), F.lit(1 << 52)) / float(1 << 52)
+        rows = z.select(*names, u.alias("u")).mapInArrow(drawn, ", ".join(f"{c} long" for c in names)).distinct()  # about 2 k of them
+        centers += sorted([r[c] for c in names] for r in rows.collect())
+    weight = _passed(z, d, lambda x: {(int(j), 0): n for j, n in zip(*np.unique(_distances(x, centers).argmin(axis=0), return_counts=True))})
+    far = lambda a, b: sum(((x - y) * UNIT) ** 2 for x, y in zip(a, b))
+    taken = [max(range(len(centers)), key=lambda j: (weight.get((j, 0), 0), -j))]
+    while len(taken) < min(k, len(centers)):
+        taken.append(max(range(len(centers)), key=lambda j: (weight.get((j, 0), 0) * min(far(centers[j], centers[t]) for t in taken), -j)))
+    return [centers[t] for t in taken]
+
+
+def lloyd(z: DataFrame, d: int, centers: list[list[int]]) -> list[list[int]]:
+    """Centers moved to the mean of their rows until they stay (LLOYD_ROUNDS at most); one without rows stays."""
+
+    def sums(x: np.ndarray) -> dict[tuple[int, int], int]:
+        nearest, out = _distances(x, centers).argmin(axis=0), {}
+        for j in range(len(centers)):
+            mine = x[nearest == j]
+            out |= {(j, i): v for i, v in enumerate(mine.astype(object).sum(axis=0) if len(mine) and np.abs(mine).max() > 1 << 40 else mine.sum(axis=0))} | {(j, d): len(mine)}
+        return out
+
+    for _ in range(LLOYD_ROUNDS):
+        found = _passed(z, d, sums)
+        moved = [[round(found[j, i] / found[j, d]) for i in range(d)] if found.get((j, d)) else old for j, old in enumerate(centers)]
+        if moved == centers:
+            break
+        centers = moved
+    return centers
+
+
 def kmeans_far(df: DataFrame, cols: list[str], seed: int = SEED) -> DataFrame:
     """V9: KMeans (k = min(3, max(2, n // 5))) on standardised rows; count rows farther than mean + 2 sd."""
-    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    num = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)]).dropna()
     n = num.count()
     if len(cols) < 2 or n < 20:
         return df.sparkSession.createDataFrame([(n, None, None, False)], "rows bigint, k int, far_from_cluster bigint, ok boolean")
     k = min(3, max(2, n // 5))
-    # every round of the fit reads the rows again: cut their lineage once (shared checkpoint folder)
+    # every round reads the rows again: cut their lineage once (shared checkpoint folder)
     ensure_checkpoint_dir(df.sparkSession)
-    z = standardize(num, cols).checkpoint(eager=True)
-    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(z)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vec)
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
-    centers_col = F.array(*[F.array(*[F.lit(v) for v in c]) for c in centers])
-    pred = model.transform(vec)
-    center = F.element_at(centers_col, F.col("cluster") + 1)
-    sq = [F.pow(F.col(c) - F.element_at(center, i + 1), 2) for i, c in enumerate(cols)]
-    dist = pred.select(F.sqrt(sum(sq[1:], sq[0])).alias("d"))
-    # model output is opaque to the analyzer, so the cut is fetched as a literal (one row)
-    st = dist.agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s")).first()
-    cut = F.lit(float(st["m"]) + 2 * float(st["s"]))
-    return dist.agg(F.count(F.when(F.col("d") > cut, 1)).alias("far_from_cluster")).select(
-        F.lit(n).alias("rows"), F.lit(k).alias("k"), "far_from_cluster", F.lit(True).alias("ok"))
+    z = ensure_parallel(_units(num, [f"x{i}" for i in range(len(cols))])).checkpoint(eager=True)
+    centers = lloyd(z, len(cols), seed_centers(z, len(cols), k, seed))
+
+    def moments(x: np.ndarray) -> dict[tuple[int, int], int]:
+        square = _distances(x, centers).min(axis=0)
+        return {(0, 0): _units_of(np.sqrt(square)), (0, 1): _units_of(square)}
+
+    st = _passed(z, len(cols), moments)
+    mean = st[0, 0] * UNIT / n
+    cut = mean + 2.0 * max(0.0, st[0, 1] * UNIT / n - mean * mean) ** 0.5
+    far = _passed(z, len(cols), lambda x: {(0, 0): (np.sqrt(_distances(x, centers).min(axis=0)) > cut).sum()})
+    return df.sparkSession.createDataFrame([(n, k, far[0, 0], True)], "rows bigint, k int, far_from_cluster bigint, ok boolean")
 
 
 def pca_drift(df: DataFrame, cols: list[str], order_col: str, n_comp: int = 3, threshold: float = 0.15) -> DataFrame:

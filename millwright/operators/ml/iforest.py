@@ -1,10 +1,9 @@
 """Isolation forest (Liu, Ting, Zhou 2008) on Spark.
 
-* Sampling: every row gets a tree id and a rank from ``xxhash64`` of its key
-  and a seed.  With n >= trees * psi rows each row belongs to one tree
-  (disjoint samples); below that, each row is offered to every tree.  A hash
-  threshold keeps ~3 psi candidates per tree before the per-tree top-psi
-  ``row_number``, so no window ever sees more than a few hundred rows.
+* Sampling, the same at every size: tree t takes the psi rows of least hash of (t, row).
+  Only hashes below about 3 psi / n leave a row at all, so a tree's window sees some
+  hundred rows however many there are; rows that are equal in key and features
+  share their hash and are one row with a count from the map side on.
 * Fitting: ``groupBy(tree).applyInPandas`` grows one small tree per group
   (psi rows, height limit ceil(log2 psi)).
 * Scoring: the forest (<= trees x (2 psi - 1) nodes, a fixed bound) is
@@ -82,6 +81,25 @@ def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
     return depth + leaf_c[cur]
 
 
+def tree_samples(base: DataFrame, features: list[str], key: list[str], n: int, n_trees: int = N_TREES, m: int = PSI, seed: int = SEED) -> DataFrame:
+    """(_tree, features): of each tree the ``m`` rows of least hash of (tree, row) among the ``n`` rows of ``base``.
+
+    A row's identity is its key and feature values, so rows that share a key still hash apart and equal rows
+    are interchangeable: they come as one row with a count, of which a tree takes as many copies as it has room for.
+    """
+    keep = min(1.0, 3.0 * m / n)
+    ident = F.xxhash64(F.lit(seed), *[F.col(k).cast("string") for k in key], *[F.col(f) for f in features])
+    draw = lambda t: F.pmod(F.xxhash64(F.lit(seed + 1), t, F.col("_id")), F.lit(1 << 52)) / float(1 << 52)
+    rows = base.select(ident.alias("_id"), *features)
+    # generated, hashed and filtered in one compiled loop: no (tree, row) but the few below leaves it
+    cand = rows.select(F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("_tree"), "_id", *features).where(draw(F.col("_tree")) < keep)
+    cand = cand.groupBy("_tree", draw(F.col("_tree")).alias("_u"), *features).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy("_tree").orderBy("_u", *features).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cand = cand.withColumn("_room", F.lit(m) - (F.sum("_c").over(w) - F.col("_c"))).where(F.col("_room") > 0)
+    copies = F.explode(F.sequence(F.lit(1), F.least("_c", "_room").cast("int")))
+    return cand.select(F.col("_tree").cast("long").alias("_tree"), *features, copies.alias("_copy")).drop("_copy")
+
+
 def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int = N_TREES, psi: int = PSI,
               contamination: float = CONTAMINATION, seed: int = SEED, fill: Optional[dict] = None) -> DataFrame:
     """Score every row: adds ``anomaly_score`` (higher = more anomalous) and ``anomaly``.
@@ -108,24 +126,7 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
         return base.withColumns({"anomaly_score": F.lit(None).cast("double"), "anomaly": F.lit(None).cast("boolean")})
     m = min(psi, n)
     limit = int(math.ceil(math.log2(max(m, 2))))
-    # the row identity for sampling is the key plus the feature values, so rows
-    # that share a key still hash apart, and identical rows are interchangeable
-    kcols = [F.col(k).cast("string") for k in key] + [F.col(f) for f in features]
-    h1 = F.xxhash64(F.lit(seed), *kcols)
-    h2 = F.xxhash64(F.lit(seed + 1), *kcols)
-    u = (F.pmod(h2, F.lit(1 << 52)) / float(1 << 52))
-    if n >= n_trees * m:
-        cand = base.select(F.pmod(h1, F.lit(n_trees)).alias("_tree"), u.alias("_u"), *features)
-        keep = min(1.0, 3.0 * m * n_trees / n)
-    else:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))
-        cand = base.select(trees.alias("_tree"), *features, *[F.col(k).cast("string").alias(k) for k in key]).withColumn(
-            "_u", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_tree"), *[F.col(k) for k in key], *[F.col(f) for f in features]),
-                         F.lit(1 << 52)) / float(1 << 52)
-        ).select("_tree", "_u", *features)
-        keep = min(1.0, 3.0 * m / n)
-    w = Window.partitionBy("_tree").orderBy("_u", *features)
-    sample = cand.where(F.col("_u") < keep).withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= m).drop("_rk", "_u")
+    sample = tree_samples(base, features, key, n, n_trees, m, seed)
 
     schema = T.StructType([
         T.StructField("_tree", T.LongType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
@@ -137,6 +138,7 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
         t = int(pdf["_tree"].iloc[0])
         rng = np.random.default_rng([seed, t])
         x = pdf[features].to_numpy(dtype=np.float64)
+        x = x[np.lexsort(x.T[::-1])]  # rows of a group come in any order
         f, th, l, r, s = _grow(x, rng, limit)
         return pd.DataFrame({"_tree": [t], "feature": [f], "threshold": [th], "left": [l], "right": [r], "size": [s]})
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from millwright.operators import dq
 from millwright.operators import oee
+from millwright.operators.ml import dbscan
 from millwright.plans.catalog import register
 from millwright.plans.sqlparts import PLANT, pillars, r4, with_
 from millwright.sources import testdata as td
@@ -155,6 +156,35 @@ def dq_assoc_rules(spark, sf):
     return dq.assoc_rules(dq_frame(spark, sf))
 
 
+DBSCAN_EPS = 0.005  # of the continuous column: some points are core, some border, some noise
+_NEAR = f"(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {DBSCAN_EPS} * {DBSCAN_EPS}"
+_PAIRS = f"""a CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dy)
+  JOIN p b ON b.cx = a.cx + dx AND b.cy = a.cy + dy AND {_NEAR}"""
+
+
+@register("dq_dbscan_noise", with_(
+    PLANT, DQF,
+    "st AS (SELECT avg(vibration_rms) AS mx, stddev_pop(vibration_rms) AS sx, avg(temp_c) AS my, stddev_pop(temp_c) AS sy FROM dqf)",
+    "z AS (SELECT (vibration_rms - mx) / sx AS x, (temp_c - my) / sy AS y FROM dqf, st WHERE vibration_rms IS NOT NULL AND temp_c IS NOT NULL)",
+    f"p AS (SELECT x, y, count(*) AS w, floor(x / {DBSCAN_EPS}) AS cx, floor(y / {DBSCAN_EPS}) AS cy FROM z GROUP BY x, y)",
+    f"n AS (SELECT a.x, a.y, a.w, a.cx, a.cy, sum(b.w) >= 5 AS core FROM p {_PAIRS} GROUP BY ALL)",
+    f"b AS (SELECT DISTINCT a.x, a.y FROM (SELECT * FROM n WHERE NOT core) {_PAIRS.replace('JOIN p b', 'JOIN (SELECT * FROM n WHERE core) b')})",
+) + """SELECT CAST(sum(w) AS BIGINT) AS rows, CAST(sum(w) FILTER (WHERE core) AS BIGINT) AS core_points,
+  CAST(coalesce(sum(w) FILTER (WHERE NOT core AND b.x IS NOT NULL), 0) AS BIGINT) AS border_points,
+  CAST(coalesce(sum(w) FILTER (WHERE NOT core AND b.x IS NULL), 0) AS BIGINT) AS noise_points
+FROM n LEFT JOIN b ON n.x = b.x AND n.y = b.y""")
+def dq_dbscan_noise(spark, sf):
+    """V8: core, border and noise rows of DBSCAN on vibration and temperature, with a small eps."""
+    points = dbscan.points_of(dq_frame(spark, sf), "vibration_rms", "temp_c", DBSCAN_EPS)
+    return dbscan.counts(dbscan.label(points, DBSCAN_EPS, dbscan.MIN_POINTS))
+
+
+@register("dq_dbscan")
+def dq_dbscan(spark, sf):
+    """V8: DBSCAN (eps 0.8, 5 points) on standardised vibration and temperature: noise points and clusters."""
+    return dbscan.summary(dq_frame(spark, sf), "vibration_rms", "temp_c")
+
+
 @register("dq_report")
 def dq_report(spark, sf):
     """The 16-check data-quality report (rows-only check)."""
