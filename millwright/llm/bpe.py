@@ -40,10 +40,27 @@ PIECES_KEPT = 1 << 18
 PAIRS_KEPT = 1 << 19
 #: Ids that an Arrow batch to Spark has before another one is begun.
 IDS_SENT = 1 << 19
+#: Longer pieces have their matches in an array.
+SHORT_PIECE = 256
 #: Longer pieces are not worth remembering.
 PIECE_CHARS = 64
 
 
+class FirstMatches:
+    """The first match of each end of a long piece, with the reading side of a dictionary."""
+
+    def __init__(self, n: int, matches: Iterator[tuple[int, int]]):
+        self.tokens, last = array("i", [-1]) * n, -1
+        for end, token in matches:
+            if end != last:
+                self.tokens[end] = token
+                last = end
+
+    def get(self, end: int, default: int) -> int:
+        token = self.tokens[end]
+        return default if token < 0 else token
+
+
 class Codec:
     """Encoder for a table of ranks (bytes to id) and a pattern that splits texts."""
 
@@ -123,8 +140,12 @@ class Codec:
     def piece_ids(self, piece: bytes) -> tuple[int, ...]:
         if (whole := self.ranks.get(piece)) is not None:
             return (whole,)
-        # an end's matches come longest first, so of the reversed list the longest stays
-        longest = dict(reversed(list(self.automaton.iter(piece[::-1].decode("latin-1")))))
+        matches = self.automaton.iter(piece[::-1].decode("latin-1"))
+        if len(piece) <= SHORT_PIECE:
+            # an end's matches come longest first, so of the reversed list the longest stays
+            longest = dict(reversed(list(matches)))
+        else:  # one number for each place, whatever the matches
+            longest = FirstMatches(len(piece), matches)
         length, known, single, end = self.length, self.fits.get, self.single, len(piece) - 1
         n, at, out, last = len(piece), 0, [], -1
         dead: set[int] = set()  # places from which no encoding goes on

@@ -30,6 +30,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def drawn(docs: DataFrame, carry: list[str], id_col: str = "doc_id", source_col:
         [(k, r["source"], r["words"], float(t), e, x, b) for k, (r, t, e, x, b) in enumerate(zip(found, targets, whole, rest, n_blocks))],
         "s int, source string, source_size long, target double, whole int, rest double, n_blocks long",
     )
-    rows = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["source"])).drop("source")  # a row per source
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop("source")  # a row per source, broadcast only if it is small
     rows = rows.withColumn("block", _block(F.col("h"), F.col("n_blocks")))
 
     in_order = Window.partitionBy("s").orderBy("block")
@@ -137,11 +138,14 @@ def drawn(docs: DataFrame, carry: list[str], id_col: str = "doc_id", source_col:
     )
     blocks = stored(blocks, "mix-blocks")
     last = blocks.filter("cut").select("s", "block", "room")  # one block per source at most
-    ends = rows.join(last, ["s", "block"]).groupBy("s", "room", "size", "h").count().collect()
-    cut_rows: dict[tuple[int, float], list[tuple[int, int, int]]] = {}
-    for r in ends:
-        cut_rows.setdefault((r["s"], r["room"]), []).append((r["size"], r["h"], r["count"]))
-    picks = [(s, h) for (s, room), those in sorted(cut_rows.items()) for h in fill(those, room)]
+    ends = rows.join(last, ["s", "block"]).groupBy("s", "room", "size", "h").count()
+
+    def picked_of(group: pa.Table) -> pa.Table:
+        """The rows of one source's cut block that are taken; a block has about ``block_rows`` different ones."""
+        hashes = fill(list(zip(group["size"].to_pylist(), group["h"].to_pylist(), group["count"].to_pylist())), group["room"][0].as_py())
+        return pa.table({"s": pa.array([group["s"][0].as_py()] * len(hashes), pa.int32()), "h": pa.array(hashes, pa.int64())})
+
+    picks = ends.groupBy("s").applyInArrow(picked_of, "s int, h long")
 
     epochs = F.expr("sequence(0, whole + int(full or cut) - 1)")
     draws = blocks.filter("whole > 0 OR full OR cut").select("s", "block", "whole", "cut", F.explode(epochs).alias("epoch"))
@@ -150,11 +154,11 @@ def drawn(docs: DataFrame, carry: list[str], id_col: str = "doc_id", source_col:
     per_source = {r["s"]: r["count"] for r in draws.groupBy("s").count().collect()}
     quotas = split_quotas([per_source.get(k, 0) for k in range(len(found))], mix.shards, mix.seed)
     runs = spark.createDataFrame([(k, np.cumsum(q).tolist()) for k, q in enumerate(quotas)], "s int, ends array<long>")
-    dealt = draws.join(F.broadcast(runs), "s").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("at"))))
+    dealt = draws.join(runs, "s").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("at"))))
     dealt = dealt.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "part"))).alias("dealt"))
     dealt = stored(dealt, "mix-draws")
 
-    picked = spark.createDataFrame(picks, "s int, h long").withColumn("picked", F.lit(True))
+    picked = stored(picks, "mix-picks").withColumn("picked", F.lit(True))
     rows = rows.join(dealt, ["s", "block"], "left").join(picked, ["s", "h"], "left")
     place = lambda d: F.xxhash64(F.lit(mix.seed + 1), d["epoch"], d["shard"], F.col("h"))
     mine = F.filter(F.coalesce("dealt", F.array().cast("array<struct<epoch:int,shard:int,part:boolean>>")), lambda d: ~d["part"] | F.coalesce("picked", F.lit(False)))

@@ -1,7 +1,7 @@
 """Sharding over fixed virtual slots (DataFrame and SQL functions only).
 
-Every record is hashed by its id into one of ``slots`` virtual slots, a number that never
-changes.  Bytes are summed by slot, and a *slot map* says which shard holds a slot.
+Every record is hashed by its id and text into one of ``slots`` virtual slots, a number that never
+changes; rows equal in both, which nothing tells apart, are dealt over the slots one by one, so that no id and no text is hot.  Bytes are summed by slot, and a *slot map* says which shard holds a slot.
 Maps are versioned tables: version 1 deals the slots out, largest first, each to the
 shard that has least so far (law ``bytes``: shard sizes near equal); ``rebalance`` edits a
 map for another number of shards and moves as few bytes as it can.  Records only ever look up their slot.
@@ -12,9 +12,8 @@ has, so dealing it is one small row's work and joining it a broadcast of known s
 shard are numbered by slot: a slot's first place is the count of the rows in the shard's
 slots before it, so no task sees more than a slot.
 
-Defined results: a null text has 0 bytes (size 1, checksum 0); null ids are hashed with their
-text, as one id would put them all into a slot; rows that repeat an id share a slot and get places of
-their own; an empty table gives no rows.
+Defined results: a null text has 0 bytes (size 1, checksum 0); a null id is hashed like any other; rows that repeat an id
+go where their texts lead, whole rows that repeat are spread, all with places of their own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +27,9 @@ SLOTS = 4096
 SHARDS = 16
 
 
-def slot_of(id_col: Column, text: Column, slots: int = SLOTS) -> Column:
-    """Virtual slot of a record: by its id alone, or by its text where it has none."""
-    return F.pmod(F.when(id_col.isNotNull(), F.xxhash64(id_col)).otherwise(F.xxhash64(text)), F.lit(slots)).cast("int")
+def slot_of(key: Column, copy: Column, slots: int = SLOTS) -> Column:
+    """Virtual slot of a record: by the hash of its id and text, and by a number of its own (0: it has no equals)."""
+    return F.pmod(F.xxhash64(key, copy), F.lit(slots)).cast("int")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -38,9 +37,13 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sl
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(
         F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        slot_of(F.col(id_col), text, slots).alias("vslot"),
+        F.xxhash64(F.col(id_col), text).alias("key"), F.monotonically_increasing_id().alias("row"),
     )
-    return stored(narrow, "shard-records")
+    narrow = stored(narrow, "shard-rows")
+    repeated = narrow.groupBy("key").count().filter("count > 1").select("key", F.lit(True).alias("repeated"))
+    copy = F.when(F.col("repeated"), F.col("row") + 1).otherwise(F.lit(0).cast("long"))
+    marked = narrow.join(repeated, "key", "left").select("id", "size", "text_crc32", slot_of(F.col("key"), copy, slots).alias("vslot"))
+    return stored(marked, "shard-records")
 
 
 def slot_sizes(records: DataFrame) -> DataFrame:

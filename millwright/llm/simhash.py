@@ -218,19 +218,33 @@ def link_edges(nodes: DataFrame, bits: int = BITS, group_max: int = GROUP_MAX) -
         dealt = open_.join(F.broadcast(deal), "mask").select("fp", F.explode("parts").alias("mask"))  # a row per mask
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS, keyed: bool = False) -> DataFrame:
-    """(id, fp, component_id): each row's fingerprint and the least id that its links reach; ``keyed`` adds ``key`` of ``fingerprints``."""
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, bits: int, keyed: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows' ``fingerprints`` and, for each fingerprint, component_id and (keyed) head: the least (id, key) of its component."""
     marked = stored(fingerprints(docs, id_col, text_col, shingle, keyed), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "fingerprint-nodes")
+    least = {"component_id": F.min("id")} | ({"head": F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key")))} if keyed else {})
+    nodes = stored(marked.groupBy("fp").agg(*[c.alias(n) for n, c in least.items()]), "fingerprint-nodes")
     roots = smallest_reachable(link_edges(nodes.select("fp"), bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    heads = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
-    named = rooted.join(heads, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("id", "fp", "component_id", *["key"][:keyed])
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", *least, F.coalesce("root", "fp").alias("root"))
+    heads = stored(rooted.groupBy("root").agg(*[F.min(n).alias(n) for n in least]), "component-ids")
+    return marked, rooted.select("fp", "root").join(heads, "root").select("fp", *least)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """(id, fp, component_id): each row's fingerprint and the least id that its links reach."""
+    marked, named = _components(docs, id_col, text_col, shingle, bits, keyed=False)
+    return marked.join(named, "fp").select("id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """``docs`` without the rows whose id is not that of their text's component (rows without an id stay)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, bits, keyed=True).filter("id != component_id")
-    gone = found.select(F.col("id").alias("_n_id"), F.col("key").alias("_n_key"))
-    return docs.join(gone, (docs[id_col] == gone["_n_id"]) & (_text_key(docs[text_col]) == gone["_n_key"]), "left_anti")
+    """One row of each component: the one of least (id, text key), of rows equal in both any one; rows without an id stay."""
+    marked, named = _components(docs, id_col, text_col, shingle, bits, keyed=True)
+    gone = marked.filter("id is not null").join(named, "fp").filter(F.struct("id", "key") != F.col("head")).select(F.col("id").alias("_n_id"), F.col("key").alias("_n_key"))
+    left = docs.join(gone, (docs[id_col] == gone["_n_id"]) & (_text_key(docs[text_col]) == gone["_n_key"]), "left_anti")
+    # whole rows that repeat: met as (id, key) with more than one row, so that texts are grouped only there
+    again = stored(marked.filter("id is not null").groupBy("id", "key").count().filter("count > 1").select(F.col("id").alias("_n_id"), F.col("key").alias("_n_key")), "repeated-rows")
+    if again.isEmpty():
+        return left
+    held = left.select(F.struct(*[left[c] for c in docs.columns]).alias("doc"))  # no column of the documents can clash
+    same = (held["doc"][id_col] == again["_n_id"]) & (_text_key(held["doc"][text_col]) == again["_n_key"])
+    once = held.join(again, same).dropDuplicates(["_n_id", "_n_key"]).select("doc")
+    return held.join(again, same, "left_anti").unionByName(once).select("doc.*")

@@ -56,7 +56,9 @@ def test_simhash_edges(docs, none):
     left = simhash.one_of_each(docs)
     assert left.columns == docs.columns
     gone = {i for i, _, least in brute.component_ids(PAIRS) if i is not None and i != least}
-    assert Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, _ in PAIRS if i not in gone)
+    want = Counter(i for i, _ in PAIRS if i not in gone)
+    want[10] = 2  # the same row only once, the other text of the id is a component of its own
+    assert Counter(r["doc_id"] for r in left.collect()) == want
 
 
 def test_simhash_index_and_regrouping(spark):
@@ -141,7 +143,11 @@ def test_simhash_keeps_the_unique_text_of_a_repeated_id(spark):
     rows = [(1, PROSE), (5, PROSE), (5, other), (5, other), (6, None), (7, PROSE), (7, ""), (None, other)]
     left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     # the copies of 1 go, also where their id has a text of its own; the empty text of 7 is a copy of 6
-    assert Counter(map(tuple, left.collect())) == Counter([(1, PROSE), (5, other), (5, other), (6, None), (None, other)])
+    assert Counter(map(tuple, left.collect())) == Counter([(1, PROSE), (5, other), (6, None), (None, other)])
+    # whole copies and near copies under one id: one row of each group
+    rows = [(1, PROSE, "a"), (1, PROSE, "b"), (1, PROSE, "c"), (2, PROSE, "d"), (3, other, "e"), (3, other + " z", "f"), (4, other, "g")]
+    left = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _n_key string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [1, 3] and left.columns == ["doc_id", "text", "_n_key"]
 
 
 def test_quality_edges(docs, none):
@@ -411,6 +417,23 @@ def test_shards_edges(docs, none):
     assert sharding.shard(none).count() == 0
 
 
+def test_shards_of_repeated_ids_and_rows(spark):
+    """A third of the rows under one id and a third equal in id and text: law ``bytes`` holds all the same."""
+    rng = random.Random(3)
+    rows = [(7, f"text {k} " + "x" * rng.randrange(300)) for k in range(3000)] + [(8, "the same row " * 12)] * 3000
+    rows += [(100 + k, "y" * rng.randrange(300)) for k in range(3000)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    loads, places = Counter(), defaultdict(list)
+    for r in out:
+        loads[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["place"])
+    assert Counter((r["id"], r["size"]) for r in out) == Counter((i, len(t) + 1) for i, t in rows)
+    assert len(loads) == 16 and max(loads.values()) < 1.03 * min(loads.values())
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+    per_slot = Counter(r["vslot"] for r in out)
+    assert max(per_slot.values()) < 20
+
+
 def test_shards_near_equal_and_rebalanced(spark, sf):
     records = sharding.measured(spark.read.parquet(f"{sf}/documents.parquet"))
     first = sharding.slot_map(sharding.slot_sizes(records))
@@ -521,6 +544,21 @@ def test_mix_near_targets_and_reruns(spark, sf):
     assert all(abs(taken[s] - t) <= 0.005 * t for s, t in target.items())
 
 
+def test_mix_many_sources(spark):
+    """Thousands of sources of a few rows each, one with a third of all rows."""
+    rng = random.Random(5)
+    rows = [(k, "w " * rng.randrange(1, 30), f"s{k % 2000:05d}" if k % 3 else "hot") for k in range(9000)]
+    out = mixing.drawn(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id", "source"]).collect()
+    taken, target, largest = Counter(), {}, Counter()
+    for r in out:
+        s = r["doc"]["source"]
+        taken[s] += r["size"] * len(r["draws"])
+        target[s] = r["target"]
+        largest[s] = max(largest[s], r["size"])
+        assert len(r["draws"]) <= 2
+    assert len(target) > 1900 and all(abs(taken[s] - t) <= largest[s] for s, t in target.items())
+
+
 def test_mix_written_by_shard(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mixing.write_mix(docs, str(tmp_path / "mix"), mix=mixing.Mix(shards=4, block_rows=8))
@@ -545,6 +583,21 @@ def test_bpe_random(reference):
         assert b"".join(map(bpe.vocabulary(RANKS).__getitem__, ids)) == t.encode()
 
 
+@pytest.mark.parametrize("unit", ["-", " ", "a", "=-"])
+def test_bpe_long_pieces(reference, unit):
+    """A megabyte of one piece: memory in the length of the piece."""
+    import tracemalloc
+
+    codec, text = bpe.codec(RANKS, PATTERN), unit * (1_000_000 // len(unit))
+    piece = text.encode()
+    tracemalloc.start()
+    ids = codec.piece_ids(piece)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+    assert list(ids) == reference._encode_single_piece(piece) and b"".join(map(bpe.vocabulary(RANKS).__getitem__, ids)) == piece
+
+
 def test_bpe_other_vocabulary():
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks, rng = bpe.read_ranks(path), random.Random(6)
