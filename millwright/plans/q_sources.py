@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millwright.operators import mapping as mp
+from millwright.operators.store import KeyedStore
 from millwright.plans.catalog import register
 from millwright.plans.sqlparts import DOWNTIME, PLANT, r4, with_
 from millwright.session import scratch_path
@@ -94,3 +95,20 @@ FROM plant""")
 def scan_sap_extract(spark, sf):
     """S4 + M5-M7: SAP PP headers mapped by preset, coerced, downtime derived from planned - run."""
     return mp.scan_sap_extract(sap_pp_extract(spark, sf), "production")
+
+
+@register("mapping_store", """SELECT user_id, event_type, ts, value, CAST(changes AS BIGINT) AS changes FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC, event_id DESC) AS rn,
+         count(*) OVER (PARTITION BY user_id, event_type) AS changes
+  FROM (SELECT user_id, event_type, ts, round(value, 4) AS value, event_id FROM events))
+WHERE rn = 1""")
+def mapping_store(spark, sf):
+    """Every event an upsert keyed by (user, type) in three change sets and a compaction; the latest per key and how often it came."""
+    ev = td.table(spark, sf, "events").select("user_id", "event_type", "ts", F.round("value", 4).alias("value"), "event_id")
+    store = KeyedStore(spark, scratch_path(spark, "mapping-store"), ev.schema.simpleString()[7:-1].replace(":", " "), ["user_id", "event_type"], "ts")
+    for part in (0, 1):
+        store.upsert(ev.where(F.col("event_id") % 3 == part))
+    store.compact()
+    store.upsert(ev.where(F.col("event_id") % 3 == 2))
+    times = ev.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("changes"))
+    return store.read().drop("event_id").join(times, ["user_id", "event_type"])
