@@ -1,11 +1,17 @@
 r"""Line dedup over levelled sorted runs of line hashes.
 
-The line index is a set of *runs*: tables of (k1, k2, n_docs, keeper), one row per
-line key, sorted by key, in the shared scratch folder.  A batch of documents is
-reduced to one row per key, merge-anti-joined with the keys of all runs (what is
-left is new and gets its keeper), and added as a run of level 0 of its own; keys that
-the runs know are added as counts.  When a level holds ``fanout`` runs they are
-compacted into one run of the next level (counts summed, greatest keeper).
+The line index is a set of *runs*: tables of (k1, k2, n_docs, keeper), one row per line key, bucketed and sorted by key,
+in one shared folder.  A batch of documents is reduced to one row per key, merge-anti-joined with every run (what is left
+is new: ``fresh``), and added as a run of level 0 of its own; keys that the runs know are in it as counts.  When a level holds
+``fanout`` runs they are merged, two by two, into one run of the next level (counts summed, greatest keeper).
+
+All runs have the same buckets, one file each, so a join of runs reads bucket by bucket in key order: no exchange and no sort
+stands above a run.  The rows of a batch are exchanged once, by the aggregate that reduces them.  Runs are never united before
+an aggregate (they meet in joins alone).
+
+A manifest in the folder names the runs of each level; a new one is written for each batch under the next number, and writing a
+number that exists fails.  ``LineRuns.open`` reads the newest, so a batch of a later session meets the runs of earlier ones, and of
+two writers that began from the same state the second is refused.  A write that broke off leaves tables that no manifest names.
 
 A key found in at least ``min_docs`` documents loses all its lines except in its
 keeper, the greatest id that holds it.
@@ -24,12 +30,14 @@ keep their lines.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millwright.llm.common import SPACE_CHARS, let, lower_ascii, prepare, stored, text_or_empty
+from millwright.session import scratch_path
 
 
 def line_key(line: Column) -> Column:
@@ -42,85 +50,142 @@ def _hashed(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("k1"), F.xxhash64(F.lit(7), key).alias("k2")]
 
 
-@dataclass
 class LineRuns:
-    """The levelled runs; what is kept on the driver is the list of runs by level."""
-
-    fanout: int = 4
-    levels: list[list[DataFrame]] = field(default_factory=list)
+    """The levelled runs of one folder; the driver keeps the names of the runs by level."""
+
+    MANIFEST = "levels array<array<string>>, buckets int, fanout int, keeper string"
+
+    def __init__(self, spark: SparkSession, folder: str, keeper: str, buckets: int | None = None, fanout: int = 4):
+        """No runs yet.  ``keeper``: SQL type of the ids; ``buckets`` of a run: the session's shuffle partitions unless given."""
+        prepare(spark)
+        # a bucket of one file is known to be sorted
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.spark, self.folder, self.keeper, self.fanout = spark, folder.rstrip("/"), keeper, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version, self.levels = 0, []
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineRuns:
+        """The runs that the newest manifest of ``folder`` names."""
+        try:
+            rows = spark.read.schema(cls.MANIFEST).option("recursiveFileLookup", "true").parquet(f"{folder.rstrip('/')}/manifest")
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                raise ValueError(f"no line runs in {folder}") from e
+            raise
+        number = F.element_at(F.split("_metadata.file_path", "/"), -2).cast("long").alias("number")
+        newest = rows.select(number, "*").orderBy(F.desc("number")).first()
+        runs = cls(spark, folder, newest["keeper"], newest["buckets"], newest["fanout"])
+        runs.version, runs.levels = newest["number"], [list(level) for level in newest["levels"]]
+        return runs
+
+    def _commit(self) -> None:
+        row = self.spark.createDataFrame([(self.levels, self.buckets, self.fanout, self.keeper)], self.MANIFEST).coalesce(1)
+        row.write.mode("errorifexists").parquet(f"{self.folder}/manifest/{self.version + 1:012d}")
+        self.version += 1
+
+    def sorted_table(self, rows: DataFrame, name: str) -> str:
+        """Write ``rows`` by bucket, sorted by key; the tasks of ``rows`` must hold whole buckets.  Returns the path."""
+        path, table = f"{self.folder}/{name}-{uuid.uuid4().hex[:12]}", f"millwright_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.buckets, "k1", "k2").sortBy("k1", "k2").option("path", path).saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the catalog's entry; the files of a table with a path stay
+        return path
+
+    def read(self, path: str, columns: str | None = None) -> DataFrame:
+        """A sorted table, by what the folder says of it alone."""
+        table = f"millwright_{uuid.uuid4().hex}"
+        columns = columns or f"k1 bigint, k2 bigint, n_docs bigint, keeper {self.keeper}, fresh boolean"
+        self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (k1, k2) SORTED BY (k1, k2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        found = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return found
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        return [self.read(path) for level in self.levels for path in level]
 
     def known(self) -> DataFrame | None:
-        """Keys of all runs; a key stands with its keeper in the run that saw it first, so each comes once."""
-        found = None
-        for r in self.runs():
-            found = r if found is None else found.unionByName(r)
-        return None if found is None else found.filter("fresh").select("k1", "k2")
+        """Keys of all runs; a key is fresh in the run that saw it first, so each comes once."""
+        fresh = [r.filter("fresh").select("k1", "k2") for r in self.runs()]
+        # a plain table: see the module's text on unions
+        return stored(reduce(DataFrame.unionByName, fresh), "line-keys") if fresh else None
 
     def add(self, batch: DataFrame) -> None:
-        """A batch reduced to (k1, k2, n_docs, keeper), one row per key."""
-        known = self.known()
-        if known is None:
-            marked = batch.withColumn("fresh", F.lit(True))
-        else:
-            new = batch.join(known, ["k1", "k2"], "left_anti").withColumn("fresh", F.lit(True))
-            old = batch.join(known, ["k1", "k2"], "left_semi").withColumn("fresh", F.lit(False))
-            marked = new.unionByName(old)
-        self._put(0, marked)
-
-    def _put(self, level: int, run: DataFrame) -> None:
-        run = stored(run.sortWithinPartitions("k1", "k2"), f"line-run-l{level}")
+        """Add a batch, one row per key: (k1, k2, n_docs, keeper)."""
+        self.add_sorted(batch.repartition(self.buckets, "k1", "k2"))
+
+    def add_sorted(self, batch: DataFrame) -> None:
+        """The same for rows that are parted like the buckets."""
+        new = batch.select("k1", "k2")
+        for run in self.runs():
+            new = new.join(run.select("k1", "k2").hint("merge"), ["k1", "k2"], "left_anti")
+        marked = batch.join(new.withColumn("fresh", F.lit(True)).hint("merge"), ["k1", "k2"], "left")
+        marked = marked.select("k1", "k2", "n_docs", "keeper", F.coalesce("fresh", F.lit(False)).alias("fresh"))
+        self._put(0, self.sorted_table(marked, "run-l0"))
+        self._commit()
+
+    def _put(self, level: int, run: str) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merging, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._merged(merging))
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy("k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("fresh").alias("fresh"))
+            self._put(level + 1, self._merged(merging, f"run-l{level + 1}"))
+
+    def _merged(self, paths: list[str], name: str) -> str:
+        """One run of several, merged two by two."""
+        while len(paths) > 1:
+            paths = [self.sorted_table(self._pair(*paths[i : i + 2]), name) if i + 1 < len(paths) else paths[i] for i in range(0, len(paths), 2)]
+        return paths[0]
+
+    def _pair(self, left: str, right: str) -> DataFrame:
+        a, b = self.read(left), self.read(right).hint("merge")
+        both = a.join(b, (a["k1"] == b["k1"]) & (a["k2"] == b["k2"]), "full")
+        one = lambda c: F.coalesce(a[c], b[c]).alias(c)
+        n_docs = (F.coalesce(a["n_docs"], F.lit(0)) + F.coalesce(b["n_docs"], F.lit(0))).alias("n_docs")
+        fresh = (F.coalesce(a["fresh"], F.lit(False)) | F.coalesce(b["fresh"], F.lit(False))).alias("fresh")
+        return both.select(one("k1"), one("k2"), n_docs, F.greatest(a["keeper"], b["keeper"]).alias("keeper"), fresh)
 
     def verdicts(self, min_docs: int) -> DataFrame | None:
         """Keys that lose lines, with their keeper."""
-        runs = self.runs()
-        if not runs:
+        paths = [path for level in self.levels for path in level]
+        if not paths:
             return None
-        return self._merged(runs).filter((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull()).select("k1", "k2", "keeper")
+        merged = self.read(self._merged(paths, "all"))
+        return merged.filter((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull()).select("k1", "k2", "keeper")
 
 
 def _lines(text: Column) -> Column:
     return F.split(text_or_empty(text), "\n", -1)
 
 
-def _batch_keys(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
-    """One row per batch and key: documents that hold it, greatest id."""
+def batch_keys(docs: DataFrame, min_chars: int, batches: int = 1) -> DataFrame:
+    """One row per key, with columns ``n_docs_<b>`` (documents that hold it) and ``keeper_<b>`` (greatest id) for each batch b."""
     keys = F.array_distinct(F.filter(F.transform(_lines(F.col("text")), line_key), lambda k: F.length(k) >= min_chars))
-    held = docs.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int").alias("batch"), F.explode(keys).alias("key"))
+    held = docs.select("id", F.pmod(F.xxhash64("id"), F.lit(batches)).alias("batch"), F.explode(keys).alias("key"))
     held = held.select("id", "batch", *_hashed(F.col("key")))
-    return held.groupBy("batch", "k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("id").alias("keeper"))
+    mine = [F.col("batch") == b for b in range(batches)]
+    counts = [F.count(F.when(m, 1)).alias(f"n_docs_{b}") for b, m in enumerate(mine)]
+    return held.groupBy("k1", "k2").agg(*counts, *[F.max(F.when(m, F.col("id"))).alias(f"keeper_{b}") for b, m in enumerate(mine)])
 
 
-def line_runs(docs: DataFrame, min_chars: int = 40, batches: int = 4, fanout: int = 4) -> LineRuns:
+def one_batch(keys: DataFrame, b: int) -> DataFrame:
+    """The rows of a batch of ``batch_keys``, as ``LineRuns.add`` takes them."""
+    return keys.filter(F.col(f"n_docs_{b}") > 0).select("k1", "k2", F.col(f"n_docs_{b}").alias("n_docs"), F.col(f"keeper_{b}").alias("keeper"))
+
+
+def line_runs(docs: DataFrame, min_chars: int = 40, batches: int = 4, fanout: int = 4, folder: str | None = None) -> LineRuns:
     """The runs over all ``docs`` (id, text), added batch by batch.
 
-    One pass over the texts reduces all batches at once into a table parted by batch.
+    One pass over the texts reduces all batches at once into one sorted table.  ``folder`` (a new one in the shared scratch folder
+    unless given) is where the runs stay.
     """
-    from millwright.session import scratch_path
-
     spark = docs.sparkSession
-    prepare(spark)
-    path = f"{scratch_path(spark, 'line-batches')}-{uuid.uuid4().hex[:6]}"
-    keys = _batch_keys(docs, min_chars, batches)
-    keys.write.partitionBy("batch").parquet(path)
-    staged, runs = spark.read.schema(keys.schema).parquet(path), LineRuns(fanout)
-    for k in range(batches):
-        runs.add(staged.filter(F.col("batch") == k).drop("batch"))
+    runs = LineRuns(spark, folder or scratch_path(spark, "line-runs"), docs.schema["id"].dataType.simpleString(), fanout=fanout)
+    keys = batch_keys(docs, min_chars, batches)
+    path = runs.sorted_table(keys.repartition(runs.buckets, "k1", "k2"), "batches")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema)
+    for b in range(batches):
+        runs.add_sorted(one_batch(runs.read(path, columns), b))
     return runs
 
 

@@ -138,6 +138,37 @@ def test_line_runs_compact(docs):
     assert known.count() == known.distinct().count()
 
 
+def test_line_runs_are_read_as_sorted(spark, docs):
+    """Merging and judging runs moves and sorts no rows."""
+    from pyspark.sql import functions as F
+
+    runs = linedupe.line_runs(docs.select(F.col("doc_id").alias("id"), "text"), 4, batches=3)
+    a, b = runs.levels[0][:2]
+    new = runs.read(a).join(runs.read(b).hint("merge"), ["k1", "k2"], "left_anti")
+    for df, joins in ((runs._pair(a, b), 1), (new, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == joins and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_line_runs_of_a_later_session(spark, docs):
+    from pyspark.sql import functions as F
+
+    whole = docs.select(F.col("doc_id").alias("id"), "text")
+    part = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    first = linedupe.line_runs(whole.filter(part), 4, batches=3, fanout=2)
+    other = spark.newSession()
+    later, rival = linedupe.LineRuns.open(other, first.folder), linedupe.LineRuns.open(other, first.folder)
+    assert later.levels == first.levels and later.version == 3
+    rest = other.createDataFrame(whole.filter(~part).collect(), whole.schema)
+    more = linedupe.one_batch(linedupe.batch_keys(rest, 4), 0)
+    later.add(more)
+    with pytest.raises(Exception, match="(?i)exists"):
+        rival.add(more)
+    together = linedupe.line_runs(whole, 4, batches=1)
+    rows = lambda runs: Counter(tuple(r) for r in runs.verdicts(2).collect())
+    assert rows(linedupe.LineRuns.open(spark, first.folder)) == rows(together) and rows(together)
+
+
 def test_simhash_keeps_the_unique_text_of_a_repeated_id(spark):
     other = " ".join(f"own{k} word{k * 7 % 90}" for k in range(120))
     rows = [(1, PROSE), (5, PROSE), (5, other), (5, other), (6, None), (7, PROSE), (7, ""), (None, other)]
