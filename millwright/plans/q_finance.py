@@ -8,7 +8,7 @@ from millwright.operators import finance as fi
 from millwright.plans.catalog import register
 from millwright.plans.q_downtime import pareto_sql
 from millwright.plans.q_maintenance import REMAINING_CTES, _norm
-from millwright.plans.sqlparts import DOWNTIME, PLANT, pillars, r4, with_
+from millwright.plans.sqlparts import DOWNTIME, PLANT, dollars, fixed, pillars, r4, with_
 from millwright.sources import testdata as td
 
 RATE = "CAST(CASE line_id WHEN 'L1' THEN 850 WHEN 'L2' THEN 1100 WHEN 'L3' THEN 720 ELSE 850 END AS DOUBLE)"
@@ -97,8 +97,21 @@ def cost_risk_matrix(spark, sf):
     return fi.cost_risk_matrix(td.plant_rows(spark, sf), td.downtime(spark, sf)).select(*MATRIX_COLS, "label")
 
 
-@register("inspect_top3")
+# the three first rows of the rounded matrix, and the narrative over them
+NARRATIVE_CTES = [
+    f"""m3 AS (SELECT machine_id, line_id, {r4('priority_score')} AS s, {r4('availability_hours_lost')} AS hours, {r4('usd_lost')} AS usd,
+   {r4('remaining_risk')} AS risk FROM (SELECT * FROM mp ORDER BY priority_score DESC, machine_id NULLS LAST, line_id NULLS LAST LIMIT 20)
+  ORDER BY s DESC, machine_id NULLS LAST LIMIT 3)""",
+    f"""nar AS (SELECT machine_id, line_id, s AS priority_score, 'Inspect this week: ' || machine_id || ' on ' || line_id
+   || ' is both costly and high failure-risk. Availability hours lost ' || {fixed('hours')} || ' h · ' || {dollars('usd')}
+   || ' (Management estimate) · PdM risk ' || {fixed('risk', 0)} || '/100. Top 3 by $ × risk: '
+   || (SELECT string_agg(machine_id || ' (' || {dollars('usd')} || ', risk ' || {fixed('risk', 0)} || ')', '; ' ORDER BY s DESC, machine_id DESC) FROM m3)
+   || '.' AS narrative FROM (SELECT * FROM m3 ORDER BY s DESC, machine_id, line_id LIMIT 1))""",
+]
+
+
+@register("inspect_top3", with_(PLANT, DOWNTIME, *MATRIX_CTES, *NARRATIVE_CTES) + "SELECT machine_id, line_id, narrative FROM nar")
 def inspect_top3(spark, sf):
-    """F8: narrative for the top asset plus the top three by $ x risk (rows-only check)."""
+    """F8: narrative for the top asset plus the top three by $ x risk."""
     m = fi.cost_risk_matrix(td.plant_rows(spark, sf), td.downtime(spark, sf))
     return fi.inspect_top3(m).select("machine_id", "line_id", "narrative")

@@ -84,3 +84,17 @@ def oee_group_select(keys: str, src: str = "plant", extra: str = "") -> str:
 FROM (SELECT {k}sum(planned_time_min) AS _p, sum(downtime_minutes) AS _d, avg(ideal_rate) AS _i,
              sum(total_count) AS _t, sum(good_count) AS _g, count(*) AS shifts
       FROM {src} {gb})"""
+
+
+def fixed(x: str, digits: int = 1) -> str:
+    """``x`` as text with that many decimals, halves of its shortest decimal form rounded up (as Java formats; C rounds the binary value)."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 15)), {digits}) AS VARCHAR)"
+
+
+def percent(x: str) -> str:
+    return f"{fixed(f'({x}) * 100')} || '%'"
+
+
+def dollars(x: str) -> str:
+    """``x`` in whole dollars with thousands separators."""
+    return f"'$' || format('{{:,}}', CAST({fixed(x, 0)} AS BIGINT))"
