@@ -194,51 +194,50 @@ def presence(df: DataFrame) -> DataFrame:
     )
 
 
+#: Items in one long of a basket.
+WORD_BITS = 62
+
+
 def assoc_rules(df: DataFrame, cats: Optional[list[str]] = None, nums: Optional[list[str]] = None, max_distinct: int = 12,
                 min_support: float = 0.05, min_conf: float = 0.55, suspicious_conf: float = 0.7) -> DataFrame:
     """Pair rules over baskets of ``col=value`` and ``col=HIGH`` items.
 
     ``cats`` and ``nums`` name the columns to use; unnamed, every string column with at
     most ``max_distinct`` values and every numeric column.  All rows count, and every pair
-    that meets support and confidence is returned.  Rows collapse to their distinct baskets
-    before pairs are counted; no self-join of rows.
+    that meets support and confidence is returned.  A row becomes one bit per item in a few longs; rows collapse to their
+    distinct baskets by these before items and pairs are counted, so no string is shuffled and no row is paired with another.
     """
     str_cols = cats if cats is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     nd = df.agg(*[F.approx_count_distinct(_q(c)).alias(c) for c in str_cols]).collect()[0] if str_cols else {}
-    # approximate count first (cheap), exact confirmation only near the limit
+    # approximate count first (cheap), the values only of columns near the limit
     near = [c for c in str_cols if nd[c] <= max_distinct * 2]
-    exact = df.agg(*[F.count_distinct(_q(c)).alias(c) for c in near]).collect()[0] if near else {}
-    cats = [c for c in str_cols if c in near and exact[c] <= max_distinct]
+    values = df.agg(*[F.collect_set(_q(c).cast("string")).alias(c) for c in near]).collect()[0] if near else {}
+    cats = [c for c in near if len(values[c]) <= max_distinct]
     nums = nums if nums is not None else numeric_columns(df)
     q90 = exact_quantiles(df, {c: _q(c) for c in nums}, [0.9])
-    items = [F.when(_q(c).isNotNull(), F.concat(F.lit(f"{c}="), _q(c).cast("string"))) for c in cats]
-    for c in nums:
-        t = q90[c][0]
-        if t is not None:
-            items.append(F.when(_q(c).cast("double") >= F.lit(t), F.lit(f"{c}=HIGH")))
+    items = [(f"{c}={v}", _q(c).cast("string") == F.lit(v)) for c in cats for v in sorted(values[c])]
+    items += [(f"{c}=HIGH", _q(c).cast("double") >= F.lit(q90[c][0])) for c in nums if q90[c][0] is not None]
     if not items:
         return df.sparkSession.createDataFrame([], "rule string, a string, b string, pair_count bigint, support double, "
                                                     "confidence double, baskets bigint, suspicious boolean")
-    # Pre-aggregate: rows collapse map-side to distinct baskets (bounded by the product of slot
-    # cardinalities), then item / pair / basket counts come from GROUPING SETS over that small table.
-    k = len(items)
-    names = [f"_s{i}" for i in range(k)]
-    slots = df.select(*[x.alias(n) for x, n in zip(items, names)])
-    size = reduce(lambda a, b: a + b, [F.when(F.col(n).isNotNull(), 1).otherwise(0) for n in names])
-    baskets = slots.where(size >= 2).groupBy(*names).agg(F.count(F.lit(1)).alias("_w"))
-    sets = [[]] + [[n] for n in names] + [[names[i], names[j]] for i in range(k) for j in range(i + 1, k)]
-    g = baskets.groupingSets(sets, *names).agg(F.sum("_w").alias("cnt"), *[F.grouping(n).alias(f"_g{i}") for i, n in enumerate(names)])
-    grouped = reduce(lambda a, b: a + b, [1 - F.col(f"_g{i}") for i in range(k)])
-    present = F.array_sort(F.filter(F.array(*[F.when(F.col(f"_g{i}") == 0, F.col(n)) for i, n in enumerate(names)]),
-                                    lambda x: x.isNotNull()))
-    agg = g.select(grouped.alias("kind"), present.alias("_p"), "cnt").where(F.size("_p") == F.col("kind")).select(
-        "kind", F.try_element_at("_p", F.lit(1)).alias("a"), F.try_element_at("_p", F.lit(2)).alias("b"), "cnt")
+    words = [items[i : i + WORD_BITS] for i in range(0, len(items), WORD_BITS)]
+    bits = [reduce(lambda x, y: x.bitwiseOR(y), [F.when(test, F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, (_, test) in enumerate(word)])
+            for word in words]
+    names = [f"_w{i}" for i in range(len(words))]
+    size = reduce(lambda x, y: x + y, [F.bit_count(n) for n in names])
+    baskets = df.select(*[x.alias(n) for x, n in zip(bits, names)]).where(size >= 2).groupBy(*names).agg(F.count(F.lit(1)).alias("_w"))
+    held = [F.when(F.getbit(F.col(names[k // WORD_BITS]), F.lit(k % WORD_BITS)) == 1, F.lit(k)) for k in range(len(items))]
+    present = F.array_compact(F.array(*held))
+    # a basket counts for itself (-1, -1), its items (i, i) and its pairs (i, j)
+    firsts = baskets.select("_w", present.alias("p")).select("_w", "p", F.posexplode(F.concat(F.array(F.lit(-1)), "p")).alias("at", "i"))
+    rest = F.when(F.col("i") < 0, F.array(F.lit(-1))).otherwise(F.slice("p", F.greatest(F.col("at"), F.lit(1)), F.size("p")))
+    counts = firsts.select("_w", "i", F.explode(rest).alias("j")).groupBy("i", "j").agg(F.sum("_w").alias("cnt"))
     # at most 1 + m + m(m-1)/2 rows for m = len(cats) * max_distinct + len(nums) items: collect once
-    small = agg.collect()
+    small = counts.collect()
     spark = df.sparkSession
-    n = next((r["cnt"] for r in small if r["kind"] == 0), 0)
-    tbl = spark.createDataFrame([(r["kind"], r["a"], r["b"], r["cnt"]) for r in small],
-                                "kind int, a string, b string, cnt bigint").withColumn("n", F.lit(n).cast("bigint"))
+    n = next((r["cnt"] for r in small if r["i"] < 0), 0)
+    named = [(1 if r["i"] == r["j"] else 2, *sorted((items[r["i"]][0], items[r["j"]][0])), r["cnt"]) for r in small if r["i"] >= 0]
+    tbl = spark.createDataFrame(named, "kind int, a string, b string, cnt bigint").withColumn("n", F.lit(n).cast("bigint"))
     singles = tbl.where(F.col("kind") == 1).select(F.col("a").alias("item"), F.col("cnt").alias("item_count"))
     top = tbl.where(F.col("kind") == 2).select("a", "b", F.col("cnt").alias("pair_count"), "n")
     ia, ib = singles.alias("ia"), singles.alias("ib")

@@ -281,3 +281,20 @@ def test_cards_of_table_without_defect_codes(spark, sf):
     c = insights.cards(td.plant_rows(spark, sf).drop("defect_code", "measurement_mm"), td.downtime(spark, sf))
     metrics = {r["metric"] for r in c.collect()}
     assert "synthesized" in metrics and "cpk" not in metrics and {"remaining_risk", "priority_score", "worst_scrap_rate"} <= metrics
+
+
+def test_assoc_rules_against_counting_by_hand(spark):
+    """More items than one long has bits, nulls, ties at the 90 % mark, an empty table."""
+    from collections import Counter
+    from itertools import combinations
+
+    schema = ", ".join([*[f"c{k} string" for k in range(6)], "x double"])
+    rows = [(*[None if (i + k) % 11 == 0 else f"v{(i * (k + 3) + i // 7) % 12}" for k in range(6)], float(i % 20)) for i in range(400)]
+    got = {(r["a"], r["b"]): (r["pair_count"], r["baskets"]) for r in dq.assoc_rules(spark.createDataFrame(rows, schema), min_support=0.0, min_conf=0.0).collect()}
+    mark = sorted(r[6] for r in rows)
+    mark = mark[359] + 0.1 * (mark[360] - mark[359])
+    baskets = [sorted([f"c{k}={v}" for k, v in enumerate(r[:6]) if v is not None] + (["x=HIGH"] if r[6] >= mark else [])) for r in rows]
+    pairs = Counter(p for b in baskets for p in combinations(b, 2))
+    n = sum(len(b) >= 2 for b in baskets)
+    assert len({i for b in baskets for i in b}) > 62 and got == {p: (c, n) for p, c in pairs.items()}
+    assert dq.assoc_rules(spark.createDataFrame([], schema)).count() == 0
