@@ -15,9 +15,12 @@ left half being one multivariate hypergeometric sample.  A leaf is a shard.  A s
 draws, permuted anew in each epoch, are dealt to the shards in runs of these quotas, so
 shards are disjoint; inside a shard rows are put in the order of a hash.
 
-Scale: the driver sees one row per *source* and the rows of one block per source, never
-rows of the corpus; the hot source is spread over its blocks.  Rows meet the table of
-blocks (1/``block_rows`` of the rows) in an equi-join on (source, block).
+Scale: sources are a table, numbered by range.  Water-filling is a few aggregates over it that
+bring two sums each to the driver.  Quotas are drawn for groups of ``SOURCES`` sources first (the
+driver sees a row per group) and then, inside a task, for the sources of a group: parts of a
+multivariate hypergeometric sample are such samples.  Running sums along a source's blocks go over
+``STRETCHES`` stretches and then inside each, so a hot source is no single task.  Rows meet the
+table of blocks (1/``block_rows`` of the rows) in an equi-join on (source, block).
 
 Defined results: a null or empty text has size 0 and its ``taken`` is 0; null is a
 source of its own; rows equal in id and text fall into one block and are drawn alike;
@@ -37,6 +40,11 @@ from pyspark.sql import functions as F
 from millwright.llm.common import prepare, stored, word_count
 
 
+#: Sources in a group of the splitting tree, and stretches of a running sum along one source.
+SOURCES = 4096
+STRETCHES = 4096
+
+
 @dataclass(frozen=True)
 class Mix:
     """Production parameters."""
@@ -50,7 +58,7 @@ class Mix:
 
 
 def shared_targets(sizes: list[int], mix: Mix = Mix()) -> list[Fraction]:
-    """Target of each source, in the order of ``sizes``."""
+    """Target of each source, in the order of ``sizes``: the rule in exact fractions, which ``_with_targets`` follows on a table."""
     weights = [mix.weights[k % len(mix.weights)] for k in range(len(sizes))]
     left, targets, open_ = Fraction(sum(sizes) * mix.percent, 100), [Fraction(0)] * len(sizes), set(range(len(sizes)))
     while open_:
@@ -65,8 +73,11 @@ def shared_targets(sizes: list[int], mix: Mix = Mix()) -> list[Fraction]:
     return targets
 
 
-def split_quotas(draws: list[int], shards: int, seed: int) -> np.ndarray:
-    """(source, shard) quotas of draws; rows sum to ``draws``, shards differ by one draw at most for 2**k shards."""
+def split_quotas(draws: list[int], shards: int, seed: int, totals: list[int] | None = None) -> np.ndarray:
+    """(source, shard) quotas of draws; rows sum to ``draws``.
+
+    Columns sum to ``totals`` where these are given; else shards differ by one draw at most for 2**k shards.
+    """
     rng, out = np.random.default_rng(seed), np.zeros((len(draws), shards), np.int64)
 
     def node(counts: np.ndarray, first: int, n: int) -> None:
@@ -75,7 +86,8 @@ def split_quotas(draws: list[int], shards: int, seed: int) -> np.ndarray:
             return
         half = n // 2
         total = int(counts.sum())
-        left = rng.multivariate_hypergeometric(counts, total * half // n, method="marginals") if total else counts
+        share = total * half // n if totals is None else sum(totals[first : first + half])
+        left = rng.multivariate_hypergeometric(counts, share, method="marginals") if total else counts
         node(left, first, half)
         node(counts - left, first + half, n - half)
 
@@ -102,6 +114,76 @@ def _block(h: Column, n_blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(1), h), n_blocks)
 
 
+def _numbered(found: DataFrame) -> DataFrame:
+    """Adds ``s``: the place of each source in code-point order, null last, from 0."""
+    null = F.col("source").isNull()
+    ranged = found.repartitionByRange(null, F.col("source")).withColumn("part", F.spark_partition_id())
+    ranged = stored(ranged, "mix-sources")
+    before = F.sum("count").over(Window.orderBy("part")) - F.col("count")  # a row per partition
+    offsets = ranged.groupBy("part").count().select("part", before.alias("before"))
+    at = F.row_number().over(Window.partitionBy("part").orderBy(null, "source")) - 1
+    return ranged.join(offsets, "part").select((F.col("before") + at).alias("s"), "source", "n", "words")
+
+
+def _with_targets(sources: DataFrame, mix: Mix) -> DataFrame:
+    """Adds target, whole epochs and the rest of the target to numbered sources; all sums are of whole numbers.
+
+    The level (words for a weight of one) only rises from step to step, so a source above its
+    bound stays above it, and a step needs two sums of those above, not their list.
+    """
+    exact = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    weights = F.array(*[F.lit(w) for w in mix.weights])
+    table = sources.withColumn("weight", F.get(weights, (F.col("s") % len(mix.weights)).cast("int")))
+    table = stored(table, "mix-weights")
+    wide = {c: F.col(c).cast("decimal(20,0)") for c in ("weight", "words")}
+    sums = lambda df: [int(x or 0) for x in df.agg(F.sum(wide["weight"]), F.sum(wide["words"])).first()]
+    all_weight, all_words = sums(table)
+    above_weight, level, per = 0, mix.percent * all_words, 100 * all_weight  # level / per: words for a weight of one
+    while True:
+        above = wide["weight"] * exact(level) > wide["words"] * exact(mix.max_epochs * per)
+        weight, words = sums(table.filter(above))
+        if weight in (above_weight, all_weight):
+            break
+        above_weight, level, per = weight, mix.percent * all_words - 100 * mix.max_epochs * words, 100 * (all_weight - weight)
+    table = table.withColumns({"above": above, "share": wide["weight"] * exact(level), "full": wide["words"] * exact(per)})
+    whole = F.when(F.col("words") == 0, F.lit(0)).when(F.col("above"), F.lit(mix.max_epochs)).otherwise(F.expr("share div full"))
+    table = table.withColumn("whole", whole.cast("int"))
+    target = F.when(F.col("above"), mix.max_epochs * F.col("words").cast("double")).otherwise(F.col("share").cast("double") / per)
+    rest = F.when(F.col("above"), F.lit(0.0)).otherwise((F.col("share") - F.col("whole") * F.col("full")).cast("double") / per)
+    table = table.withColumns({"target": target, "rest": rest})
+    n_blocks = F.ceil(F.col("n") / mix.block_rows)
+    return table.select("s", "source", F.col("words").alias("source_size"), "target", "whole", "rest", n_blocks.alias("n_blocks"))
+
+
+def _running(df: DataFrame, value: Column, keys: list[str], stretch: list[str], order: list[str]) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of ``keys`` ahead of this one by (stretch, order)."""
+    df = df.withColumn("value", value)
+    along = Window.partitionBy(*keys).orderBy(*stretch)
+    parts = df.groupBy(*keys, *stretch).agg(F.sum("value").alias("part"))
+    parts = parts.select(*keys, *stretch, (F.sum("part").over(along) - F.col("part")).alias("ahead"))
+    inside = F.sum("value").over(Window.partitionBy(*keys, *stretch).orderBy(*order)) - F.col("value")
+    return df.join(parts, [*keys, *stretch]).withColumn("before", F.col("ahead") + inside).drop("value", "ahead")
+
+
+def _runs(blocks: DataFrame, mix: Mix) -> DataFrame:
+    """(s, ends): of each source the last draw of each shard, drawn for groups of sources and then inside them."""
+    times = F.sum(F.col("whole") + (F.col("full") | F.col("cut")).cast("int"))
+    counts = blocks.groupBy("s").agg(times.alias("draws")).filter("draws > 0").withColumn("g", F.floor(F.col("s") / SOURCES))
+    counts = stored(counts, "mix-counts")
+    groups = counts.groupBy("g").agg(F.sum("draws").alias("draws")).orderBy("g").collect()  # a row per SOURCES sources
+    quotas = split_quotas([r["draws"] for r in groups], mix.shards, mix.seed)
+    totals = counts.sparkSession.createDataFrame([(r["g"], q.tolist()) for r, q in zip(groups, quotas)], "g long, totals array<long>")
+    shards, seed = mix.shards, mix.seed
+
+    def inside(group: pa.Table) -> pa.Table:
+        """Quotas of one group's sources, at most ``SOURCES``."""
+        group = group.sort_by("s")
+        quotas = split_quotas(group["draws"].to_pylist(), shards, seed + group["g"][0].as_py(), group["totals"][0].as_py())
+        return pa.table({"s": group["s"], "ends": pa.array(np.cumsum(quotas, axis=1).tolist(), pa.list_(pa.int64()))})
+
+    return stored(counts.join(totals, "g").groupBy("g").applyInArrow(inside, "s long, ends array<long>"), "mix-quotas")
+
+
 def drawn(docs: DataFrame, carry: list[str], id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", mix: Mix = Mix()) -> DataFrame:
     """A row per row of ``docs``: ``doc`` (struct of ``carry``), size, source_size, target and ``draws``.
 
@@ -117,23 +199,15 @@ def drawn(docs: DataFrame, carry: list[str], id_col: str = "doc_id", source_col:
     )
     rows = stored(rows, "mix-rows")
 
-    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()  # a row per source
-    found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
-    targets = shared_targets([r["words"] for r in found], mix)
-    whole = [int(t // r["words"]) if r["words"] else 0 for t, r in zip(targets, found)]
-    rest = [float(t - e * r["words"]) for t, e, r in zip(targets, whole, found)]
-    n_blocks = [-(-r["n"] // mix.block_rows) for r in found]
-    plan = spark.createDataFrame(
-        [(k, r["source"], r["words"], float(t), e, x, b) for k, (r, t, e, x, b) in enumerate(zip(found, targets, whole, rest, n_blocks))],
-        "s int, source string, source_size long, target double, whole int, rest double, n_blocks long",
-    )
-    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop("source")  # a row per source, broadcast only if it is small
+    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    plan = stored(_with_targets(_numbered(found), mix), "mix-targets")
+    rows = rows.join(plan, rows["source"].eqNullSafe(plan["source"])).drop("source")
     rows = rows.withColumn("block", _block(F.col("h"), F.col("n_blocks")))
 
-    in_order = Window.partitionBy("s").orderBy("block")
-    blocks = rows.groupBy("s", "block").agg(F.sum("size").alias("words"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    before = F.sum("words").over(in_order) - F.col("words")
-    blocks = blocks.withColumn("room", F.col("rest") - before).select(
+    blocks = rows.groupBy("s", "block").agg(F.sum("size").alias("words"), *[F.first(c).alias(c) for c in ("whole", "rest", "n_blocks")])
+    blocks = blocks.withColumn("stretch", F.floor(F.col("block") / F.col("n_blocks") * STRETCHES))
+    blocks = _running(blocks, F.col("words"), ["s"], ["stretch"], ["block"])
+    blocks = blocks.withColumn("room", F.col("rest") - F.col("before")).select(
         "s", "block", "whole", "room", (F.col("room") >= F.col("words")).alias("full"), ((F.col("room") > 0) & (F.col("room") < F.col("words"))).alias("cut")
     )
     blocks = stored(blocks, "mix-blocks")
@@ -143,17 +217,16 @@ def drawn(docs: DataFrame, carry: list[str], id_col: str = "doc_id", source_col:
     def picked_of(group: pa.Table) -> pa.Table:
         """The rows of one source's cut block that are taken; a block has about ``block_rows`` different ones."""
         hashes = fill(list(zip(group["size"].to_pylist(), group["h"].to_pylist(), group["count"].to_pylist())), group["room"][0].as_py())
-        return pa.table({"s": pa.array([group["s"][0].as_py()] * len(hashes), pa.int32()), "h": pa.array(hashes, pa.int64())})
+        return pa.table({"s": pa.array([group["s"][0].as_py()] * len(hashes), pa.int64()), "h": pa.array(hashes, pa.int64())})
 
-    picks = ends.groupBy("s").applyInArrow(picked_of, "s int, h long")
+    picks = ends.groupBy("s").applyInArrow(picked_of, "s long, h long")
 
     epochs = F.expr("sequence(0, whole + int(full or cut) - 1)")
     draws = blocks.filter("whole > 0 OR full OR cut").select("s", "block", "whole", "cut", F.explode(epochs).alias("epoch"))
-    permuted = Window.partitionBy("s").orderBy("epoch", F.xxhash64(F.lit(mix.seed), "epoch", "block"), "block")
-    draws = draws.withColumn("at", F.row_number().over(permuted)).withColumn("part", F.col("cut") & (F.col("epoch") == F.col("whole")))
-    per_source = {r["s"]: r["count"] for r in draws.groupBy("s").count().collect()}
-    quotas = split_quotas([per_source.get(k, 0) for k in range(len(found))], mix.shards, mix.seed)
-    runs = spark.createDataFrame([(k, np.cumsum(q).tolist()) for k, q in enumerate(quotas)], "s int, ends array<long>")
+    draws = draws.withColumn("lot", F.xxhash64(F.lit(mix.seed), "epoch", "block")).withColumn("stretch", F.shiftright("lot", 64 - STRETCHES.bit_length() + 1))
+    draws = _running(draws, F.lit(1), ["s"], ["epoch", "stretch"], ["lot", "block"]).withColumn("at", F.col("before") + 1)
+    draws = draws.withColumn("part", F.col("cut") & (F.col("epoch") == F.col("whole")))
+    runs = _runs(blocks, mix)
     dealt = draws.join(runs, "s").withColumn("shard", F.size(F.filter("ends", lambda e: e < F.col("at"))))
     dealt = dealt.groupBy("s", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard", "part"))).alias("dealt"))
     dealt = stored(dealt, "mix-draws")

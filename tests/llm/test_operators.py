@@ -590,6 +590,46 @@ def test_mix_many_sources(spark):
     assert len(target) > 1900 and all(abs(taken[s] - t) <= largest[s] for s, t in target.items())
 
 
+def test_mix_targets_on_a_table(spark):
+    """Numbers, targets and whole epochs of a table of sources against exact fractions, for small and very large sums."""
+    rng = random.Random(8)
+    for top, percent in ((30, 150), (10**13, 150), (10**13, 230), (5, 0)):
+        sizes = [rng.randrange(top) if rng.random() < 0.8 else 0 for _ in range(400)] + [top * 900]
+        names = [f"s{rng.random()}é" if k % 3 else f"\U0001F600{k}" for k in range(400)] + [None]
+        mix = mixing.Mix(percent=percent)
+        table = spark.createDataFrame(list(zip(names, [1000] * 401, sizes)), "source string, n long, words long")
+        got = sorted(mixing._with_targets(mixing._numbered(table), mix).collect())
+        order = sorted(zip(names, sizes), key=lambda r: (r[0] is None, r[0] or ""))
+        assert [(r["s"], r["source"], r["source_size"], r["n_blocks"]) for r in got] == [(k, n, w, 2) for k, (n, w) in enumerate(order)]
+        for r, t in zip(got, mixing.shared_targets([w for _, w in order], mix)):
+            whole = t // r["source_size"] if r["source_size"] else 0
+            assert r["whole"] == whole and r["target"] == pytest.approx(float(t), rel=1e-12)
+            assert r["rest"] == pytest.approx(float(t - whole * r["source_size"]), rel=1e-12)
+
+
+def test_mix_groups_and_stretches(spark, monkeypatch):
+    """Groups of a few sources and short stretches: shards stay equal, draws whole, and each source near its target."""
+    rng = random.Random(11)
+    rows = [(k, "w " * rng.randrange(1, 9), f"s{k % 50}" if k % 3 else "hot") for k in range(3000)]
+    docs, mix = spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.Mix(block_rows=4, shards=8)
+    want = sorted((r["doc"]["doc_id"], len(r["draws"])) for r in mixing.drawn(docs, ["doc_id"], mix=mix).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 7)
+    monkeypatch.setattr(mixing, "STRETCHES", 4)
+    out = mixing.drawn(docs, ["doc_id", "source"], mix=mix).collect()
+    assert sorted((r["doc"]["doc_id"], len(r["draws"])) for r in out) == want  # groups decide shards alone
+    by_shard = Counter(d["shard"] for r in out for d in r["draws"])
+    assert set(by_shard) == set(range(8)) and max(by_shard.values()) < 1.3 * min(by_shard.values())
+    assert all(len({d["epoch"] for d in r["draws"]}) == len(r["draws"]) for r in out)
+
+
+def test_mix_quotas_with_given_totals():
+    rng = random.Random(2)
+    draws = [rng.randrange(60) for _ in range(90)]
+    totals = mixing.split_quotas([sum(draws), 500], 16, 1)[0].tolist()
+    q = mixing.split_quotas(draws, 16, 4, totals)
+    assert q.sum(axis=1).tolist() == draws and q.sum(axis=0).tolist() == totals and (q >= 0).all()
+
+
 def test_mix_written_by_shard(spark, sf, tmp_path):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mixing.write_mix(docs, str(tmp_path / "mix"), mix=mixing.Mix(shards=4, block_rows=8))
