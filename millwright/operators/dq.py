@@ -2,9 +2,9 @@
 
 Each check is one or two aggregates over the frame (no per-column jobs):
 column statistics come from a single wide aggregate, hits from a second one.
-Row-order checks use ``lag`` partitioned by (machine, day) and stitch each
-day's first row to the previous day's last row through a (machine, day)-grain
-table, so one busy machine never lands in a single window partition.
+Row-order checks deal the rows by range of (machine, time order), use ``lag`` inside
+each range and stitch its first row to the last row of the range before it, so one
+busy machine, day or shift never lands in a single task.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from functools import reduce
 from typing import Optional
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.quantiles import exact_quantiles
 from millwright.functions.resolve import find_col
+from millwright.session import scratch_path
 
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.IntegerType, T.LongType, T.ShortType, T.ByteType, T.DecimalType)
 # Fixed values from the reference: thresholds and name tokens.
@@ -117,47 +118,71 @@ def iqr(df: DataFrame, cols: Optional[list[str]] = None) -> DataFrame:
     return df.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
-def lag_stitched(df: DataFrame, part: str, blocks: str | list[str], order: list[str], cols: list[str]) -> DataFrame:
+def _ranged(df: DataFrame, keys: list[str], partitions: Optional[int] = None) -> tuple[DataFrame, WindowSpec, tuple[Column, Column]]:
+    """Rows dealt by range of ``keys`` with the range's number ``_p``; the window of a range; whether a row is its first, its last.
+
+    A range holds about as many rows as any other, however often one machine or day occurs,
+    as long as ``keys`` tell rows apart.
+    """
+    rows = df.repartitionByRange(*([partitions] if partitions else []), *keys).withColumn("_p", F.spark_partition_id())
+    w = Window.partitionBy("_p").orderBy(*keys)
+    return rows, w, (F.lag(F.lit(True)).over(w).isNull(), F.lead(F.lit(True)).over(w).isNull())
+
+
+def lag_stitched(df: DataFrame, part: str, blocks: str | list[str], order: list[str], cols: list[str], partitions: Optional[int] = None) -> DataFrame:
     """Adds ``_prev_<c>``: the value of ``c`` in the previous row of ``part`` ordered by (*blocks, *order).
 
-    Windows run per (part, *blocks) -- e.g. machine, day and shift -- so a busy machine
-    is spread over many tasks.  The first row of each block takes the previous block's
-    last row from a (part, *blocks)-grain table, windowed per part (one row per block).
+    Rows are dealt by range of (part, *blocks, *order) and written once; windows run per
+    range, and the first row of a range takes the last row of the range before it from a
+    table of one row per range.
     """
-    blocks = [blocks] if isinstance(blocks, str) else list(blocks)
-    w = Window.partitionBy(part, *blocks).orderBy(*order)
-    inner = df.withColumns({f"_prev_{c}": F.lag(_q(c)).over(w) for c in cols}).withColumn("_rn", F.row_number().over(w))
-    ordkey = F.struct(*[_q(o) for o in order])
-    last = df.groupBy(part, *blocks).agg(F.max_by(F.struct(*[_q(c).alias(c) for c in cols]), ordkey).alias("_last"))
-    wd = Window.partitionBy(part).orderBy(*blocks)
-    carry = last.withColumn("_carry", F.lag("_last").over(wd)).select(
-        F.col(part).alias("_cp"), *[F.col(b).alias(f"_cb{i}") for i, b in enumerate(blocks)], "_carry")
-    cond = inner[part].eqNullSafe(carry["_cp"])
-    for i, b in enumerate(blocks):
-        cond = cond & inner[b].eqNullSafe(carry[f"_cb{i}"])
-    j = inner.join(carry, cond, "left")
-    first = F.col("_rn") == 1
-    j = j.withColumns({f"_prev_{c}": F.when(first, F.col("_carry").getField(c)).otherwise(F.col(f"_prev_{c}")) for c in cols})
-    return j.drop("_cp", *[f"_cb{i}" for i in range(len(blocks))], "_carry", "_rn")
+    keys = [part, *([blocks] if isinstance(blocks, str) else blocks), *order]
+    ranged, w, (first, last) = _ranged(df, keys, partitions)
+    path = scratch_path(df.sparkSession, "lag-ranges")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
+    ends = ranged.select("_p", part, *cols, last.alias("_last")).filter("_last")
+    over = Window.orderBy("_p")  # a row per range
+    carry = ends.select("_p", *[F.lag(_q(c)).over(over).alias(f"_carry{k}") for k, c in enumerate([part, *cols])])
+    inner = ranged.withColumns({"_first": first, "_part_before": F.lag(_q(part)).over(w), **{f"_prev_{c}": F.lag(_q(c)).over(w) for c in cols}})
+    j = inner.join(carry, "_p", "left")
+    before = lambda k, c: F.when(F.col("_first"), F.col(f"_carry{k}")).otherwise(F.col(f"_prev_{c}"))
+    same = _q(part).eqNullSafe(F.when(F.col("_first"), F.col("_carry0")).otherwise(F.col("_part_before")))
+    j = j.withColumns({f"_prev_{c}": F.when(same, before(k, c)) for k, c in enumerate(cols, 1)})
+    return j.drop("_p", "_first", "_part_before", *[f"_carry{k}" for k in range(len(cols) + 1)])
 
 
 def jumps(df: DataFrame, order: list[str], part: Optional[str] = None, day: Optional[str] = None,
-          cols: Optional[list[str]] = None) -> DataFrame:
-    """|x - previous x| > 5 sd (sd 0 -> 1) for rate/count/minutes/... columns, per machine in time order."""
+          cols: Optional[list[str]] = None, partitions: Optional[int] = None) -> DataFrame:
+    """|x - previous x| > 5 sd (sd 0 -> 1) for rate/count/minutes/... columns, per machine in time order.
+
+    Rows are dealt by range of (machine, *order); each range counts its own jumps and keeps its
+    first and last row, and the rows of one such table (a row per range) are compared at the borders.
+    """
     part = part or find_col(df.columns, "machine_id", "machine", "asset_id")
     day = day or find_col(df.columns, "shift_date", "date")
     cols = cols or [c for c in numeric_columns(df, exclude=order) if any(t in c.lower() for t in JUMP_TOKENS)]
     sd = df.select(F.struct(*[F.stddev_samp(_q(c)).alias(f"c{i}") for i, c in enumerate(cols)])).scalar()
     thr = {c: F.lit(JUMP_K) * F.coalesce(F.when(sd.getField(f"c{i}") != 0, sd.getField(f"c{i}")), F.lit(1.0))
            for i, c in enumerate(cols)}
-    # blocks: the day plus the next order column when it is a low-cardinality label (the shift)
-    rest = [o for o in order if o != day]
-    blocks = [day] + ([rest[0]] if rest and rest[0].lower() == "shift" else [])
-    ordered = [o for o in rest if o not in blocks]
-    lagged = lag_stitched(df.select(part, *blocks, *ordered, *cols), part, blocks, ordered, cols)
-    parts = [F.struct(F.lit(c).alias("column_name"), thr[c].alias("threshold"),
-                      F.count(F.when(F.abs(_q(c) - F.col(f"_prev_{c}")) > thr[c], 1)).alias("jumps")) for c in cols]
-    return lagged.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+    keys = list(dict.fromkeys([part, day, *order]))
+    rows, w, (first, last) = _ranged(df.select(*dict.fromkeys([*keys, *cols])), keys, partitions)
+    same = ~F.col("_first") & _q(part).eqNullSafe(F.col("_part_before"))
+    rows = rows.withColumns({"_first": first, "_last": last, "_part_before": F.lag(_q(part)).over(w), **{f"_prev_{c}": F.lag(_q(c)).over(w) for c in cols}})
+    edge = lambda c, side: F.max(F.when(F.col(f"_{side}"), _q(c)))
+    ranges = rows.groupBy("_p").agg(
+        *[F.count(F.when(same & (F.abs(_q(c) - F.col(f"_prev_{c}")) > thr[c]), 1)).alias(f"_n{i}") for i, c in enumerate(cols)],
+        *[edge(c, side).alias(f"_{side}{i}") for i, c in enumerate([*cols, part]) for side in ("first", "last")],
+    )
+    over, mine = Window.orderBy("_p"), len(cols)
+    ranges = ranges.withColumns({f"_before{i}": F.lag(f"_last{i}").over(over) for i in range(mine + 1)} | {"_any": F.lag(F.lit(True)).over(over)})
+    joined = F.col("_any") & F.col(f"_first{mine}").eqNullSafe(F.col(f"_before{mine}"))
+    parts = []
+    for i, c in enumerate(cols):
+        across = F.when(joined & (F.abs(F.col(f"_first{i}") - F.col(f"_before{i}")) > thr[c]), 1).otherwise(0)
+        total = F.coalesce(F.sum(F.col(f"_n{i}") + across), F.lit(0)).cast("bigint")
+        parts.append(F.struct(F.lit(c).alias("column_name"), thr[c].alias("threshold"), total.alias("jumps")))
+    return ranges.agg(F.array(*parts).alias("a")).select(F.explode("a").alias("r")).select("r.*")
 
 
 def domain_rules(df: DataFrame) -> DataFrame:

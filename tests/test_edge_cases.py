@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millwright.functions.quantiles import exact_quantiles
-from millwright.operators import clean, dq, finance, forecast, maintenance, mapping, oee, quality
+from millwright.operators import clean, dq, finance, forecast, joins, maintenance, mapping, oee, quality
 from millwright.operators import downtime as dtm
 from millwright.operators.ml import cluster, iforest
 
@@ -229,6 +229,44 @@ def test_stitched_lag_two_block_columns(spark):
     assert got == want
 
 
+def test_jumps_by_range_where_one_block_holds_half_of_the_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(6000):
+        hot = k % 2 == 0
+        m = "M1" if hot else (f"M{int(rng.integers(0, 40))}" if k % 7 else None)
+        x = None if k % 11 == 0 else float(rng.normal() + 100 * (rng.random() < 0.01))
+        rows.append((m, dt.date(2024, 1, 1 if hot else int(rng.integers(1, 28))), "A" if hot else "ABC"[k % 3], k, x, float(rng.integers(0, 3))))
+    df = spark.createDataFrame(rows, "machine_id string, shift_date date, shift string, k long, rate double, part double").repartition(5)
+    order, cols = ["shift_date", "shift", "k"], ["rate", "part"]
+    ranges = [r["count"] for r in dq._ranged(df, ["machine_id", *order], 8)[0].groupBy("_p").count().collect()]
+    assert len(ranges) == 8 and max(ranges) < 1.6 * sum(ranges) / 8  # the hot block is several tasks
+    w = Window.partitionBy("machine_id").orderBy(*order)
+    lagged = df.select("k", *cols, *[F.lag(c).over(w).alias(f"_prev_{c}") for c in cols]).collect()
+    sd = {c: 5 * np.std([r[c] for r in lagged if r[c] is not None], ddof=1) for c in cols}
+    want = {c: sum(r[c] is not None and r[f"_prev_{c}"] is not None and abs(r[c] - r[f"_prev_{c}"]) > sd[c] for r in lagged) for c in cols}
+    assert want["rate"] > 20
+    for n in (1, 8, 61):
+        assert {r["column_name"]: r["jumps"] for r in dq.jumps(df, order, "machine_id", "shift_date", cols, partitions=n).collect()} == want
+        got = {r["k"]: (r["_prev_rate"], r["_prev_part"]) for r in dq.lag_stitched(df, "machine_id", ["shift_date", "shift"], ["k"], cols, n).collect()}
+        assert got == {r["k"]: (r["_prev_rate"], r["_prev_part"]) for r in lagged}
+    assert {r["column_name"]: r["jumps"] for r in dq.jumps(df.limit(0), order, "machine_id", "shift_date", cols).collect()} == dict.fromkeys(cols, 0)
+
+
+def test_plant_safe_keys_missing_on_one_side(spark):
+    keys = "machine_id string, line_id string, shift_date date, shift string"
+    day = dt.date(2024, 1, 1)
+    p = spark.createDataFrame([("M1", "L", day, "A", 1.0), ("M2", "L", day, "A", 2.0), (None, "L", day, "B", 3.0), ("M4", "L", day, "A", 4.0)], keys + ", total_count double")
+    q = spark.createDataFrame([("M1", "L", day, "A", 5, "DIM", 1.0), ("M1", "L", day, "A", 6, "CUT", 2.0), (None, "L", day, "B", 7, None, 3.0), ("M9", "L", day, "A", 9, "X", 9.0)],
+                              keys + ", good_count long, defect_code string, measurement_mm double")
+    d = spark.createDataFrame([("M2", "L", "2024-01-01", "A", 3.0), (None, "L", "2024-01-01", "B", 4.0), (None, "L", "2024-01-01", "B", 1.0), ("M1", "L", "no day", "A", 8.0)],
+                              "machine_id string, line_id string, shift_date string, shift string, downtime_minutes double")
+    got = {r["total_count"]: (r["machine_id"], r["good_count"], r["defect_code"], r["measurement_mm"], r["downtime_minutes"]) for r in joins.plant_safe(p, q, d).collect()}
+    assert got == {1.0: ("M1", 11, "CUT", 1.5, 0.0), 2.0: ("M2", None, None, None, 3.0), 3.0: (None, 7, None, 3.0, 5.0), 4.0: ("M4", None, None, None, 0.0)}
+    plan = joins.plant_safe(p, q, d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1 and plan.count("Aggregate") == 1
+
+
 def test_extremes_ties_go_to_the_smaller_key(spark):
     rows = [(line, "M" + line, "A", 480.0, 48.0, 10.0, 100.0, 90.0) for line in ("L2", "L1", "L3")]
     df = spark.createDataFrame(rows, "line_id string, machine_id string, shift string, planned_time_min double, downtime_minutes double, "
