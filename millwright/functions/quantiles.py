@@ -7,6 +7,7 @@ say on which side of them (or on which of them) the rank lies, and the search go
 strictly between them.  All columns and ranks share one wide aggregate per step, so a
 step is one scan without a shuffle of rows, and the driver sees a few numbers per rank.
 A step leaves about 4 values in 10,000, so a table of 10**12 rows takes four narrowings.
+After the first step only the values that lie in an open gap are read on, from a small table of their own.
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millwright.session import written
+
 ACCURACY = 10_000
 
 
@@ -48,8 +52,9 @@ class _Rank:
         return 4 * self.inside <= accuracy
 
     def settle(self, less: int, at_a: int, amid: int, at_b: int) -> None:
-        """Take the exact counts around ``near`` = (a, b)."""
+        """Take the exact counts around ``near`` = (a, b), of the values strictly between."""
         a, b = self.near
+        less += self.below
         upto = [less, less + at_a, less + at_a + amid, less + at_a + amid + at_b]
         if self.k < upto[0]:
             self.high, self.inside = a, less - self.below
@@ -70,6 +75,14 @@ def _row(df: DataFrame, cells: Mapping[tuple, Column]) -> dict[tuple, object]:
     return {c: row[i] for i, c in enumerate(keys)}
 
 
+def _inside(base: DataFrame, x: Mapping[str, Column], ranks: Sequence[_Rank]) -> DataFrame:
+    """The values that lie in a gap of their column, others null; rows without any are left out."""
+    held = {n: [r.between(c) for r in ranks if r.column == n] for n, c in x.items()}
+    any_of = {n: reduce(lambda a, b: a | b, tests) for n, tests in held.items() if tests}
+    rows = base.where(F.coalesce(reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), any_of.values(), F.lit(False)), F.lit(False)))
+    return rows.select(*[F.when(any_of[n], c).alias(f"x{i}") if n in any_of else F.lit(None).cast("double").alias(f"x{i}") for i, (n, c) in enumerate(x.items())])
+
+
 def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence[float], accuracy: int = ACCURACY) -> dict[str, list]:
     """{name: [q(p) for p in probs]} for the named expressions.
 
@@ -101,18 +114,21 @@ def exact_quantiles(df: DataFrame, values: Mapping[str, Column], probs: Sequence
                 near = tuple(first["near", n][2 * i : 2 * i + 2])
                 ranks.setdefault((n, k), _Rank(n, k, None, None, 0, count, near))
 
+    narrowed = False
     while open_ := [r for r in ranks.values() if r.value is None]:
         counts: dict[tuple, Column] = {}
         for r in open_:
             v, (a, b) = x[r.column], r.near
             tests = (v < a, v == a, (v > a) & (v < b), (v == b) if b > a else F.lit(False))
-            counts.update({(r.column, r.near, i): F.count_if(t) for i, t in enumerate(tests)})
+            counts.update({(r.column, r.near, r.low, r.high, i): F.count_if(t & r.between(v)) for i, t in enumerate(tests)})
         found = _row(base, counts)
         for r in open_:
-            r.settle(*(found[r.column, r.near, i] for i in range(4)))
+            r.settle(*(found[r.column, r.near, r.low, r.high, i] for i in range(4)))
         open_ = [r for r in open_ if r.value is None]
         if not open_:
             break
+        if not narrowed:
+            base, narrowed = written(_inside(base, x, open_), "quantiles"), True
         near = _row(base, {(r.column, r.k): F.percentile_approx(F.when(r.between(x[r.column]), x[r.column]), r.fractions(accuracy), accuracy)
                            for r in open_})
         for r in open_:

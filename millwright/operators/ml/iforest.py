@@ -7,29 +7,35 @@
 * Fitting: ``groupBy(tree).applyInPandas`` grows one small tree per group
   (psi rows, height limit ceil(log2 psi)).
 * Scoring: the forest (<= trees x (2 psi - 1) nodes, a fixed bound) is
-  broadcast and rows are scored in Arrow batches with ``mapInPandas``.
+  broadcast, laid out level by level, and rows go down all trees at once in blocks
+  of Arrow batches (``mapInArrow``); other columns pass through as they are.
 * The anomaly cut is the exact (1 - contamination) quantile of the scores.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from typing import Optional
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millwright.functions.common import ensure_parallel
 from millwright.functions.quantiles import exact_quantiles
+from millwright.session import written
 
 N_TREES = 100
 PSI = 256
 CONTAMINATION = 0.08
 SEED = 42
 EULER = 0.5772156649015329
+BLOCK = 512  # rows that go down all trees at once
+FEW_ROWS = 10_000  # scored by one task
 
 
 def c_factor(n: float) -> float:
@@ -67,18 +73,41 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int):
     return feat, thr, left, right, size
 
 
-def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, leaf_c = tree
-    cur = np.zeros(len(x), dtype=np.int64)
-    depth = np.zeros(len(x), dtype=np.float64)
-    active = feat[cur] >= 0
-    while active.any():
-        f = feat[cur[active]]
-        go_left = x[active, f] < thr[cur[active]]
-        cur[active] = np.where(go_left, left[cur[active]], right[cur[active]])
-        depth[active] += 1.0
-        active = feat[cur] >= 0
-    return depth + leaf_c[cur]
+def _levels(forest: list, limit: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The trees' nodes level by level, as ``limit`` pairs (feature, threshold) of (tree, place), and the path length by (tree, place) at the bottom.
+
+    Below the node of place p are the places 2p (right) and 2p + 1 (left); what lies below a leaf has its path length.
+    """
+    levels = [(np.zeros((len(forest), 1 << k), np.int64), np.zeros((len(forest), 1 << k))) for k in range(limit)]
+    lengths = np.zeros((len(forest), 1 << limit))
+    for t, (feat, thr, left, right, leaf_c) in enumerate(forest):
+        todo = [(0, 0, 0)]
+        while todo:
+            node, k, place = todo.pop()
+            if feat[node] < 0:
+                lengths[t, place << limit - k : place + 1 << limit - k] = k + leaf_c[node]
+                continue
+            levels[k][0][t, place], levels[k][1][t, place] = feat[node], thr[node]
+            todo += [(left[node], k + 1, 2 * place + 1), (right[node], k + 1, 2 * place)]
+    return levels, lengths
+
+
+def _path_lengths(x: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], lengths: np.ndarray) -> np.ndarray:
+    """Mean path length over all trees of each row of ``x``, given as (feature, row)."""
+    n_trees, n = len(lengths), x.shape[1]
+    out = np.empty(n)
+    for at in range(0, n, BLOCK):
+        block = np.ascontiguousarray(x[:, at : at + BLOCK])
+        rows = np.arange(block.shape[1])
+        flat, place = block.ravel(), np.repeat(np.arange(n_trees)[:, None], len(rows), axis=1)
+        for feat, thr in levels:
+            value = (feat * len(rows)).ravel().take(place)
+            value += rows
+            less = flat.take(value) < thr.ravel().take(place)
+            place += place
+            place += less
+        out[at : at + BLOCK] = np.mean(lengths.ravel().take(place), axis=0)
+    return out
 
 
 def tree_samples(base: DataFrame, features: list[str], key: list[str], n: int, n_trees: int = N_TREES, m: int = PSI, seed: int = SEED) -> DataFrame:
@@ -101,8 +130,9 @@ def tree_samples(base: DataFrame, features: list[str], key: list[str], n: int, n
 
 
 def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int = N_TREES, psi: int = PSI,
-              contamination: float = CONTAMINATION, seed: int = SEED, fill: Optional[dict] = None) -> DataFrame:
-    """Score every row: adds ``anomaly_score`` (higher = more anomalous) and ``anomaly``.
+              contamination: float = CONTAMINATION, seed: int = SEED, fill: Optional[dict] = None,
+              keep: Optional[list[str]] = None) -> DataFrame:
+    """Score every row: adds ``anomaly_score`` (higher = more anomalous) and ``anomaly`` to its columns (or those in ``keep``).
 
     Rows whose features are all NULL are dropped; remaining NULLs are filled
     with the exact column median (as the reference does before fitting).
@@ -113,20 +143,20 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
     for f in feats[1:]:
         any_present = any_present | f.isNotNull()
     base = df.where(any_present)
+    rows, *nulls = base.agg(F.count(F.lit(1)), *[F.count(F.when(f.isNull(), 1)) for f in feats]).first()
     if fill is None:
-        nulls = base.agg(*[F.count(F.when(f.isNull(), 1)).alias(n) for f, n in zip(feats, features)]).first()
-        need = [n for n in features if nulls[n]]
+        need = [n for n, c in zip(features, nulls) if c]
         fill = {}
         if need:
             med = exact_quantiles(base, {n: F.col(n) for n in need}, [0.5])
             fill = {n: med[n][0] for n in need}
     base = base.withColumns({f: F.coalesce(F.col(f).cast("double"), F.lit(fill.get(f) or 0.0)) for f in features})
-    n = base.select(F.count(F.lit(1))).first()[0]
-    if n == 0:
-        return base.withColumns({"anomaly_score": F.lit(None).cast("double"), "anomaly": F.lit(None).cast("boolean")})
-    m = min(psi, n)
+    carried = base.columns if keep is None else keep
+    if rows == 0:
+        return base.select(*carried, F.lit(None).cast("double").alias("anomaly_score"), F.lit(None).cast("boolean").alias("anomaly"))
+    m = min(psi, rows)
     limit = int(math.ceil(math.log2(max(m, 2))))
-    sample = tree_samples(base, features, key, n, n_trees, m, seed)
+    sample = tree_samples(base, features, key, rows, n_trees, m, seed)
 
     schema = T.StructType([
         T.StructField("_tree", T.LongType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
@@ -147,26 +177,21 @@ def fit_score(df: DataFrame, features: list[str], key: list[str], n_trees: int =
                np.asarray(r["left"], dtype=np.int64), np.asarray(r["right"], dtype=np.int64),
                np.asarray([c_factor(v) for v in r["size"]], dtype=np.float64))
               for r in sorted(forest_rows, key=lambda r: r["_tree"])]
-    bforest = spark.sparkContext.broadcast(forest)
+    held = spark.sparkContext.broadcast(_levels(forest, limit))
     cn = c_factor(m)
-    out_schema = T.StructType(base.schema.fields + [T.StructField("anomaly_score", T.DoubleType())])
-
-    def score(batches):
-        trees = bforest.value
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype=np.float64)
-            if len(x) == 0:
-                yield pdf.assign(anomaly_score=pd.Series(dtype="float64"))
-                continue
-            mean_len = np.mean([_path_lengths(x, t) for t in trees], axis=0)
-            yield pdf.assign(anomaly_score=np.power(2.0, -mean_len / cn) if cn > 0 else 0.5)
+    inner = base.select(*dict.fromkeys([*carried, *features, *(key if rows <= FEW_ROWS else [])]))
+    out_schema = T.StructType([inner.schema[c] for c in carried] + [T.StructField("anomaly_score", T.DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels, lengths = held.value
+        for batch in batches:
+            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in features])
+            scores = np.power(2.0, -_path_lengths(x, levels, lengths) / cn) if cn > 0 else np.full(batch.num_rows, 0.5)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(scores)], [*carried, "anomaly_score"])
 
     # Python scoring is the costly stage: make sure it runs on every core even when the
-    # input arrived in fewer splits than the cluster's parallelism (no-op at scale)
-    scored = ensure_parallel(base).mapInPandas(score, out_schema)
-    from millwright.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    ckpt = scored.checkpoint(eager=True)  # cut lineage: scores are reused by the cut and the output
-    cut = exact_quantiles(ckpt, {"score": F.col("anomaly_score")}, [1.0 - contamination])["score"][0]
-    return ckpt.withColumn("anomaly", F.col("anomaly_score") > F.lit(cut))
+    # input arrived in fewer splits than the cluster's parallelism (no-op at scale); few rows are one file, by key
+    spread = inner.coalesce(1).sortWithinPartitions(*key) if rows <= FEW_ROWS else ensure_parallel(inner)
+    scored = written(spread.mapInArrow(score, out_schema), "iforest-scores")  # read by the cut and the output
+    cut = exact_quantiles(scored, {"score": F.col("anomaly_score")}, [1.0 - contamination])["score"][0]
+    return scored.withColumn("anomaly", F.col("anomaly_score") > F.lit(cut))

@@ -11,21 +11,24 @@ from millwright.operators.ml import cluster, iforest
 from millwright.plans.catalog import register
 from millwright.plans.q_dq import NUMS
 from millwright.plans.sqlparts import PLANT, r4, with_
+from millwright.session import written
 from millwright.sources import testdata as td
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "total_count"]  # unique per lineitem row
 
 
-def _sensor_scores(spark, sf):
+def _sensor_scores(spark, sf, keep=None):
+    """Scored sensor rows with the columns ``keep`` (unnamed: those of the rate per machine), and the sensor columns."""
     p = td.plant_rows(spark, sf)
     feats = mt.sensor_columns(p)
-    return iforest.fit_score(p.select(*ROW_KEY, "machine_id", "line_id", *feats), feats, ROW_KEY), feats
+    rows = p.select(*ROW_KEY, "machine_id", "line_id", *feats)
+    return iforest.fit_score(rows, feats, ROW_KEY, keep=keep or feats[:1] + ["machine_id"]), feats
 
 
 @register("sensor_iforest")
 def sensor_iforest(spark, sf):
     """Isolation forest (100 trees, psi 256, contamination 0.08) on sensor columns, per row."""
-    scored, _ = _sensor_scores(spark, sf)
+    scored, _ = _sensor_scores(spark, sf, [*ROW_KEY, "machine_id", "line_id"])
     return scored.select(*ROW_KEY, "machine_id", "line_id", "anomaly_score", "anomaly")
 
 
@@ -48,7 +51,7 @@ def remaining_risk_sensors(spark, sf):
 def dq_iforest(spark, sf):
     """V7: isolation forest over all numeric columns (complete rows): anomaly count and rate."""
     p = td.plant_rows(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", *NUMS).dropna()
-    scored = iforest.fit_score(p, NUMS, ["l_orderkey", "l_linenumber", "l_partkey"])
+    scored = iforest.fit_score(p, NUMS, ["l_orderkey", "l_linenumber", "l_partkey"], keep=[])
     return scored.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("anomaly"), 1)).alias("anomalies")).withColumn(
         "rate_pct", F.col("anomalies") / F.greatest(F.col("rows"), F.lit(1)) * 100.0)
 
@@ -118,7 +121,7 @@ def rate_forecast(spark, sf):
 @register("rate_anomalies")
 def rate_anomalies(spark, sf):
     """One-feature isolation forest on the daily scrap rate."""
-    feat = fc.rate_features(td.plant_rows(spark, sf)).select("machine_id", "shift_date", "target")
+    feat = written(fc.rate_features(td.plant_rows(spark, sf)).select("machine_id", "shift_date", "target"), "rate-targets")
     scored = iforest.fit_score(feat, ["target"], ["machine_id", "shift_date"])
     return scored.select("machine_id", "shift_date", "target", "anomaly_score", "anomaly")
 
