@@ -96,13 +96,13 @@ def zscore(df: DataFrame, cols: Optional[list[str]] = None) -> DataFrame:
     return g.select(F.explode("a").alias("r")).select("r.*")
 
 
-def iqr(df: DataFrame, cols: Optional[list[str]] = None) -> DataFrame:
+def iqr(df: DataFrame, cols: Optional[list[str]] = None, quartiles: Optional[dict[str, list]] = None) -> DataFrame:
     """V6: values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR] per column; skipped when IQR = 0.
 
-    Quartiles are exact (linear interpolation) via distributed selection.
+    Quartiles are exact (linear interpolation) via distributed selection, unless given.
     """
     cols = cols or numeric_columns(df)
-    qs = exact_quantiles(df, {c: _q(c) for c in cols}, [0.25, 0.75])
+    qs = quartiles or exact_quantiles(df, {c: _q(c) for c in cols}, [0.25, 0.75])
     parts = []
     for c in cols:
         q1, q3 = qs[c]
@@ -224,12 +224,13 @@ WORD_BITS = 62
 
 
 def assoc_rules(df: DataFrame, cats: Optional[list[str]] = None, nums: Optional[list[str]] = None, max_distinct: int = 12,
-                min_support: float = 0.05, min_conf: float = 0.55, suspicious_conf: float = 0.7) -> DataFrame:
+                min_support: float = 0.05, min_conf: float = 0.55, suspicious_conf: float = 0.7,
+                marks: Optional[dict[str, list]] = None) -> DataFrame:
     """Pair rules over baskets of ``col=value`` and ``col=HIGH`` items.
 
     ``cats`` and ``nums`` name the columns to use; unnamed, every string column with at
     most ``max_distinct`` values and every numeric column.  All rows count, and every pair
-    that meets support and confidence is returned.  A row becomes one bit per item in a few longs; rows collapse to their
+    that meets support and confidence is returned; ``marks`` are the 90 % quantiles where they are known.  A row becomes one bit per item in a few longs; rows collapse to their
     distinct baskets by these before items and pairs are counted, so no string is shuffled and no row is paired with another.
     """
     str_cols = cats if cats is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -239,7 +240,7 @@ def assoc_rules(df: DataFrame, cats: Optional[list[str]] = None, nums: Optional[
     values = df.agg(*[F.collect_set(_q(c).cast("string")).alias(c) for c in near]).collect()[0] if near else {}
     cats = [c for c in near if len(values[c]) <= max_distinct]
     nums = nums if nums is not None else numeric_columns(df)
-    q90 = exact_quantiles(df, {c: _q(c) for c in nums}, [0.9])
+    q90 = marks or exact_quantiles(df, {c: _q(c) for c in nums}, [0.9])
     items = [(f"{c}={v}", _q(c).cast("string") == F.lit(v)) for c in cats for v in sorted(values[c])]
     items += [(f"{c}=HIGH", _q(c).cast("double") >= F.lit(q90[c][0])) for c in nums if q90[c][0] is not None]
     if not items:
@@ -312,12 +313,13 @@ def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Option
     ]
     z = zscore(frame, nums).agg(F.sum("hits").alias("h"))
     rows.append(_row(z, "Z-SCORE (>3σ)", F.when(F.col("h") > 0, "WARN").otherwise("PASS"), F.format_string("%d hits", F.col("h"))))
-    q = iqr(frame, nums).agg(F.sum("hits").alias("h"))
+    qs = exact_quantiles(frame, {c: _q(c) for c in nums}, [0.25, 0.75, 0.9])  # one search for both checks
+    q = iqr(frame, nums, {c: v[:2] for c, v in qs.items()}).agg(F.sum("hits").alias("h"))
     rows.append(_row(q, "IQR OUTLIER", F.when(F.col("h") > 0, "WARN").otherwise("PASS"), F.format_string("%d hits", F.col("h"))))
     cols = iforest_cols or nums
     complete = df.select(*key, *cols).dropna()
     if len(cols) >= 2 and complete.limit(15).count() >= 15:
-        s = iforest.fit_score(complete, cols, key).agg(F.count(F.when(F.col("anomaly"), 1)).alias("a"), F.count(F.lit(1)).alias("n"))
+        s = iforest.fit_score(complete, cols, key, keep=[]).agg(F.count(F.when(F.col("anomaly"), 1)).alias("a"), F.count(F.lit(1)).alias("n"))
         rows.append(_row(s, "ISOLATION FOREST", F.when(F.col("a") > 0, "WARN").otherwise("PASS"),
                          F.format_string("%d anomalies, %.2f%%", F.col("a"), F.col("a") / F.col("n") * 100)))
     else:
@@ -344,7 +346,7 @@ def report(df: DataFrame, order: list[str], key: list[str], iforest_cols: Option
                          F.format_string("drift %.3f", F.coalesce(F.col("drift_score"), F.lit(0.0)))))
     else:
         rows.append(_row(one, "PCA / CONCEPT DRIFT", F.lit("INFO"), F.lit("no order column")))
-    ar = assoc_rules(frame).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("suspicious"), 1)).alias("s"))
+    ar = assoc_rules(frame, marks={c: v[2:] for c, v in qs.items()}).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("suspicious"), 1)).alias("s"))
     rows.append(_row(ar, "ASSOCIATION RULE MINING", F.when(F.col("s") > 0, "WARN").otherwise("PASS"),
                      F.format_string("%d rules, %d suspicious", F.col("n"), F.col("s"))))
     pr = presence(frame)
