@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millwright.functions import quantiles
+from millwright.functions import quantiles, ranks
 from millwright.operators import dq
 from millwright.operators.ml import cluster, forest, iforest
 
@@ -56,6 +56,74 @@ def test_forest_sums_are_the_trees():
         assert np.allclose(got, [sum(walk(t, row, depth) for t in range(n)) for row in x])
 
 
+@pytest.fixture(scope="module")
+def numbers(spark):
+    """Rows with a lone large label, equal values and few values in a column."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 3))
+    x[:, 2] = np.round(x[:, 2])
+    x[::7, 1] = 0.25
+    y = np.where(x[:, 0] > 0.3, 2.0, 0.0) + x[:, 1] + 0.1 * rng.normal(size=6000)
+    y[17] = 1e7
+    return spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "i int, a double, b double, c double, y double").cache()
+
+
+def test_forest_draws_from_every_row(spark):
+    """A tree draws as many rows as there are, also above 65,536 rows."""
+    bags = forest._bags(spark.range(80_000).withColumn("y", F.lit(0.0)), [], "y", ["id"], 3, 1).groupBy("tree").agg(F.sum("w").alias("w")).collect()
+    assert len(bags) == 3 and all(abs(r["w"] - 80_000) < 5 * 80_000**0.5 for r in bags)
+
+
+def test_forest_cuts_are_of_all_rows(numbers, monkeypatch):
+    """Cut points are order statistics of the whole table, however often a gap is divided."""
+    features = ["a", "b", "c"]
+    x = np.array([[r[f] for f in features] for r in numbers.collect()])
+    want = np.quantile(x, np.arange(1, 64) / 64, axis=0, method="inverted_cdf").T
+    for few, parts, held in ((1 << 13, 1 << 12, 1 << 20), (5, 16, 700), (0, 3, 100)):
+        for name, value in (("FEW", few), ("PARTS", parts), ("HELD", held)):
+            monkeypatch.setattr(ranks, name, value)
+        assert (forest.cut_points(numbers.repartition(5), features, 6000) == want).all()
+    odd = np.array([-np.inf, -2.0, -1e-300, 0.0, 5e-324, 3.0, np.inf])
+    assert (np.diff(ranks.places(odd).astype(object)) > 0).all() and (ranks.doubles(ranks.places(odd)) == odd).all() and ranks.places(np.array([-0.0])) == ranks.places(np.array([0.0]))
+
+
+def test_forest_weights_are_the_bags(spark):
+    """The weights drawn block by block are those of Spark's own hash."""
+    df = spark.range(400).select((F.col("id") * 7919 - 900).alias("id"), F.lit(1.0).alias("y"))
+    h = np.array([r[0] for r in df.select(F.xxhash64(F.lit(5), "id")).collect()])
+    draws = forest._Draws(400, 5)
+    want = {(r["tree"], r["h"]): r["w"] for r in forest._bags(df, [], "y", ["id"], 30, 5).collect()}
+    assert {(t, int(h[i])): w for t in range(30) for i, w in zip(*draws.weights(draws.block(h), t))} == want
+
+
+def test_forest_grown_by_counts_is_the_forest(numbers, monkeypatch):
+    """Nodes split from counts of all tasks, and the rest in tasks, give the trees that one task a bag gives, for any partitioning."""
+    features, wanted = ["a", "b", "c"], {1: (4, 6), 2: (3, 5), 40: (5, 4)}
+    whole, cuts = forest._grown(numbers, features, "y", ["i"], wanted, 3)
+    for local, nodes, sent, block, parts in ((1500, 1 << 13, 1 << 27, 1 << 15, 3), (300, 7, 2000, 1000, 5), (0, 1 << 13, 1, 400, 2)):
+        for name, value in (("LOCAL_ROWS", local), ("HELD_NODES", nodes), ("SENT_ROWS", sent), ("BLOCK_ROWS", block)):
+            monkeypatch.setattr(forest, name, value)
+        found, again = forest._grown(numbers.repartition(parts), features, "y", ["i"], wanted, 3)
+        assert (again == cuts).all()
+        for leaf, (trees, depth) in wanted.items():
+            a, b = whole[leaf], found[leaf]
+            assert a.feature.shape == b.feature.shape == (trees, (1 << depth + 1) - 1)
+            assert (a.feature == b.feature).all() and (a.bin == b.bin)[a.feature >= 0].all()
+            assert np.allclose(a.value, b.value, rtol=1e-9, atol=1e-9) and np.allclose(a.gain, b.gain, rtol=1e-6)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 900)
+    one, two = (forest._grown(numbers.repartition(k), features, "y", ["i"], wanted, 3)[0] for k in (1, 6))
+    assert all((getattr(one[leaf], c) == getattr(two[leaf], c)).all() for leaf in wanted for c in ("feature", "bin", "value", "gain"))
+
+
+def test_forest_of_few_rows(spark):
+    """No tree is without rows: one whose bag is empty takes each row once."""
+    df = spark.createDataFrame([(1, 0.5, 4.0), (2, 1.5, 4.0)], "i int, a double, y double")
+    trees = forest._grown(df, ["a"], "y", ["i"], {1: (60, 3)}, 1)[0][1]
+    assert trees.value[:, 0].tolist() == [4.0] * 60
+    with pytest.raises(ValueError, match="no rows"):
+        forest.fit(df.where("i > 5"), ["a"], "y", ["i"], (3, 2, 1))
+
+
 def test_kmeans_blocks_hold_the_rows(spark, monkeypatch):
     """Blocks of any size give the sums of the rows themselves."""
     df = spark.range(500).select(F.sin("id").alias("x0"), (F.col("id") % 11).cast("double").alias("x1"))
