@@ -342,11 +342,24 @@ NO_ENTITIES = ("2024-01-02, 300", "1,234,567.89", "2023-11-05 12:30:45", "100000
 Region = tuple[str, list[Span]]
 
 
-def labelled(text: str, most: int) -> list[Region]:
-    """The first ``most`` regions of a text that are short enough, with their base spans that overlap no other."""
+def _pieces(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The regions of a text in pieces that are short enough, cut in none of the spans ``base`` (by start) that is no longer itself."""
+    for a, b in regions(text):
+        while b - a > REGION_CHARS:
+            end = a + REGION_CHARS
+            for _, s, e in reversed(base):
+                if a < s < end < e:
+                    end = s
+            yield a, end
+            a = end
+        yield a, b
+
+
+def labelled(text: str, most: int, cut: bool = False) -> list[Region]:
+    """The first ``most`` regions of a text that are short enough, or with ``cut`` pieces of all, with their base spans that overlap no other."""
     base = sorted(base_spans(text), key=lambda x: x[1])
     starts, out = [x[1] for x in base], []
-    for a, b in regions(text):
+    for a, b in _pieces(text, base) if cut else regions(text):
         if b - a <= REGION_CHARS:
             inside = [(k, s - a, e - a) for k, s, e in base[bisect_left(starts, a) : bisect_left(starts, b)] if e <= b]
             out.append((text[a:b], [x for x in inside if not any(y is not x and y[1] < x[2] and x[1] < y[2] for y in inside)]))
@@ -459,22 +472,26 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
 def sample_regions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Region]:
     """Labelled regions of the documents of smallest id hash that have two digits in a row or an at sign, at most SAMPLE_REGIONS.
 
-    The documents are counted first, so that only about ``SAMPLE`` of them are looked at again.
+    The documents are counted first, so that only about ``SAMPLE`` of them are looked at again.  Where none of their regions is short
+    enough, the regions are cut in pieces.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.xxhash64(F.col(id_col)).alias("h"), text.alias("text")).filter(F.col("text").rlike("[0-9][0-9]|@"))
     cut = min((1 << 63) - 1, -(1 << 63) + (1 << 64) * SAMPLE // max(1, rows.count()))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [(h, k, *r) for h, t in zip(b.column(0).to_pylist(), b.column(1)) for k, r in enumerate(labelled(t.as_py(), PER_TEXT))]
-            columns = list(zip(*found)) or [[]] * 4
-            spans = [[{"kind": x, "start": s, "end": e} for x, s, e in each] for each in columns[3]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns[:3], spans), (pa.int64(), pa.int32(), pa.string(), kind))], ["h", "k", "text", "spans"])
+    def drawn(pieces: bool) -> list[Region]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = [(h, k, *r) for h, t in zip(b.column(0).to_pylist(), b.column(1)) for k, r in enumerate(labelled(t.as_py(), PER_TEXT, pieces))]
+                columns = list(zip(*found)) or [[]] * 4
+                spans = [[{"kind": x, "start": s, "end": e} for x, s, e in each] for each in columns[3]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*columns[:3], spans), (pa.int64(), pa.int32(), pa.string(), kind))], ["h", "k", "text", "spans"])
+
+        found = arrow_pass(rows.filter(F.col("h") <= cut), run, "h long, k int, text string, spans array<struct<kind:string,start:long,end:long>>")
+        return [(r["text"], [tuple(x) for x in r["spans"]]) for r in found.orderBy("h", "k", "text").limit(SAMPLE_REGIONS).collect()]
 
-    found = arrow_pass(rows.filter(F.col("h") <= cut), run, "h long, k int, text string, spans array<struct<kind:string,start:long,end:long>>")
-    return [(r["text"], [tuple(x) for x in r["spans"]]) for r in found.orderBy("h", "k", "text").limit(SAMPLE_REGIONS).collect()]
+    return drawn(False) or drawn(True)
 
 
 def find_personal_data(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
